@@ -152,3 +152,55 @@ view(
     "SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3 UNION ALL SELECT * FROM m4",
     "m4",
 )
+
+
+# --- cues, grids, playlists ---------------------------------------------------------------
+def _cues(prefix: str, where: str) -> str:
+    return f"""SELECT '{prefix.upper()}' AS library_id, '{prefix}:' || l_partkey AS track_id,
+      (l_orderkey * 8 + l_linenumber) * 1000000000 + (l_suppkey * 7919 + round_even(l_extendedprice * 100, 0)::BIGINT) % 1000000000 AS ordinal,
+      CASE WHEN l_returnflag = 'R' THEN 'loop' ELSE 'cue' END AS role,
+      round_even(l_extendedprice, 0) AS position_ms,
+      CASE WHEN l_returnflag = 'R' THEN round_even(l_extendedprice, 0) + l_quantity * 1000 END AS end_ms,
+      CASE WHEN l_returnflag <> 'N' THEN l_linenumber - 1 END AS slot, l_linestatus AS name,
+      CASE WHEN l_suppkey % 3 = 0 THEN 2679316 END AS colour FROM lineitem {where}"""
+
+
+view("cues_a", _cues("a", "WHERE l_suppkey % 2 = 1"))
+view("cues_b", _cues("b", "WHERE l_suppkey % 2 = 0"))
+view("cues_all", _cues("a", ""))
+for _side, _bpm, _where in (
+    ("a", "(60 + p_size)::DOUBLE", "WHERE p_size > 10"),
+    ("b", "(60 + p_size + CASE WHEN p_partkey % 4 = 0 THEN 0.5 ELSE 0.0 END)::DOUBLE", ""),
+):
+    view(
+        f"tempo_{_side}",
+        f"""SELECT '{_side}:' || p_partkey AS track_id, m.p AS position_ms, m.t AS bpm, m.b AS beat FROM
+          (SELECT p_partkey, unnest([{{'p': 25.0::DOUBLE, 't': bpm, 'b': 1}},
+             {{'p': 60000.0 / bpm * 64 + 25.0, 't': bpm, 'b': 1}},
+             {{'p': 60000.0 / bpm * 98 + 25.0, 't': bpm + 10, 'b': 3}}]) AS m
+           FROM (SELECT p_partkey, {_bpm} AS bpm FROM part {_where}))""",
+    )
+view(
+    "links",
+    """SELECT incoming_id, base_id, CASE WHEN i.location LIKE '%.mp3' THEN 0.0 ELSE 26.0 END AS shift
+       FROM matches JOIN tracks_b i ON i.track_id = incoming_id""",
+    "matches",
+)
+view(
+    "inc_cues",
+    """SELECT base_id AS track_id, ordinal, role, position_ms + shift AS position_ms, end_ms + shift AS end_ms,
+       slot, name, colour FROM cues_b JOIN links ON track_id = incoming_id""",
+    "links", "cues_b",
+)
+view(
+    "inc_tempo",
+    """SELECT base_id AS track_id, position_ms + shift AS position_ms, bpm, beat
+       FROM tempo_b JOIN links ON track_id = incoming_id""",
+    "links", "tempo_b",
+)
+view(
+    "idmap",
+    """SELECT t.track_id AS incoming_id, coalesce(base_id, 'sync:' || t.track_id) AS merged_id
+       FROM tracks_b t LEFT JOIN matches ON incoming_id = t.track_id""",
+    "matches",
+)
