@@ -1,6 +1,6 @@
 """Import every catalogue module, so their queries register."""
 
-from segue.catalog import matching, merging, scalars  # noqa: F401
+from segue.catalog import gridding, matching, merging, scalars  # noqa: F401
 from segue.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -138,3 +138,28 @@ def group_values(
     whole = parts.groupBy(*keys).agg(*[second[k](n).alias(n) for n, (k, _) in aggs.items()])
     back = parts.select(*keys, "_salt").join(whole, list(keys))
     return rows.join(back, [*keys, "_salt"]).drop("_salt")
+
+
+def around(
+    df: DataFrame, keys: Sequence[str], order: str, take: Sequence[str],
+    ties: Sequence[str] = (), width: float = CHUNK,
+) -> DataFrame:
+    """Both neighbours of every row, as structs ``prev`` and ``next``, in one pass."""
+    rows = _chunked(df, order, width)
+    value = F.struct(*[F.col(c) for c in take])
+    rank = F.struct(order, *ties)
+    win = _inner(keys, order, ties)
+    chunks = rows.groupBy(*keys, _C).agg(
+        F.max_by(value, rank).alias("_last"), F.min_by(value, rank).alias("_first")
+    )
+    across = _across(keys)
+    chunks = chunks.select(
+        *keys, _C, F.lag("_last").over(across).alias("_p"), F.lead("_first").over(across).alias("_n")
+    )
+    local = rows.withColumn("_lp", F.lag(value).over(win)).withColumn("_ln", F.lead(value).over(win))
+    return (
+        _attach(local, chunks, keys)
+        .withColumn("prev", F.coalesce("_lp", "_p"))
+        .withColumn("next", F.coalesce("_ln", "_n"))
+        .drop("_lp", "_ln", "_p", "_n")
+    )
