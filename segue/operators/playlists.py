@@ -6,8 +6,6 @@ position, so one very long playlist is not sorted by a single task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,42 +88,43 @@ def tree_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     Levels are joined upwards until no node has a parent left, so the number of rounds
     is the depth of the deepest tree; each round is one equi join of the open nodes.
     """
-    on = "library_id"
+    step_key = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("node_id").alias("id"))
     up = nodes.select(
-        on, F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"),
-        F.col("name").alias("_name"), F.col("seq").alias("_seq"),
+        F.col("library_id").alias("_lib"), F.col("node_id").alias("_id"),
+        F.col("parent_id").alias("_up"), F.col("name").alias("_name"), step_key.alias("_key"),
     )
-    out = nodes.select(
-        *nodes.columns, F.col("parent_id").alias("_next"),
-        F.array("name").alias("path"),
-        F.array(F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("node_id").alias("id"))).alias("sort_key"),
+    opened = nodes.select(
+        *nodes.columns, F.col("parent_id").alias("_next"), F.array("name").alias("path"),
+        F.array(step_key).alias("sort_key"),
     )
     done = None
     for _ in range(max_depth + 1):
-        step = out.join(up, [out[on] == up[on], F.col("_next") == F.col("_id")], "left").drop(
-            up[on]
-        )
+        same = (F.col("library_id") == F.col("_lib")) & (F.col("_next") == F.col("_id"))
+        step = opened.join(up, same, "left")
         closed = step.where("_id IS NULL").select(*nodes.columns, "path", "sort_key")
         done = closed if done is None else done.unionByName(closed)
-        out = step.where("_id IS NOT NULL").select(
+        opened = step.where("_id IS NOT NULL").select(
             *nodes.columns, F.col("_up").alias("_next"),
             F.concat(F.array("_name"), "path").alias("path"),
-            F.concat(
-                F.array(F.struct(F.col("_seq").cast("bigint").alias("seq"), F.col("_id").alias("id"))), "sort_key"
-            ).alias("sort_key"),
+            F.concat(F.array("_key"), "sort_key").alias("sort_key"),
         )
-        if out.isEmpty():
+        opened = materialise(opened, "tree-level")
+        if opened.isEmpty():
             return done
     raise ValueError(f"playlist tree deeper than {max_depth} levels, or a folder contains itself")
 
 
 def select_playlists(
-    nodes: DataFrame, entries: DataFrame, tracks: DataFrame, wanted: Sequence[str]
+    nodes: DataFrame, entries: DataFrame, tracks: DataFrame, wanted: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Named lists (``"Folder / Name"``), the folders above them, their entries and tracks."""
+    """Named lists (``wanted(library_id, wanted)`` as ``"Folder / Name"``), the folders above
+    them, their entries and tracks (J14)."""
     key = ["library_id", "node_id"]
-    lists = nodes.where(~F.col("is_folder")).where(
-        F.array_join("path", " / ").isin(list(wanted))
+    lists = (
+        nodes.where(~F.col("is_folder"))
+        .withColumn("wanted", F.array_join("path", " / "))
+        .join(wanted.distinct(), ["library_id", "wanted"], "left_semi")
+        .drop("wanted")
     )
     above = lists.select(
         "library_id",
