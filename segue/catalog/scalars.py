@@ -169,9 +169,12 @@ def fat_safe_names(spark, sf):
     year = F.when(m == 0, "0").otherwise(
         F.concat(F.lit(" "), (c("p_size") + 1900).cast("string"), F.lit("-05"))
     )
-    return p.select(
-        "p_partkey", T.fat_safe(raw, 12).alias("safe"), T.year_digits(year).alias("year"),
-        T.year_or_empty(year).alias("year_text"),
+    return T.with_fat_safe(
+        p.select(
+            "p_partkey", raw.alias("safe"), T.year_digits(year).alias("year"),
+            T.year_or_empty(year).alias("year_text"),
+        ),
+        {"safe": 12},
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from segue.functions.text import normalise_path
+from segue.functions.text import let, normalise_path
 
 # File kind labels, device file-type codes, formats players cannot play.
 KIND_LABELS = {
@@ -98,12 +98,6 @@ def analysis_folder(path: Column) -> Column:
     The JVM's own string units are read from the UTF-16 encoding, four hex digits each;
     each unit is folded in twice with different multipliers.
     """
-    digits = F.hex(F.encode(path, "UTF-16BE"))
-    units = F.transform(
-        F.when(F.length(path) > 0, F.sequence(F.lit(0), (F.length(digits) / 4 - 1).cast("int")))
-        .otherwise(F.array().cast("array<int>")),
-        lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
-    )
     low32 = F.lit(0xFFFFFFFF)
 
     def fold(acc: Column, unit: Column) -> Column:
@@ -111,14 +105,24 @@ def analysis_folder(path: Column) -> Column:
             acc = (acc * m + unit).bitwiseAND(low32)
         return acc
 
-    r = F.aggregate(units, F.lit(0).cast("bigint"), fold) % HASH_MODULUS
-    bucket = F.lit(0).cast("bigint")
-    for shift, mask in BUCKET_BITS:
-        bucket = bucket.bitwiseOR(F.shiftright(r, shift).bitwiseAND(F.lit(mask).cast("bigint")))
-    return F.concat(
-        F.lit("/PIONEER/USBANLZ/P"), F.lpad(F.hex(bucket), 3, "0"), F.lit("/"),
-        F.lpad(F.hex(r), 8, "0"),
-    )
+    def hashed(digits: Column) -> Column:
+        units = F.filter(F.sequence(F.lit(0), F.length(digits), F.lit(4)), lambda i: i < F.length(digits))
+        return F.aggregate(
+            units, F.lit(0).cast("bigint"),
+            lambda acc, i: fold(acc, F.conv(F.substring(digits, i + 1, F.lit(4)), 16, 10).cast("bigint")),
+        ) % HASH_MODULUS
+
+    def folder(r: Column) -> Column:
+        bucket = F.lit(0).cast("bigint")
+        for shift, mask in BUCKET_BITS:
+            bits = F.shiftright(r, shift).bitwiseAND(F.lit(mask).cast("bigint"))
+            bucket = bucket.bitwiseOR(bits)
+        return F.concat(
+            F.lit("/PIONEER/USBANLZ/P"), F.lpad(F.hex(bucket), 3, "0"), F.lit("/"),
+            F.lpad(F.hex(r), 8, "0"),
+        )
+
+    return let(let(F.hex(F.encode(path, "UTF-16BE")), hashed), folder)
 
 
 def playlist_path(parents: Column, name: Column) -> Column:

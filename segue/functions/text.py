@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -16,6 +16,11 @@ _SEPARATORS = r"[^\p{L}\p{N}]+"
 _ASCII = r"^[\x00-\x7F]*$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise_path(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
@@ -24,12 +29,13 @@ def is_windows_path(path: Column) -> Column:
     return (F.substring(path, 2, 1) == ":") | path.startswith("\\\\")
 
 
+# Everything up to the last separator; a backslash separates only in Windows-style paths.
+_FOLDERS = r"(?s)^(?:(?:.:|\\\\)(?:.*[\\/])?|.*/)"
+
+
 def file_name(path: Column) -> Column:
-    """Last component; only Windows-style paths treat a backslash as a separator."""
-    text = F.when(is_windows_path(path), normalise_path(path)).otherwise(path)
-    text = F.regexp_replace(text, "^([A-Za-z]:)", "")
-    # "." components vanish and trailing slashes do not make an empty name
-    return F.regexp_extract(text, r"([^/]*?)(?:/\.?)*$", 1)
+    """Last component of a POSIX or Windows-style path."""
+    return F.regexp_replace(F.regexp_replace(path, "/+$", ""), _FOLDERS, "")
 
 
 def extension(path: Column) -> Column:
@@ -104,14 +110,25 @@ def path_key(path: Column, exact: bool = True) -> Column:
     return casefold(normalise_path(path), exact)
 
 
-def fat_safe(name: Column, limit: int = 80, exact: bool = True) -> Column:
-    """A path component a FAT volume accepts, in composed form."""
-    text = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")
-    if exact:
-        text = F.coalesce(F.when(is_ascii(text), text), _non_ascii_only(_nfc, text))
+def _cut(text: Column, limit: int) -> Column:
     text = F.regexp_replace(strip(text), r"\.+$", "")
     text = F.regexp_replace(F.substring(text, 1, limit), r"[ .]+$", "")
-    return strip(F.when(text == "", F.lit("Unknown")).otherwise(text))
+    return strip(F.coalesce(F.nullif(text, F.lit("")), F.lit("Unknown")))
+
+
+def with_fat_safe(df: DataFrame, limits: dict[str, int], exact: bool = True) -> DataFrame:
+    """Turn the named columns into path components a FAT volume accepts, in composed form."""
+    unsafe = r'[<>:"/\\|?*\x00-\x1f]'
+    for name in limits:
+        df = df.withColumn(name, F.regexp_replace(name, unsafe, "_"))
+    if exact:
+        composed = {n: _non_ascii_only(_nfc, F.col(n)) for n in limits}
+        df = df.withColumns({f"_nfc{n}": v for n, v in composed.items()})
+        for n in limits:
+            df = df.withColumn(n, F.coalesce(f"_nfc{n}", n)).drop(f"_nfc{n}")
+    for name, limit in limits.items():
+        df = df.withColumn(name, _cut(F.col(name), limit))
+    return df
 
 
 def strip(text: Column) -> Column:

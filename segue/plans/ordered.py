@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
-_C = "_chunk"
+_C = "__chunk"
 
 
 def _chunked(df: DataFrame, order: str, width: float) -> DataFrame:
@@ -50,15 +50,15 @@ def ranked(
     """1-based ``row_number`` by ``order, *ties`` within ``keys``."""
     rows = _chunked(df, order, width)
     chunks = (
-        rows.groupBy(*keys, _C).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)))
-        .drop("_n")
+        rows.groupBy(*keys, _C).agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__off", F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0)))
+        .drop("__n")
     )
-    local = rows.withColumn("_rn", F.row_number().over(_inner(keys, order, ties)))
+    local = rows.withColumn("__rn", F.row_number().over(_inner(keys, order, ties)))
     return (
         _attach(local, chunks, keys)
-        .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_rn", "_off")
+        .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint"))
+        .drop("__rn", "__off")
     )
 
 
@@ -73,18 +73,18 @@ def neighbours(
     win = _inner(keys, order, ties)
     if step < 0:
         edge = F.max_by(value, rank)
-        chunks = rows.groupBy(*keys, _C).agg(edge.alias("_e"))
-        chunks = chunks.withColumn("_e", F.lag("_e").over(_across(keys)))
-        local = rows.withColumn("_l", F.lag(value).over(win))
+        chunks = rows.groupBy(*keys, _C).agg(edge.alias("__e"))
+        chunks = chunks.withColumn("__e", F.lag("__e").over(_across(keys)))
+        local = rows.withColumn("__l", F.lag(value).over(win))
     else:
         edge = F.min_by(value, rank)
-        chunks = rows.groupBy(*keys, _C).agg(edge.alias("_e"))
-        chunks = chunks.withColumn("_e", F.lead("_e").over(_across(keys)))
-        local = rows.withColumn("_l", F.lead(value).over(win))
+        chunks = rows.groupBy(*keys, _C).agg(edge.alias("__e"))
+        chunks = chunks.withColumn("__e", F.lead("__e").over(_across(keys)))
+        local = rows.withColumn("__l", F.lead(value).over(win))
     return (
         _attach(local, chunks, keys)
-        .withColumn(out, F.coalesce("_l", "_e"))
-        .drop("_l", "_e")
+        .withColumn(out, F.coalesce("__l", "__e"))
+        .drop("__l", "__e")
     )
 
 
@@ -93,34 +93,34 @@ def running(
     ties: Sequence[str] = (), width: float = CHUNK, inclusive: bool = True,
 ) -> DataFrame:
     """Running ``sum``, ``max`` or ``last`` (non-NULL) of ``value`` in order."""
-    rows = _chunked(df, order, width).withColumn("_v", value)
+    rows = _chunked(df, order, width).withColumn("__v", value)
     win = _inner(keys, order, ties)
     win = win.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    present = F.col("_v").isNotNull()
+    present = F.col("__v").isNotNull()
     if kind == "sum":
-        total, carry, local = F.sum("_v"), F.sum("_t"), F.sum("_v").over(win)
+        total, carry, local = F.sum("__v"), F.sum("__t"), F.sum("__v").over(win)
     elif kind == "max":
-        total, carry, local = F.max("_v"), F.max("_t"), F.max("_v").over(win)
+        total, carry, local = F.max("__v"), F.max("__t"), F.max("__v").over(win)
     elif kind == "last":
-        total = F.max_by("_v", F.when(present, F.struct(order, *ties)))
-        carry = F.last("_t", ignorenulls=True)
-        local = F.last("_v", ignorenulls=True).over(win)
+        total = F.max_by("__v", F.when(present, F.struct(order, *ties)))
+        carry = F.last("__t", ignorenulls=True)
+        local = F.last("__v", ignorenulls=True).over(win)
     else:
         raise ValueError(kind)
     chunks = (
-        rows.groupBy(*keys, _C).agg(total.alias("_t"))
-        .withColumn("_carry", carry.over(_before(keys)))
-        .drop("_t")
+        rows.groupBy(*keys, _C).agg(total.alias("__t"))
+        .withColumn("__carry", carry.over(_before(keys)))
+        .drop("__t")
     )
-    joined = _attach(rows.withColumn("_l", local), chunks, keys)
-    l, c = F.col("_l"), F.col("_carry")
+    joined = _attach(rows.withColumn("__l", local), chunks, keys)
+    l, c = F.col("__l"), F.col("__carry")
     if kind == "sum":
         value_out = F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0))
     elif kind == "max":
         value_out = F.greatest(l, c)  # greatest skips NULLs
     else:
         value_out = F.coalesce(l, c)
-    return joined.withColumn(out, value_out).drop("_v", "_l", "_carry")
+    return joined.withColumn(out, value_out).drop("__v", "__l", "__carry")
 
 
 def group_values(
@@ -131,13 +131,13 @@ def group_values(
 
     ``aggs`` maps an output name to ``(max|min|sum|count, column)``.
     """
-    rows = df.withColumn("_salt", salt)
+    rows = df.withColumn("__salt", salt)
     first = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
     second = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
-    parts = rows.groupBy(*keys, "_salt").agg(*[first[k](c).alias(n) for n, (k, c) in aggs.items()])
+    parts = rows.groupBy(*keys, "__salt").agg(*[first[k](c).alias(n) for n, (k, c) in aggs.items()])
     whole = parts.groupBy(*keys).agg(*[second[k](n).alias(n) for n, (k, _) in aggs.items()])
-    back = parts.select(*keys, "_salt").join(whole, list(keys))
-    return rows.join(back, [*keys, "_salt"]).drop("_salt")
+    back = parts.select(*keys, "__salt").join(whole, list(keys))
+    return rows.join(back, [*keys, "__salt"]).drop("__salt")
 
 
 def around(
@@ -150,16 +150,38 @@ def around(
     rank = F.struct(order, *ties)
     win = _inner(keys, order, ties)
     chunks = rows.groupBy(*keys, _C).agg(
-        F.max_by(value, rank).alias("_last"), F.min_by(value, rank).alias("_first")
+        F.max_by(value, rank).alias("__last"), F.min_by(value, rank).alias("__first")
     )
     across = _across(keys)
     chunks = chunks.select(
-        *keys, _C, F.lag("_last").over(across).alias("_p"), F.lead("_first").over(across).alias("_n")
+        *keys, _C, F.lag("__last").over(across).alias("__p"), F.lead("__first").over(across).alias("__n")
     )
-    local = rows.withColumn("_lp", F.lag(value).over(win)).withColumn("_ln", F.lead(value).over(win))
+    local = rows.withColumn("__lp", F.lag(value).over(win)).withColumn("__ln", F.lead(value).over(win))
     return (
         _attach(local, chunks, keys)
-        .withColumn("prev", F.coalesce("_lp", "_p"))
-        .withColumn("next", F.coalesce("_ln", "_n"))
-        .drop("_lp", "_ln", "_p", "_n")
+        .withColumn("prev", F.coalesce("__lp", "__p"))
+        .withColumn("next", F.coalesce("__ln", "__n"))
+        .drop("__lp", "__ln", "__p", "__n")
     )
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column],
+    width: float = CHUNK,
+) -> DataFrame:
+    """Several inclusive running maxima in one pass."""
+    rows = _chunked(df, order, width)
+    for name, value in values.items():
+        rows = rows.withColumn(name, value)
+    names = list(values)
+    chunks = rows.groupBy(*keys, _C).agg(*[F.max(n).alias(n) for n in names])
+    before = _before(keys)
+    carry = chunks.select(*keys, _C, *[F.max(n).over(before).alias(f"__c_{n}") for n in names])
+    win = _inner(keys, order, ()).rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select(
+        *[c for c in rows.columns if c not in names], *[F.max(n).over(win).alias(n) for n in names]
+    )
+    out = _attach(local, carry, keys)
+    for n in names:
+        out = out.withColumn(n, F.greatest(F.col(n), F.col(f"__c_{n}"))).drop(f"__c_{n}")
+    return out
