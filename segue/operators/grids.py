@@ -188,9 +188,9 @@ def _fold_sections(runs: DataFrame, keys, first_beat: int, tolerance_ms: float)
     folded = runs.select(*keys, F.explode(F.aggregate("a", empty, step)).alias("s"))
     return folded.select(
         *keys, F.col("s.at").alias("position_ms"),
-        (F.lit(60000.0) * F.col("s.n") / (F.col("s.to") - F.col("s.at"))).alias("bpm"),
+        F.try_divide(F.lit(60000.0) * F.col("s.n"), F.col("s.to") - F.col("s.at")).alias("bpm"),
         (F.pmod(F.col("s.i") + (first_beat - 1), F.lit(4)) + 1).cast("int").alias("beat"),
-    )
+    ).where("bpm IS NOT NULL")  # fmt: skip  (beats at one position have no tempo)
 
 
 # --- F5: per-beat rows -> sections --------------------------------------------------------------
