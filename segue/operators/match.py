@@ -260,12 +260,12 @@ FOLD_SCHEMA = (
 
 
 def fold_block(
-    base: list[tuple[float, str, int]], inc: list[tuple[int, str, float, int]], tolerance: float
+    base: list[tuple[float, str, int]], inc: list[tuple[int, str, float, bool]], tolerance: float
 ) -> tuple[list[tuple[str, str]], list[tuple[float, int]]]:
     """Walk a block's incoming rows in order; take a base track when it is the only free one.
 
     ``base`` holds (duration, id, tracks of that duration), ``inc`` (ordinal, id, duration,
-    rows supplied for that duration; more than FIRST_ROWS means there may be others).  Returns the pairs, or the rows some group still needs as
+    whether that duration has rows beyond those supplied).  Returns the pairs, or the rows some group still needs as
     (duration, after ordinal) when the first few of that group were not enough.
     """
     zero_free = [i for d, i, _ in base if d == 0]
@@ -296,7 +296,7 @@ def fold_block(
     unseen: dict[float, int] = {}
     for _, _, d, _ in inc:
         unseen[d] = unseen.get(d, 0) + 1
-    cut_short = sorted({d for _, _, d, n in inc if n > FIRST_ROWS})
+    cut_short = sorted({d for _, _, d, more in inc if more})
     pairs: list[tuple[str, str]] = []
     for ordinal, track, d, _ in sorted(inc):
         unseen[d] -= 1
@@ -321,7 +321,7 @@ def _fold_partition(tolerance: float):
             out = []
             for r in batch.itertuples(index=False):
                 base = list(zip(r.b_duration, r.b_id, r.b_n))
-                inc = list(zip(r.i_ordinal, r.i_id, r.i_duration, r.i_n))
+                inc = list(zip(r.i_ordinal, r.i_id, r.i_duration, r.i_more))
                 pairs, wanted = fold_block(base, inc, tolerance)
                 head = (r.pair_id, r.artist_key, r.title_key, r.component)
                 out += [(*head, None, i, b, None) for i, b in pairs]
@@ -347,7 +347,7 @@ def _fold(work: DataFrame, tolerance: float) -> DataFrame:
             F.collect_list(
                 F.when(
                     ~is_base,
-                    F.transform("first", lambda f: F.struct(f["ordinal"].alias("ordinal"), f["id"].alias("id"), c("duration").alias("duration"), c("n").alias("n"))),
+                    F.transform("first", lambda f: F.struct(f["ordinal"].alias("ordinal"), f["id"].alias("id"), c("duration").alias("duration"), (c("n") > FIRST_ROWS).alias("more"))),
                 )
             )
         ).alias("i"),
@@ -355,7 +355,7 @@ def _fold(work: DataFrame, tolerance: float) -> DataFrame:
     flat = blocks.select(
         *_BLOCK, "component",
         *[c(f"b.{f}").alias(f"b_{f}") for f in ("duration", "id", "n")],
-        *[c(f"i.{f}").alias(f"i_{f}") for f in ("ordinal", "id", "duration", "n")],
+        *[c(f"i.{f}").alias(f"i_{f}") for f in ("ordinal", "id", "duration", "more")],
     )
     return flat.mapInPandas(_fold_partition(tolerance), FOLD_SCHEMA)
 
