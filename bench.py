@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from segue.catalog.load import QUERIES  # noqa: E402
-from segue.session import local_session  # noqa: E402
+from segue.session import drop_materialised, local_session  # noqa: E402
 
 HEADLINE = (
     "match_report", "path_rules_rewrite", "path_rules_table", "simplified_grids", "expanded_beats",
@@ -44,6 +44,7 @@ def main() -> None:
             }
         )
     )
+    drop_materialised(spark)
     spark.stop()
 
 

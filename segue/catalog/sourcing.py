@@ -286,8 +286,8 @@ def device_source_tracks(spark, sf):
     dim = lambda t, k, v: S.table(spark, sf, t).select(lib(), c(k).alias("id"), c(v).alias("name"))
     content = S.table(spark, sf, "part").select(
         lib(), n.alias("id"), F.concat(F.lit("/Contents/"), "p_name").alias("file_path"), c("p_name").alias("title"),
-        (n % 150).alias("artist_id"), size.cast("bigint").alias("remixer_id"), F.lit(0).cast("bigint").alias("composer_id"),
-        (n % 30).cast("int").alias("album_id"), F.lit(0).alias("genre_id"), F.lit(0).cast("bigint").alias("label_id"), F.lit(0).cast("bigint").alias("key_id"),
+        (n % 150).alias("artist_id"), size.cast("bigint").alias("remixer_id"), F.least(n, F.lit(0)).alias("composer_id"),
+        (n % 30).cast("int").alias("album_id"), F.least(n, F.lit(0)).cast("int").alias("genre_id"), F.least(n, F.lit(0)).alias("label_id"), F.least(n, F.lit(0)).alias("key_id"),
         F.lit("").alias("comment"), (size % 2 * 1999).alias("year"), F.lit(0).alias("track_number"), size.alias("duration"),
         F.lit(44100).alias("sample_rate"), F.lit(320).alias("bitrate"), F.lit(1).cast("bigint").alias("file_size"), (size * 100 + 50).alias("tempo"),
         (n % 9).alias("rating"), F.lit(0).alias("color_id"), F.lit(0).alias("play_count"), F.lit("2020-01-01").alias("date_added"),

@@ -412,11 +412,10 @@ def _fold_rounds(
 
 def match_report(base: DataFrame, incoming: DataFrame, matches: DataFrame) -> DataFrame:
     """Per pair and rule: tracks matched; unmatched incoming tracks count as ``added``."""
-    base_n = with_pair(incoming).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"))
-    by_rule = matches.groupBy("pair_id", "rule").agg(F.count(F.lit(1)).alias("tracks"))
-    matched = by_rule.groupBy("pair_id").agg(F.sum("tracks").alias("m"))
-    added = base_n.join(matched, "pair_id", "left").select(
-        "pair_id", F.lit("added").alias("rule"),
-        (F.col("n") - F.coalesce("m", F.lit(0))).alias("tracks"),
-    )
-    return by_rule.unionByName(added)
+    one = F.lit(1).cast("bigint")
+    by_rule = matches.select("pair_id", "rule", one.alias("n"))
+    unmatched = with_pair(incoming).select("pair_id", one.alias("n")).unionByName(
+        matches.select("pair_id", (-one).alias("n"))
+    )
+    rows = by_rule.unionByName(unmatched.withColumn("rule", F.lit("added")).select("pair_id", "rule", "n"))
+    return rows.groupBy("pair_id", "rule").agg(F.sum("n").alias("tracks"))

@@ -120,10 +120,10 @@ def common_folders(tracks: DataFrame, k: int = 6) -> DataFrame:
 def track_page(tracks: DataFrame, k: int, *order) -> DataFrame:
     """One page of tracks with the total of the whole selection (L2).
 
-    The page is a distributed top-k; the one-row total joins it by broadcast.
+    The page is a distributed top-k; the total is a scalar subquery, not a join.
     """
     total = tracks.agg(F.count(F.lit(1)).alias("total"))
-    return tracks.orderBy(*order).limit(k).join(F.broadcast(total))
+    return tracks.orderBy(*order).limit(k).withColumn("total", total.scalar())
 
 
 def missing_files(tracks: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -43,10 +43,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, a lost
     executor costs nothing, and each later step reads only the columns it needs."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/segue/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete the tables this process wrote with `materialise`, once nothing reads them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from segue.session import local_session  # noqa: E402
+from segue.session import drop_materialised, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = local_session("segue-tests", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_materialised(session)
     session.stop()
