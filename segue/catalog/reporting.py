@@ -15,6 +15,7 @@ from segue.operators import playlists as P
 from segue.operators import reports as R
 from segue.operators import rewrite as W
 from segue.operators import select as J
+from segue.plans.ordered import ranked
 
 c = F.col
 
@@ -220,14 +221,18 @@ def first_details(spark, sf):
 
 @query(
     "ordered_hot_cues",
-    with_views("cues_all", "SELECT track_id, string_agg(slot || '@' || position_ms::BIGINT, ' ' ORDER BY slot, position_ms, ordinal) AS cues FROM cues_all WHERE slot IS NOT NULL GROUP BY 1"),
+    with_views(
+        "cues_all",
+        """SELECT track_id, ordinal, slot, position_ms, row_number() OVER (PARTITION BY track_id ORDER BY slot, position_ms, ordinal) AS place
+           FROM cues_all WHERE slot IS NOT NULL""",
+    ),
 )
 def ordered_hot_cues(spark, sf):
-    """Hot cues of a track in slot order."""
+    """Place of each hot cue in its track, by slot and position."""
     q = S.cues(spark, sf, "all").where("slot IS NOT NULL")
-    rows = F.sort_array(F.collect_list(F.struct("slot", "position_ms", "ordinal")))
-    text = F.transform(rows, lambda x: F.concat(x["slot"].cast("string"), F.lit("@"), x["position_ms"].cast("bigint").cast("string")))
-    return q.groupBy("track_id").agg(F.array_join(text, " ").alias("cues"))
+    q = q.withColumn("key", c("slot") * 1e9 + c("position_ms"))
+    out = ranked(q, ["track_id"], "key", "place", ["ordinal"], width=1e4)
+    return out.select("track_id", "ordinal", "slot", "position_ms", "place")
 
 
 # --- playlists ---------------------------------------------------------------------------------

@@ -472,24 +472,24 @@ def first_downbeats(spark, sf):
 
 @query(
     "beat_frames",
-    f"""SELECT user_id, pos AS beat, {sql_milli('p')} AS position FROM (
-        SELECT user_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (
-          SELECT user_id, list_sort(list(floor(value * 100) * 1000.0 / 44100 + 26)) AS l FROM events
-          WHERE event_type <> 'error' AND value >= 1 GROUP BY user_id))""",
+    f"""SELECT map_id, pos AS beat, {sql_milli('p')} AS position FROM (
+        SELECT map_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (
+          SELECT event_id // 64 AS map_id, list_sort(list(floor(value * 100) * 1000.0 / 44100 + 26)) AS l FROM events
+          WHERE event_type <> 'error' AND value >= 1 GROUP BY 1))""",
 )
 def beat_frames(spark, sf):
     """Enabled, non-negative frames in order, as milliseconds."""
     e = S.table(spark, sf, "events")
     frame = F.when(c("value") >= 1, F.floor(c("value") * 100)).otherwise(-1).cast("bigint")
-    # a beat map is one row of the landed table; here each user's events stand in for it
-    maps = e.groupBy("user_id").agg(
+    # a beat map is one row of the landed table; here 64 consecutive events stand in for it
+    maps = e.groupBy(F.floor(c("event_id") / 64).alias("map_id")).agg(
         F.collect_list(
             F.struct(frame.alias("frame"), (c("event_type") != "error").alias("enabled"))
         ).alias("frames")
     )
     ms = G.beat_frames_to_ms(c("frames"), F.lit(44100), F.lit(26.0))
-    return maps.select("user_id", F.posexplode(ms).alias("i", "p")).select(
-        "user_id", (c("i") + 1).alias("beat"), milli(c("p")).alias("position")
+    return maps.select("map_id", F.posexplode(ms).alias("i", "p")).select(
+        "map_id", (c("i") + 1).alias("beat"), milli(c("p")).alias("position")
     )
 
 

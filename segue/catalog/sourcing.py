@@ -58,7 +58,7 @@ def mixxx_tables(spark, sf):
         F.when(c("l_returnflag") == "N", -1.0).otherwise(c("l_extendedprice")).alias("position"),
         (c("l_quantity") * 100 - 500).alias("length"), F.lit(255).alias("color"), c("l_linestatus").alias("label"),
     )
-    maps = S.table(spark, sf, "events").groupBy(c("user_id").alias("track_id")).agg(
+    maps = S.table(spark, sf, "events").groupBy(F.floor(c("event_id") / 64).alias("track_id")).agg(
         F.collect_list(F.struct(F.floor(c("value") * 100).alias("frame"), (c("event_type") != "error").alias("enabled"))).alias("frames")
     )
     grids = part.select(lib(), (n + F.lit(1000000)).alias("track_id"), (c("p_size") + 60.5).alias("bpm"), (n * 100).alias("frame"))

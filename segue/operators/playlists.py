@@ -7,7 +7,6 @@ position, so one very long playlist is not sorted by a single task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segue.functions.locations import location_to_path
@@ -354,14 +353,18 @@ def merge_playlists(
     lists = lists.withColumn(
         "_group", F.when(own, F.concat_ws("\u0001", "_path", "node_id")).otherwise(F.col("_path"))
     ).withColumn("_base", F.when(~own, F.col("_base")))
-    lists = lists.withColumn(
-        "_turn", F.row_number().over(W.partitionBy(pair, "_group").orderBy("ordinal", "node_id"))
+    # many lists may share one path: their turns are ranked in chunks, not by one task
+    lists = ranked(lists, [pair, "_group"], "ordinal", "_turn", ["node_id"])
+    heads = lists.groupBy(pair, "_group").agg(
+        F.min_by("node_id", F.struct("ordinal", "node_id")).alias("_head")
     )
-    new_id = F.concat(F.lit("sync:"), F.first("node_id").over(
-        W.partitionBy(pair, "_group").orderBy("ordinal", "node_id")))
-    lists = lists.withColumn("_to", F.coalesce("_base", new_id)).withColumn(
-        "_new", F.col("_base").isNull()
+    lists = (
+        lists.join(heads, [pair, "_group"])
+        .withColumn("_to", F.coalesce("_base", F.concat(F.lit("sync:"), "_head")))
+        .withColumn("_new", F.col("_base").isNull())
+        .drop("_head")
     )
+    lists = materialise(lists, "list-targets")  # read by every step below
     mapped = (
         inc_entries.withColumnRenamed("track_id", "incoming_id")
         .join(ids, [pair, "incoming_id"])
@@ -396,9 +399,8 @@ def merge_playlists(
     ranked_old = ranked(kept, on, "position", "_r", ties=["track_id"])
     ranked_new = ranked(fresh, [*on, "_turn"], "position", "_r", ties=["track_id"])
     per_turn = fresh.groupBy(*on, "_turn").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*on).orderBy("_turn").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        per_turn.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        running(per_turn, on, "_turn", F.col("_n"), "sum", "_off", inclusive=False)
         .join(base_size, on, "left")
         .select(*on, "_turn", (F.col("_off") + F.coalesce("_size", F.lit(0))).alias("_off"))
     )
