@@ -18,6 +18,7 @@ from segue.functions.text import extension
 from segue.operators.rewrite import apply_rules
 from segue.options import MergeOptions
 from segue.schema import TEXT_FIELDS, VALUE_FIELDS
+from segue.session import materialise
 
 TRANSCODE_MS = 26.0  # encoder delay between an MP3 and the file it was made from
 TRACK = ["pair_id", "track_id"]
@@ -193,8 +194,9 @@ def merge_cues(
     Cues of a track read in the order (position_ms, side, ordinal).
     """
     b = with_spot(base).withColumn("side", F.lit(0))
-    i = with_spot(incoming).withColumn("side", F.lit(1))
-    got = incoming.select(*TRACK).distinct()  # tracks without incoming cues stay as they are
+    # a join of cues and matches that every rule below reads: written once
+    i = materialise(with_spot(incoming).withColumn("side", F.lit(1)), "incoming-cues")
+    got = i.select(*TRACK).distinct()  # tracks without incoming cues stay as they are
     had = base.select(*TRACK).distinct()
     if options.cues == "fill" or (options.cues == "replace" and options.prefer != "incoming"):
         fresh = i.join(had, TRACK, "left_anti")

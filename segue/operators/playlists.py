@@ -371,6 +371,7 @@ def merge_playlists(
         .join(lists.select(pair, "node_id", "_to", "_turn", "_new"), [pair, "node_id"])
         .select(pair, F.col("_to").alias("node_id"), "_turn", "_new", "position", F.col("merged_id").alias("track_id"))
     )
+    mapped = materialise(mapped, "list-entries")
     touched = lists.select(pair, F.col("_to").alias("node_id")).distinct()
     on = [pair, "node_id"]
     old = base_entries.join(touched, on, "left_semi")

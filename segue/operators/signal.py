@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segue.plans.ordered import group_values, running_max
+from segue.session import materialise
 
 # --- fixed values: rates, release factors, gain targets and scales of the target format ---
 COLUMNS_PER_SECOND = 150
@@ -148,12 +150,15 @@ def _rms(details: DataFrame, parts: int) -> DataFrame:
     total = F.sum("samples")
     rms = F.when(total > 0, F.sqrt(F.sum("sumsq") / total)).otherwise(0.0)
     out = _bucketed(details, parts, rms.alias("rms"))
-    # `parts` rows per track: the bound is a constant
-    return out.join(out.groupBy(*TRACK).agg(F.max("rms").alias("top")), TRACK)
+    # `parts` rows per track, a constant: a plain window is bounded
+    return out.withColumn("top", F.max("rms").over(W.partitionBy(*TRACK)))
 
 
 def preview(details: DataFrame) -> DataFrame:
     """400 packed bytes: loudness to the loudest bucket, whiteness of 200 buckets."""
+    details = materialise(
+        details.select(*TRACK, "col", "n", "samples", "sumsq", "whiteness"), "signal-detail"
+    )
     loud = _rms(details, 400)
     mean = F.rint(F.sum("whiteness") / F.count(F.lit(1)))
     white = _bucketed(details, 200, mean.alias("w")).withColumnRenamed("bucket", "half")
