@@ -10,7 +10,6 @@ from segue.catalog.scalars import paths
 from segue.catalog.sql import view, with_views
 from segue.functions import keys as KEY
 from segue.operators import dims as D
-from segue.operators import merge as M
 from segue.operators import playlists as P
 from segue.operators import reports as R
 from segue.operators import rewrite as W
