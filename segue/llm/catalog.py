@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segue.llm.bit_sliced import top_products
+from segue.llm.collision_search import nearest_vectors
+from segue.llm.languages import predict_languages
 from segue.llm.packing import pack_documents
-from segue.llm.shared import table
+from segue.llm.shared import held_out, table
+from segue.llm.simhash import near_duplicates
 from segue.llm.token_counts import count_tokens
 from segue.llm.token_store import stored_documents, write_tokens
+from segue.llm.toxicity import score_toxicity
 from segue.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +33,44 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_collision_search")
+def op1_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query("op2_best_fit_packing")
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+OP3_SQL = """
+WITH parts AS (
+    SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+whole AS (SELECT vec_id, i, floor(64 * x::DOUBLE)::BIGINT AS x FROM parts),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0 GROUP BY ALL
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op3_bit_sliced_search", OP3_SQL)
+def op3_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query("op6_token_store")
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/segue/tokens-{uuid.uuid4().hex}"
@@ -40,6 +78,16 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(spark, path, with_ids=False)
 
 
+@query("op8_language_mixture")
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), limit=2048)
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 def text_slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) pieces of a string array of about ``max_bytes`` each, so temporary
     arrays stay small whatever the batch; one very long text is a slice of its own."""
-    sizes = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64))
+    sizes = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64))
     row = 0
     while row < len(texts):
         done = sizes[row - 1] if row else 0
@@ -35,4 +36,4 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One large-string array, NULL as the empty text (64-bit offsets: joined texts may pass 2 GB)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pa.compute.fill_null(column.cast(pa.large_string()), "")
+    return pc.fill_null(column.cast(pa.large_string()), "")
