@@ -5,17 +5,60 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from segue.llm.catalog import WEIGHTS, estimated_tokens, source_path
+from segue.llm.line_dedup import delete_repeated_lines
+from segue.llm.mixing import mix
 from segue.llm.packing import pack_documents
+from segue.llm.simhash import near_duplicates
+from segue.llm.toxicity import score_toxicity
 from segue.session import shared_folder
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 stay, as they are."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of 50 words or more are deleted; n_chars follows the text. Documents
+    of which no line with a word is left go, those that had none before stay."""
+    kept = delete_repeated_lines(docs, min_words=50)
+    changed = F.size("removed_lines") > 0
+    kept = kept.where(~changed | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document of least doc_id stays; of several rows with that
+    doc_id in the group, one."""
+    groups = near_duplicates(docs, words=5, max_bits=2, similarity=0.8)
+    first = groups.groupBy("class_id").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select(F.col("x.doc_id").alias("_doc"), F.col("x.tag").alias("_tag"))
+    keyed = docs.withColumn("_t", F.xxhash64("text"))
+    met = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first["_doc"]) & (keyed["_t"] == first["_tag"]), "left_semi")
+    return met.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Three quarters of the tokens, by the target weights, each document once at most. The document at
+    which a source's budget ends stays whole."""
+    mixed = mix(docs, source_path(), WEIGHTS, estimated_tokens(), share=0.75, max_epochs=1, seed=17)
+    empty = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) == 0)  # they cost nothing
+    return mixed.where("tokens > 0").select(*docs.columns).unionByName(empty)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document's tokens lies in the training sequences."""
     return pack_documents(docs, capacity=1024, end_id=2)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixing), ("best-fit packing", packing),
+]
+#: Compression lengths and tokenizers can't be stated in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 

@@ -33,7 +33,9 @@ from segue.llm.components import components
 from segue.llm.shared import strings
 from segue.session import materialise
 
-SEED, TOGETHER = 42, 1 << 16
+SEED, TOGETHER, VIEWS, SAMPLE = 42, 1 << 16, 10, 3
+_MIX, _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, (2, VIEWS * SAMPLE), dtype=np.uint64)
+_ODD |= np.uint64(1)
 
 
 def word_hashes(text: str, words: int) -> Iterator[np.ndarray]:
@@ -53,12 +55,26 @@ def word_hashes(text: str, words: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(joined[a:z], SEED) for a, z in some], dtype=np.uint64)
 
 
-def fingerprint(text: str, words: int) -> int:
+def fingerprint(text: str, words: int, views: int = 0) -> tuple[int, list[int]]:
+    """The SimHash of all shingles, and of ``views`` min-wise samples of ``SAMPLE`` shingles each."""
     ones, n = np.zeros(64, dtype=np.int64), 0
+    least = np.full(views * SAMPLE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    chosen = np.zeros(views * SAMPLE, dtype=np.uint64)
     for hashes in word_hashes(text, words):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones, n = ones + bits.sum(axis=0, dtype=np.int64), n + len(hashes)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+        ones, n = ones + _bits(hashes).sum(axis=0, dtype=np.int64), n + len(hashes)
+        for i in range(len(least)):
+            order = (hashes ^ _MIX[i]) * _ODD[i]
+            order ^= order >> np.uint64(29)
+            at = int(order.argmin())
+            if not n or order[at] < least[i]:
+                least[i], chosen[i] = order[at], hashes[at]
+    majority = np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0]
+    samples = _bits(chosen).reshape(views, SAMPLE, 64).sum(axis=1) * 2 > SAMPLE if views and n else np.zeros((0, 64), bool)
+    return int(majority), np.packbits(samples, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 class PerfectCode:
@@ -186,26 +202,81 @@ def fingerprint_links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
     return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "a long, b long").distinct()
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp) of every document."""
+def fingerprints(docs: DataFrame, words: int, views: int = 0) -> DataFrame:
+    """(doc_id, fp) of every document, with ``tag`` (a hash of its text) and ``views`` sample fingerprints
+    if asked for."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, words) for t in strings(batch.column("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            made = [fingerprint(t, words, views) for t in strings(batch.column("text")).to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array([x for x, _ in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in made], pa.list_(pa.int64()))], ["doc_id", "tag", "fp", "views"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
+    return rows.mapInArrow(count, "doc_id long, tag long, fp long, views array<long>")
+
+
+def similar_texts(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): fingerprints of different texts whose sets of shingles have a Jaccard similarity of
+    ``similarity`` or more, as far as one of them is the first of those that share a sample fingerprint.
+
+    A sample fingerprint is the SimHash of ``SAMPLE`` min-wise chosen shingles, so two texts share one
+    with probability similarity ** SAMPLE: of ``VIEWS`` samples, 0.999 at 0.8. Each text is compared, on
+    its whole, with the first text of each of its samples: at most ``VIEWS`` comparisons a text however
+    many share one.
+    """
+    texts = found.groupBy("fp").agg(F.min(F.struct("doc_id", "tag", "views")).alias("x")).select("fp", "x.*")
+    texts = materialise(texts, "texts")
+    samples = texts.select("fp", F.posexplode("views").alias("view", "sample"))
+    # the first by doc_id, so that a group's texts meet at the one that stays
+    first = F.min(F.struct("doc_id", "fp")).alias("first")
+    ordered = texts.select("doc_id", "fp", F.posexplode("views").alias("view", "sample"))
+    firsts = ordered.groupBy("view", "sample").agg(first, F.count("*").alias("n")).where("n > 1").select("view", "sample", F.col("first.fp").alias("a"))
+    pairs = samples.join(firsts, ["view", "sample"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    used = texts.join(used, "fp").select("fp", "doc_id", "tag")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").dropDuplicates(["doc_id", "tag"])
+    same = (whole.doc_id.eqNullSafe(used.doc_id)) & (whole.tag == used.tag)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *word_hashes(t, words)])).tobytes() for t in strings(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, fp long")
+    sets = whole.join(used, same).select("fp", "text").mapInArrow(shingles, "fp long, hashes binary")
+    sets = materialise(sets, "shingles")
+    met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a")
+    met = met.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
 
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2) -> DataFrame:
+    return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hexadecimal digits), component_id (the least
-    doc_id reachable over links)."""
-    found = materialise(fingerprints(docs, words), "fingerprints")
+    doc_id reachable over links), class_id (equal within a component), tag (a hash of the text).
+
+    With ``similarity``, texts that alike are linked too: SimHash alone sees a pair of Jaccard similarity
+    0.8 some ten bits apart, beyond what any code of few anchors covers.
+    """
+    found = materialise(fingerprints(docs, words, 0 if similarity is None else VIEWS), "fingerprints")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(fingerprint_links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    links = fingerprint_links(nodes, max_bits)
+    if similarity is not None:
+        links = links.unionByName(similar_texts(docs, found, words, similarity))
+    roots = components(links).withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    linked = linked.join(least, "root").select("fp", "root", "component_id")
+    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("class_id"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return found.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return found.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id", "class_id", "tag")
