@@ -43,11 +43,23 @@ def windows(text: str, words: int = WINDOW_WORDS) -> list[bytes]:
 
 def _contexts(texts: list[str]) -> Counter:
     """For each word, in how many different (word before, word after) it stands."""
-    seen: set[tuple[bytes, bytes, bytes]] = set()
+    number: dict[bytes, int] = {b"": 0}
+    runs = []
     for text in texts:
-        words = [b"", *(w.strip(MARKS) for w in text.lower().encode("utf-8", "replace").split()), b""]
-        seen.update(zip(words, words[1:], words[2:]))
-    return Counter(w for _, w, _ in seen)
+        words = (w.strip(MARKS) for w in text.lower().encode("utf-8", "replace").split())
+        runs.append(np.fromiter((0, *(number.setdefault(w, len(number)) for w in words), 0), dtype=np.int32))
+    if not runs:
+        return Counter()
+    places = np.concatenate(runs)
+    word, before, after = places[1:-1], places[:-2].astype(np.int64), places[2:]
+    around = before << 32 | after
+    order = np.lexsort((around, word))
+    word, around = word[order], around[order]
+    new = np.ones(len(word), dtype=bool)
+    new[1:] = (word[1:] != word[:-1]) | (around[1:] != around[:-1])
+    counts = np.bincount(word[new], minlength=len(number))
+    counts[0] = 0
+    return Counter({w: int(counts[i]) for w, i in number.items() if counts[i]})
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
