@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.bytebpe import vocabulary_file
+from segue.llm.bytebpe import MARKS, vocabulary_file
 from segue.llm.shared import strings, text_slices
 
 FREQUENT, CACHED, FAN_IN = 1 << 15, 400_000, 32
@@ -59,18 +59,25 @@ class Counter:
         ]
 
     def parts(self, parts: list[str], frequent: dict[str, int]) -> list[int]:
+        """Counts of parts: frequent ones from the broadcast, others from the cache. Latin letters and
+        the marks after them are pre-tokens of their own, so each is encoded and kept alone."""
         if len(self.cache) > CACHED:
             self.cache.clear()
         found = [frequent.get(p) for p in parts]
-        for i, n in enumerate(found):
-            if n is None:
-                found[i] = self.cache.get(parts[i])
-        misses = [p for p, n in zip(parts, found) if n is None]
-        if misses:
-            self.cache.update(zip(misses, self.whole(misses)))
-            found = [self.cache[p] if n is None else n for p, n in zip(parts, found)]
+        left = [i for i, n in enumerate(found) if n is None]
+        pairs = [(i, *self._cut(parts[i])) for i in left]
+        misses = list({x for _, word, marks in pairs for x in (word, marks) if x not in self.cache and x not in frequent})
+        self.cache.update(zip(misses, self.whole(misses)))
+        one = lambda x: self.cache[x] if x in self.cache else frequent[x]
+        for i, word, marks in pairs:
+            found[i] = one(word) + (one(marks) if marks else 0)
         return found
 
+    @staticmethod
+    def _cut(part: str) -> tuple[str, str]:
+        word = part.rstrip(MARKS)
+        return (word, part[len(word) :]) if word.isalpha() and max(word) < "Ā" else (part, "")
+
 
 def counter(vocabulary: str) -> Counter:
     if vocabulary not in _counters:
@@ -97,8 +104,10 @@ def frequent_parts(docs: DataFrame, n: int = FREQUENT) -> list[str]:
         counts: dict[str, int] = {}
         for batch in batches:
             for _, part in text_slices(strings(batch.column("text"))):
-                for x in pc.split_pattern(part, " ").flatten().value_counts().to_pylist():
-                    counts[x["values"]] = counts.get(x["values"], 0) + x["counts"]
+                found = pc.split_pattern(part, " ").flatten().value_counts()
+                found = found.filter(pc.greater(found.field("counts"), 1))  # once in some megabytes is not frequent
+                for p, k in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                    counts[p] = counts.get(p, 0) + k
                 if len(counts) > 8 * n:
                     counts = _most(counts, 4 * n)
         yield _as_row(TaskContext.get().partitionId(), _most(counts, n))
