@@ -48,7 +48,9 @@ def search(
     rows = usable(vectors)
     n, asked = rows.select(F.count("*"), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))
-    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks))
+    # both sides' keys must be of one type: Spark deals rows out by a hash that differs between types
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("vec_id", "v", "dim", shard.alias("shard"), every(blocks).alias("block"))
     asks = rows.where(is_query).select("vec_id", "v", "dim", every(shards).alias("shard"), block.alias("block"))
