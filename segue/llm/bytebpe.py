@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 from segue.llm.shared import text_slices
 
-CACHE_CHUNKS, CACHE_MARKS = 400_000, 10_000
+CACHE_CHUNKS, CACHE_MARKS = 200_000, 10_000
 # The white-space characters, ASCII marks but the apostrophe, and the printable bytes that stand for themselves.
 SPACES = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

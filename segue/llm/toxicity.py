@@ -32,6 +32,7 @@ from segue.llm.shared import held_out, strings
 
 WINDOW_WORDS, ROWS, SAMPLE_BYTES = 12, 6000, 64 << 20
 ORDINARY_WORDS, MIN_CONTEXTS, MIN_RATIO, MIN_Z, MIN_MATCH = 8000, 4, 15.0, 3.0, 6
+PAD = b"\n" * 16  # the library does not index a dictionary's last bytes
 MARKS = b".,!?;:\"'()[]{}*%#&$-"  # stripped from words before they are counted
 MODEL = "ordinary binary, toxic binary, weights array<double>"
 
@@ -87,7 +88,7 @@ class Margins:
 
         def compressor(content: bytes):
             # matches below MIN_MATCH bytes are syllables, found by chance in any text
-            known = zs.ZstdCompressionDict(content.rjust(8), dict_type=zs.DICT_TYPE_RAWCONTENT)  # 8 bytes at least
+            known = zs.ZstdCompressionDict(content + PAD, dict_type=zs.DICT_TYPE_RAWCONTENT)
             tuned = zs.ZstdCompressionParameters(
                 strategy=zs.STRATEGY_GREEDY, min_match=MIN_MATCH, search_log=5, hash_log=17, chain_log=17, window_log=20,
                 write_content_size=False, write_checksum=False, write_dict_id=False,
