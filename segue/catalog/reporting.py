@@ -176,10 +176,10 @@ def missing_file_report(spark, sf):
                SELECT library_id, rk, arg_min(prefix, (ax, ro)) AS prefix, arg_min(root, (ax, ro)) AS root FROM (
                  SELECT library_id, rk, i AS ax, array_to_string(p[1:i], '/') AS prefix, array_to_string(p[i + 1:], '/') AS rel_path FROM (
                    SELECT library_id, rk, p, unnest(range(1, len(p))) AS i FROM (
-                     SELECT library_id, string_split(location, '/') AS p, row_number() OVER w AS rk, count(*) OVER (PARTITION BY library_id) AS n
+                     SELECT library_id, string_split(location, '/') AS p, row_number() OVER w AS rk
                      FROM (SELECT library_id, ordinal, location FROM tracks_a UNION ALL SELECT library_id, ordinal, location FROM tracks_b)
                      WHERE location NOT IN (SELECT root || '/' || rel_path FROM inventory)
-                     WINDOW w AS (PARTITION BY library_id ORDER BY ordinal)) WHERE (rk - 1) % greatest(1, n // 200) = 0))
+                     WINDOW w AS (PARTITION BY library_id ORDER BY ordinal))))
                JOIN (SELECT DISTINCT root, rel_path, CASE root WHEN '/mnt/x' THEN 0 ELSE 1 END AS ro FROM inventory) USING (rel_path)
                WHERE prefix <> '' GROUP BY 1, 2) WHERE prefix <> root GROUP BY ALL)) WHERE rn = 1""",
     ),

@@ -254,7 +254,7 @@ def analysis_folder_numbers(spark, sf):
     "track_analysis_files",
     with_views(
         "tracks_a",
-        """SELECT track_id, folder || '/ANLZ' || lpad(CAST(row_number() OVER (PARTITION BY folder ORDER BY ordinal) - 1 AS VARCHAR), 4, '0') || '.DAT' AS file
+        """SELECT track_id, folder || '/ANLZ' || lpad(CAST(row_number() OVER (PARTITION BY folder ORDER BY ordinal) - 1 AS VARCHAR), greatest(4, length(CAST(row_number() OVER (PARTITION BY folder ORDER BY ordinal) - 1 AS VARCHAR)))::INT, '0') || '.DAT' AS file
            FROM (SELECT track_id, ordinal, '/PIONEER/USBANLZ/P' || lpad(upper(to_hex((r & 1) | ((r >> 1) & 2) | ((r >> 4) & 4)
             | ((r >> 4) & 8) | ((r >> 5) & 16) | ((r >> 8) & 32) | ((r >> 10) & 64))), 3, '0')
             || '/' || lpad(upper(to_hex(r)), 8, '0') AS folder
@@ -268,7 +268,8 @@ def track_analysis_files(spark, sf):
     t = S.tracks_a(spark, sf).select(
         "library_id", "track_id", "ordinal", L.analysis_folder(c("location")).alias("folder")
     )
-    file = F.concat("folder", F.lit("/ANLZ"), F.lpad(c("number").cast("string"), 4, "0"), F.lit(".DAT"))
+    number = c("number").cast("string")  # padded, never cut
+    file = F.concat("folder", F.lit("/ANLZ"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0")), F.lit(".DAT"))
     return X.folder_numbers(t, ["library_id"]).select("track_id", file.alias("file"))
 
 

@@ -54,13 +54,18 @@ def display_name(artist: Column, title: Column, location: Column) -> Column:
     )
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
 @pandas_udf(StringType())
 def _fold_unicode(text: pd.Series) -> pd.Series:
-    """NFKC + casefold + separator runs to one space, for the non-ASCII minority."""
-    return text.map(
-        lambda s: re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", s).casefold()).strip(),
-        na_action="ignore",
-    )
+    """The words of the compatibility form, caseless, for the non-ASCII minority."""
+
+    def words(s: str) -> str:
+        caseless = unicodedata.normalize("NFKC", s).casefold()
+        return " ".join(WORD.findall(caseless))
+
+    return text.map(words, na_action="ignore")
 
 
 @pandas_udf(StringType())

@@ -124,20 +124,14 @@ def apply_rule_table(
     )
 
 
-def infer_mounts(missing: DataFrame, inventory: DataFrame, sample: int = 200) -> DataFrame:
+def infer_mounts(missing: DataFrame, inventory: DataFrame) -> DataFrame:
     """Guess ``prefix -> root`` rules per library from where missing files turn up.
 
     ``missing(library_id, ordinal, location)``; ``inventory(root, root_order, rel_path)``.
-    Every n-th location (n = count div ``sample``, at least 1) is looked up with an equi
-    join on its path suffixes; the shortest prefix, then the first root, gets its vote.
+    Every location is looked up with an equi join on its path suffixes; the shortest
+    prefix, then the first root, gets its vote.
     """
-    sizes = missing.groupBy("library_id").agg(F.count(F.lit(1)).alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(sample)))
-    picked = (
-        ranked(missing, ["library_id"], "ordinal", "_rank", ties=["location"])
-        .join(sizes, "library_id")
-        .where((F.col("_rank") - 1) % step == 0)
-    )
+    picked = ranked(missing, ["library_id"], "ordinal", "_rank", ties=["location"])
     parts = F.split(normalise_path(F.col("location")), "/")
     splits = F.transform(
         F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(
@@ -161,7 +155,7 @@ def infer_mounts(missing: DataFrame, inventory: DataFrame, sample: int = 200) ->
     votes = hits.groupBy("library_id", "h.prefix", "h.root").agg(
         F.count(F.lit(1)).alias("votes"), F.min("_rank").alias("first_seen")
     )
-    # at most `sample` * 2 votes per library reach this window
+    # one row for each prefix and root reaches this window
     best = W.partitionBy("library_id", "prefix").orderBy(F.desc("votes"), "first_seen")
     return (
         votes.withColumn("_rn", F.row_number().over(best))

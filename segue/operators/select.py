@@ -17,7 +17,8 @@ def name_lookup(
     ``(dimension, its name column, the fact's id column)``; a dimension may serve several
     roles.  A missing id gives ''.
 
-    Dimensions hold ``id`` (and ``library_id``) and are reduced to one row per id.  One of
+    Dimensions hold ``id`` (and ``library_id``) and are reduced to one row per id,
+    the least name of several.  One of
     checked size is broadcast; a larger one is joined by shuffle, NULL ids set aside by
     the outer join.
     """
@@ -26,7 +27,7 @@ def name_lookup(
         if id(dim) not in small:
             small[id(dim)] = dim.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES
         on = ["library_id"] if library else []
-        side = dim.groupBy(*on, F.col("id").alias(fk)).agg(F.first(name).alias(out))
+        side = dim.groupBy(*on, F.col("id").alias(fk)).agg(F.min(name).alias(out))
         side = F.broadcast(side) if small[id(dim)] else side
         fact = fact.join(side, [*on, fk], "left").withColumn(out, F.coalesce(out, F.lit("")))
     return fact

@@ -208,7 +208,7 @@ def reusable_analysis(wanted: DataFrame, analyses: DataFrame) -> DataFrame:
     ``wanted(library_id, track_id, target_file, device_path, source_file)``;
     ``analyses(file, describes)`` lists complete analyses.
     """
-    one = analyses.groupBy("file").agg(F.first("describes").alias("describes"))
+    one = analyses.groupBy("file").agg(F.min("describes").alias("describes"))
     at_target = one.select(F.col("file").alias("target_file"), F.col("describes").alias("_d"))
     at_source = one.select(F.col("file").alias("source_file"), F.lit(True).alias("_s"))
     rows = wanted.join(at_target, "target_file", "left").join(at_source, "source_file", "left")

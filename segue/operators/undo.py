@@ -40,5 +40,9 @@ def created_files(before: DataFrame, after: DataFrame, backup_mark: str) -> Data
 
 
 def distinct_sources(found: DataFrame) -> DataFrame:
-    """Each discovered library once (U4)."""
-    return found.dropDuplicates(["format", "path"])
+    """Each discovered library once, with the least of its other columns (U4)."""
+    key = ["format", "path"]
+    rest = [c for c in found.columns if c not in key]
+    if not rest:
+        return found.distinct()
+    return found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[c if c in key else F.col(f"_r.{c}").alias(c) for c in found.columns])

@@ -4,12 +4,14 @@ A plain window partitioned by library, track or playlist sorts the whole group i
 single task; one key may hold a third of all rows.  Here each group is cut into
 chunks of the order column by a pure function of the row (`floor(order / width)`),
 the window runs per (group, chunk), and one small aggregate row per chunk carries
-the running value across chunk borders.  Results equal the plain window's.
+the running value across chunk borders.  Results equal the plain window's: NULL keys
+are one group, and rows of NULL order come first in theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,8 +41,16 @@ def _after(keys: Sequence[str]):
     return _across(keys).rowsBetween(1, W.unboundedFollowing)
 
 
+def _null_safe(df: DataFrame, side: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """``df`` with the other columns of ``side``; NULL keys meet NULL keys."""
+    named = {k: f"__on_{k}" for k in on}
+    side = side.withColumnsRenamed(named)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
+    return df.join(side, reduce(lambda a, b: a & b, same), how).drop(*named.values())
+
+
 def _attach(df: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(chunks, [*keys, _C], "left").drop(_C)
+    return _null_safe(df, chunks, [*keys, _C], "left").drop(_C)
 
 
 def ranked(
@@ -136,8 +146,8 @@ def group_values(
     second = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
     parts = rows.groupBy(*keys, "__salt").agg(*[first[k](c).alias(n) for n, (k, c) in aggs.items()])
     whole = parts.groupBy(*keys).agg(*[second[k](n).alias(n) for n, (k, _) in aggs.items()])
-    back = parts.select(*keys, "__salt").join(whole, list(keys))
-    return rows.join(back, [*keys, "__salt"]).drop("__salt")
+    back = _null_safe(parts.select(*keys, "__salt"), whole, keys, "inner")
+    return _null_safe(rows, back, [*keys, "__salt"], "inner").drop("__salt")
 
 
 def around(

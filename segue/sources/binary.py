@@ -67,12 +67,12 @@ def _rows(df: DataFrame, keys: Sequence[str], data: str, count: Column, entry) -
 
 def analysis_beats(df: DataFrame, keys: Sequence[str], data: str) -> DataFrame:
     """Beat grid section: ``i, beat, tempo, ms``; eight bytes per beat from byte 24.
-    A count the data cannot hold is cut to what is there; see `short_sections`."""
+    A section that claims more than its data holds gives no rows; see `short_sections`."""
     d = F.col(data)
-    fits = F.floor((F.length(d) - 24) / 8)
-    count = F.least(unsigned(d, 20, 4), fits)
+    count = unsigned(d, 20, 4)
+    whole = (F.length(d) >= 24) & (count <= F.floor((F.length(d) - 24) / 8))
     return _rows(
-        df.where(F.length(d) >= 24), keys, data, count,
+        df.where(whole), keys, data, F.when(whole, count).otherwise(0),
         lambda i: F.struct(
             i.cast("bigint").alias("i"), unsigned(d, i * 8 + 24, 2).cast("int").alias("beat"),
             unsigned(d, i * 8 + 26, 2).cast("int").alias("tempo"), unsigned(d, i * 8 + 28, 4).alias("ms"),
@@ -112,9 +112,11 @@ def serato_beatgrid(df: DataFrame, keys: Sequence[str], data: str) -> DataFrame:
 
 def serato_old_markers(df: DataFrame, keys: Sequence[str], data: str) -> DataFrame:
     """``kind, index, position_ms, end_ms, colour, locked`` of the older marker tag:
-    22 bytes per entry from byte 6, numbers packed into 7-bit bytes (A8)."""
+    22 bytes per entry from byte 6, numbers packed into 7-bit bytes (A8). A tag that claims
+    more than its data holds gives no rows."""
     d = F.col(data)
-    count = F.least(unsigned(d, 2, 4), F.floor((F.length(d) - 6) / 22))
+    count = unsigned(d, 2, 4)
+    whole = count <= F.floor((F.length(d) - 6) / 22)
 
     def entry(i: Column) -> Column:
         at = lambda offset, size: unsigned(d, i * 22 + 6 + offset, size)
@@ -124,8 +126,8 @@ def serato_old_markers(df: DataFrame, keys: Sequence[str], data: str) -> DataFra
             at(20, 1).alias("type"), (at(21, 1) != 0).alias("locked"),
         )
 
-    valid = F.hex(F.substring(d, F.lit(1), F.lit(2))) == "0205"
-    rows = _rows(df.where(valid), keys, data, count, entry).where("no_start <> 127")
+    valid = (F.hex(F.substring(d, F.lit(1), F.lit(2))) == "0205") & whole
+    rows = _rows(df.where(valid), keys, data, F.when(whole, count).otherwise(0), entry).where("no_start <> 127")
     cue, loop = F.col("type") == 1, (F.col("type") == 3) & (F.col("no_end") != 127)
     return rows.where(cue | loop).select(
         *keys, F.when(cue, "cue").otherwise("loop").alias("kind"),

@@ -49,7 +49,7 @@ def find_libraries(inventory: DataFrame) -> DataFrame:
     databases = rows.where("format <> 'rekordbox_xml'")
     best = first_k(databases, ["home", "format"], [F.col("_choice"), F.col("path")], 1)
     xml = rows.where("format = 'rekordbox_xml'").join(best.select("home").distinct(), "home", "left_anti")
-    found = best.unionByName(first_k(xml, ["home"], [F.col("path")], 10))
+    found = best.unionByName(xml.select(*best.columns))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     shown = (
         F.when(F.col("format") == "rekordbox_usb", F.col("home"))
