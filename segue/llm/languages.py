@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.shared import held_out, strings, text_slices
+from segue.llm.shared import held_out, lean, strings, text_slices
 
 BUCKETS, ROWS, STEPS, REFIT_STEPS, PENALTY, SMOOTHING = 1 << 16, 3000, 12, 6, 3.0, 0.5
 _LETTER = np.zeros(256, dtype=bool)
@@ -71,7 +71,7 @@ def language_models(docs: DataFrame, rows: int = ROWS) -> tuple[list[str], np.nd
 
     if not names:
         return [], np.empty((0, BUCKETS), np.float32)
-    counted = known.where(place < share[F.col("lang")]).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
+    counted = known.where(place < share[F.col("lang")]).select("text", "lang").mapInArrow(lean(count), "lang string, bucket int, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets rows at most
     counts = np.zeros((len(names), BUCKETS))
     order = np.array([names.index(x) for x in table.column("lang").to_pylist()], dtype=np.intp)
@@ -138,4 +138,4 @@ def predict_languages(docs: DataFrame, rows: int = ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "languages", "shares"])
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(predict, schema)
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(lean(predict), schema)

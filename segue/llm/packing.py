@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue.llm.bytebpe import encoder
-from segue.llm.shared import strings
+from segue.llm.shared import lean, strings
 from segue.session import materialise
 
 RUN = "length int, lo long, hi long, first_sequence long, in_each int, offset int"
@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, k
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[:kept])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), schema)
 
 
 def pack_documents(

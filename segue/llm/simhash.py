@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segue.llm.components import components
-from segue.llm.shared import strings
+from segue.llm.shared import lean, strings, text_slices
 from segue.session import materialise
 
 SEED, TOGETHER, VIEWS, SAMPLE = 42, 1 << 16, 10, 3
@@ -198,8 +198,8 @@ def fingerprint_links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
         if len(key):
             yield links(key, fp)
 
-    sent = fingerprints.select("fp").mapInArrow(send, "anchor long, fp long")
-    return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "a long, b long").distinct()
+    sent = fingerprints.select("fp").mapInArrow(lean(send), "anchor long, fp long")
+    return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, words: int, views: int = 0) -> DataFrame:
@@ -208,12 +208,13 @@ def fingerprints(docs: DataFrame, words: int, views: int = 0) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t, words, views) for t in strings(batch.column("text")).to_pylist()]
+            parts = (part.to_pylist() for _, part in text_slices(strings(batch.column("text"))))
+            made = [fingerprint(t, words, views) for part in parts for t in part]
             columns = [batch.column("doc_id"), batch.column("tag"), pa.array([x for x, _ in made], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in made], pa.list_(pa.int64()))], ["doc_id", "tag", "fp", "views"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
-    return rows.mapInArrow(count, "doc_id long, tag long, fp long, views array<long>")
+    return rows.mapInArrow(lean(count), "doc_id long, tag long, fp long, views array<long>")
 
 
 def similar_texts(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -241,10 +242,11 @@ def similar_texts(docs: DataFrame, found: DataFrame, words: int, similarity: flo
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *word_hashes(t, words)])).tobytes() for t in strings(batch.column("text")).to_pylist()]
+            parts = (part.to_pylist() for _, part in text_slices(strings(batch.column("text"))))
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *word_hashes(t, words)])).tobytes() for part in parts for t in part]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "hashes"])
 
-    sets = whole.join(used, same).select("fp", "text").mapInArrow(shingles, "fp long, hashes binary")
+    sets = whole.join(used, same).select("fp", "text").mapInArrow(lean(shingles), "fp long, hashes binary")
     sets = materialise(sets, "shingles")
     met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a")
     met = met.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
@@ -258,7 +260,7 @@ def similar_texts(docs: DataFrame, found: DataFrame, words: int, similarity: flo
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return met.select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, similarity: float | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segue.llm.bytebpe import MARKS, vocabulary_file
-from segue.llm.shared import strings, text_slices
+from segue.llm.shared import lean, strings, text_slices
 
 FREQUENT, CACHED, FAN_IN = 1 << 15, 400_000, 32
 _counters: dict[str, Counter] = {}
@@ -120,7 +120,7 @@ def frequent_parts(docs: DataFrame, n: int = FREQUENT) -> list[str]:
         return pa.Table.from_batches([_as_row(rows.column("task")[0].as_py() // FAN_IN, _most(counts, n))])
 
     texts = docs.select("text")
-    tables, left = texts.mapInArrow(summarise, SUMMARY), texts.rdd.getNumPartitions()
+    tables, left = texts.mapInArrow(lean(summarise), SUMMARY), texts.rdd.getNumPartitions()
     while left > 1:
         tables = tables.groupBy(F.expr(f"task div {FAN_IN}")).applyInArrow(merge, SUMMARY)
         left = -(-left // FAN_IN)
@@ -152,4 +152,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(count), schema)

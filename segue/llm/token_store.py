@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segue.llm.bytebpe import encoder
-from segue.llm.shared import strings
+from segue.llm.shared import lean, strings
 
 SEGMENT_TOKENS = 1 << 18
 BLOCK_BITS = 512
@@ -126,7 +126,7 @@ def write_tokens(
         if runs:
             yield segment()
 
-    ordered.select("doc_id", "text").mapInArrow(encode, SEGMENT).write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(lean(encode), SEGMENT).write.parquet(path)
 
 
 def stored_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +160,7 @@ def stored_documents(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return stored_segments(spark, path).select("doc_ids", "lengths", "codes", "start").mapInArrow(decode, schema)
+    return stored_segments(spark, path).select("doc_ids", "lengths", "codes", "start").mapInArrow(lean(decode), schema)
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, cell: int = SEGMENT_TOKENS) -> DataFrame:
@@ -182,4 +182,4 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame, cell: int =
                 out.append(codes[p - s])
             yield pa.RecordBatch.from_pydict({"position": pa.array(position, pa.int64()), "token": pa.array(out, pa.int64())})
 
-    return met.select(F.col("position").cast("long"), "start", "codes").mapInArrow(pick, "position long, token long")
+    return met.select(F.col("position").cast("long"), "start", "codes").mapInArrow(lean(pick), "position long, token long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segue.llm.shared import held_out, strings
+from segue.llm.shared import held_out, lean, strings, text_slices
 
 WINDOW_WORDS, ROWS, SAMPLE_BYTES = 12, 6000, 64 << 20
 ORDINARY_WORDS, MIN_CONTEXTS, MIN_RATIO, MIN_Z, MIN_MATCH = 8000, 4, 15.0, 3.0, 6
@@ -162,7 +162,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = ROWS, sample_
         yield pa.RecordBatch.from_arrays([pa.array([made[0]]), pa.array([made[1]]), pa.array([made[2]])], ["ordinary", "toxic", "weights"])
 
     sample = labelled_sample(docs, labels, rows).repartition(1).sortWithinPartitions("order", "doc_id", "text")
-    row = sample.select("text", "label", "half").mapInArrow(learn, MODEL).first()
+    row = sample.select("text", "label", "half").mapInArrow(lean(learn), MODEL).first()
     return (bytes(row.ordinary), bytes(row.toxic), list(row.weights)) if row else train([])
 
 
@@ -177,9 +177,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, sample_
         ordinary, toxic, weights = model.value
         margins, w = Margins(ordinary, toxic), np.array(weights)
         for batch in batches:
-            x = np.array([margins.features(t) for t in strings(batch.column("text")).to_pylist()]).reshape(-1, len(w))
+            parts = (part.to_pylist() for _, part in text_slices(strings(batch.column("text"))))
+            x = np.array([margins.features(t) for part in parts for t in part]).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(lean(score), schema)
