@@ -60,11 +60,11 @@ def test_xml_document(spark, tmp_path):
     assert sorted(entries) == [(("By place",), "rb:2"), (("Sets", "Friday"), "rb:1"), (("Sets", "Friday"), "rb:2")]
 
 
-def test_tree_deeper_than_the_schema_is_refused(spark, tmp_path):
+def test_tree_deeper_than_the_first_schema_is_read_whole(spark, tmp_path):
     deep = "".join(f'<NODE Type="0" Name="f{i}">' for i in range(6)) + "</NODE>" * 6
     (tmp_path / "deep.xml").write_text(f"<DJ_PLAYLISTS><PLAYLISTS>{deep}</PLAYLISTS></DJ_PLAYLISTS>")
-    with pytest.raises(Exception, match="nested deeper"):
-        R.read_xml_playlists(spark, str(tmp_path), max_depth=3)[0].collect()
+    nodes, _ = R.read_xml_playlists(spark, str(tmp_path), first_depth=3)
+    assert [r.name for r in nodes.orderBy(F.size("path")).collect()] == [f"f{i}" for i in range(1, 6)]
 
 
 def test_database_tables(spark):
