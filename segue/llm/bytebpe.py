@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,9 +134,9 @@ class ByteBpe:
         ids = pool[np.repeat(shift, length) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.add.reduceat(length, first)
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers, without added special tokens."""
-        out: list[np.ndarray] = []
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers, without added special tokens; those of one
+        slice of the texts are held at a time."""
         for _, part in text_slices(texts):
             odd = np.asarray(pc.match_substring_regex(part, f"{SPACES} ({SPACES}|$)")) if self.cuts else np.ones(len(part), bool)
             rows: list[np.ndarray | None] = [None] * len(part)
@@ -147,5 +148,4 @@ class ByteBpe:
                     rows[row] = ids[a:z]
             for row in np.flatnonzero(odd).tolist():
                 rows[row] = np.frombuffer(self._library(part[row].as_py()), dtype="<u4")
-            out += rows
-        return out
+            yield from rows

@@ -27,6 +27,7 @@ from segue.llm.bytebpe import encoder
 from segue.llm.shared import lean, strings
 from segue.session import materialise
 
+ROWS = 4096  # pieces handed on at a time
 RUN = "length int, lo long, hi long, first_sequence long, in_each int, offset int"
 
 
@@ -105,6 +106,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, k
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, tokens = TaskContext.get().partitionId(), Counter(), encoder(vocabulary)
         end = np.array([end_id], dtype="<u4")
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
+        kept = len(names) - (not keep_ids)
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[]] * kept
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[:kept])
+
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(strings(batch.column("text")))):
@@ -113,13 +122,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, k
                 for piece, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     start = max(0, stop - capacity) if piece else 0
                     data = ids[start:stop].tobytes()
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(data), task, seen[stop - start], data))
-                    seen[stop - start] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
-            kept = len(names) - (not keep_ids)
-            columns = list(zip(*rows))[:kept] if rows else [[]] * kept
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[:kept])
+                    length = stop - start
+                    rows.append((doc_id, piece, start, length, zlib.crc32(data), task, seen[length], data)[:kept])
+                    seen[length] += 1
+                if len(rows) >= ROWS:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids binary" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(lean(cut), schema)
