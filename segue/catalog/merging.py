@@ -10,7 +10,7 @@ from segue.catalog.registry import query
 from segue.catalog.scalars import milli, sql_milli
 from segue.catalog.sql import rules_sql, with_views
 from segue.operators import merge as M
-from segue.operators.playlists import merge_playlists
+from segue.operators.playlists import merge_playlists, with_parents
 from segue.operators.sync import merge_libraries, sync_both_ways
 from segue.options import MergeOptions
 
@@ -330,6 +330,36 @@ def playlist_merge_report(spark, sf):
     return _lists(spark, sf, "merge")[2]
 
 
+@query(
+    "merged_playlist_nodes",
+    """WITH top AS (SELECT max(o_orderkey) AS t FROM orders),
+      base AS (SELECT 'a:' || o_orderkey AS node_id, o_orderkey AS ordinal, o_orderpriority || '/' || o_orderkey AS path, o_orderkey % 7 = 0 AS is_folder FROM orders
+        UNION ALL SELECT DISTINCT 'a:' || o_orderpriority, 0, o_orderpriority, true FROM orders WHERE o_orderpriority < '3'),
+      added AS (SELECT 'sync:b:' || o_orderkey AS node_id, t + o_orderkey + 1 AS ordinal, o_orderpriority AS f,
+        o_orderpriority || '/' || CASE WHEN o_orderstatus = 'P' THEN 'new ' ELSE '' END || o_orderkey AS path FROM orders, top
+        WHERE o_orderstatus = 'P' OR o_orderkey % 7 = 0),
+      nodes AS (SELECT * FROM base UNION ALL SELECT node_id, ordinal, path, false FROM added
+        UNION ALL SELECT 'sync:folder:["' || f || '"]', min(ordinal), f, true FROM added WHERE f >= '3' GROUP BY f)
+      SELECT n.node_id, n.ordinal, n.path, n.is_folder, p.node_id AS parent_id
+      FROM nodes n LEFT JOIN nodes p ON p.is_folder AND contains(n.path, '/') AND p.path = split_part(n.path, '/', 1)""",
+)
+def merged_playlist_nodes(spark, sf):
+    """M4: lists and folders after a merge; some folders are there already, and at some lists'
+    paths the base has a folder."""
+    base = S.nodes(spark, sf, "a").withColumn("is_folder", c("ordinal") % 7 == 0)
+    folder = S.table(spark, sf, "orders").where("o_orderpriority < '3'").select("o_orderpriority").distinct().select(
+        F.lit("ab").alias("pair_id"), F.lit("A").alias("library_id"),
+        F.concat(F.lit("a:"), "o_orderpriority").alias("node_id"), F.lit(0).cast("bigint").alias("ordinal"),
+        F.array("o_orderpriority").alias("path"), c("o_orderpriority").alias("name"),
+        F.lit(True).alias("is_folder"), F.lit(False).alias("is_crate"),
+    )
+    ids = S.tracks_b(spark, sf).select("pair_id", c("track_id").alias("incoming_id"), c("track_id").alias("merged_id"))
+    nodes, _, _ = merge_playlists(
+        base.unionByName(folder), S.entries(spark, sf, "a"), S.nodes(spark, sf, "b"), S.entries(spark, sf, "b"), ids
+    )
+    return with_parents(nodes).select("node_id", "ordinal", F.array_join("path", "/").alias("path"), "is_folder", "parent_id")
+
+
 _SYNC = f"""{_REPLACED.strip()}, bm AS ({_marks_sql('cues_a')}), am AS ({_marks_sql('merged')}),
     cue_changed AS (SELECT DISTINCT track_id FROM ((SELECT * FROM bm EXCEPT SELECT * FROM am) UNION ALL (SELECT * FROM am EXCEPT SELECT * FROM bm))),
     meta_changed AS (SELECT a.track_id FROM tracks_a a JOIN links l ON l.base_id = a.track_id JOIN tracks_b b ON b.track_id = l.incoming_id

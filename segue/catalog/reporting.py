@@ -253,16 +253,11 @@ def known_playlist_entries(spark, sf):
        FROM lineitem JOIN part ON p_partkey = l_partkey""",
 )
 def crate_members(spark, sf):
-    """Members by artist and title; numbered here only to compare the order."""
-    from pyspark.sql import Window
-
-    e = S.entries(spark, sf, "all")
-    m = P.crate_members(e, S.tracks_a(spark, sf)).withColumn("one", F.lit(1))
-    w = Window.partitionBy("node_id").orderBy("artist_order", "title_order", "track_id")
+    """Members numbered by artist and title."""
+    m = P.crate_members(S.entries(spark, sf, "all"), S.tracks_a(spark, sf))
     return m.select(
-        F.substring("node_id", 3, 20).cast("bigint").alias("node"), "track_id",
-        F.row_number().over(w).alias("place"),
-    )
+        F.substring("node_id", 3, 20).cast("bigint").alias("node"), "track_id", c("position").alias("place")
+    )
 
 
 @query(

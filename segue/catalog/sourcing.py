@@ -141,7 +141,8 @@ def mixxx_cues(spark, sf):
         "mx",
         """SELECT 'p:' || l_orderkey AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, track_id) AS position, track_id
              FROM lineitem JOIN mx ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'
-           UNION ALL SELECT DISTINCT 'c:' || l_suppkey, NULL, track_id FROM lineitem JOIN mx ON p_partkey = l_partkey""",
+           UNION ALL SELECT 'c:' || l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY lower(p_brand), lower(p_name), track_id), track_id
+             FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN mx ON p_partkey = l_partkey""",
     ),
 )
 def mixxx_playlists(spark, sf):

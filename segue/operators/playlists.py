@@ -28,16 +28,24 @@ def known_entries(entries: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def crate_members(members: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Crates have no order of their own: artist, then title, without case.
+    """Crates have no order of their own: artist, then title, without case, then track id, as
+    ``position`` from 1 (J4).
 
-    The sort key is text, so the row's place is kept as that key (plus the track id as
-    tie-breaker) rather than as a dense number; readers order by it.
+    All tracks are sorted once by range, and a track's place in that order, which is dense
+    within a range, is the number its crates are ranked by; a crate is not sorted by one task.
     """
-    names = tracks.select("library_id", "track_id", "artist", "title")
-    return members.join(names, ["library_id", "track_id"]).select(
-        "library_id", "node_id", "track_id",
-        F.lower("artist").alias("artist_order"), F.lower("title").alias("title_order"),
-    )
+    order = ["_artist", "_title", "track_id"]
+    names = tracks.select(
+        "library_id", "track_id", F.lower("artist").alias("_artist"), F.lower("title").alias("_title")
+    ).repartitionByRange(*order).sortWithinPartitions(*order)
+    # written, as a number given by place may not be given twice
+    places = materialise(
+        names.select("library_id", "track_id", F.monotonically_increasing_id().alias("_place")), "crate-order"
+    )
+    kept = members.join(places, ["library_id", "track_id"])
+    return ranked(kept, ["library_id", "node_id"], "_place", "position").select(
+        "library_id", "node_id", "track_id", "position"
+    )
 
 
 def resolve_entries(entries: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -412,13 +420,13 @@ def merge_playlists(
     )
     added = lists.where("_new AND _turn = 1")
     top = base_nodes.groupBy(pair).agg(F.max("ordinal").alias("_top"))
-    nodes = base_nodes.select(pair, "node_id", "ordinal", "path", "is_folder", "is_crate").unionByName(
-        added.join(top, pair, "left").select(
-            pair, F.col("_to").alias("node_id"),
-            (F.coalesce("_top", F.lit(0)) + F.col("ordinal") + 1).alias("ordinal"), "path",
-            F.lit(False).alias("is_folder"), "is_crate",
-        )
+    new_lists = added.join(top, pair, "left").select(
+        pair, F.col("_to").alias("node_id"),
+        (F.coalesce("_top", F.lit(0)) + F.col("ordinal") + 1).alias("ordinal"), "path",
+        F.lit(False).alias("is_folder"), "is_crate",
     )
+    nodes = base_nodes.select(pair, "node_id", "ordinal", "path", "is_folder", "is_crate")
+    nodes = nodes.unionByName(new_lists).unionByName(_missing_folders(base_nodes, new_lists))
     report = (
         added.select(pair, F.lit(1).alias("a"), F.lit(0).alias("u"))
         .unionByName(changed.select(pair, F.lit(0).alias("a"), F.lit(1).alias("u")))
@@ -428,6 +436,35 @@ def merge_playlists(
     return nodes, entries, report
 
 
+def _missing_folders(base_nodes: DataFrame, new_lists: DataFrame) -> DataFrame:
+    """One folder row for each path above ``new_lists`` at which the base has no folder.  It
+    stands at its first list's ordinal; of nodes with one ordinal the shorter path comes first."""
+    above = F.transform(
+        F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", F.lit(1), i)
+    )
+    paths = (
+        new_lists.where(F.size("path") > 1)
+        .select("pair_id", "ordinal", F.explode(above).alias("path"))
+        .groupBy("pair_id", "path").agg(F.min("ordinal").alias("ordinal"))
+    )
+    known = base_nodes.where("is_folder").select("pair_id", "path").distinct()
+    return paths.join(known, ["pair_id", "path"], "left_anti").select(
+        "pair_id", F.concat(F.lit("sync:folder:"), F.to_json("path")).alias("node_id"), "ordinal", "path",
+        F.lit(True).alias("is_folder"), F.lit(False).alias("is_crate"),
+    )
+
+
+def with_parents(nodes: DataFrame, key: str = "pair_id") -> DataFrame:
+    """``nodes`` with ``parent_id``: the first folder at the path above, NULL at the top or
+    where no node is there.  Writers that need an adjacency list take this."""
+    folders = (
+        nodes.where("is_folder").groupBy(F.col(key), F.col("path").alias("_above"))
+        .agg(F.min_by("node_id", F.struct("ordinal", "node_id")).alias("parent_id"))
+    )
+    above = F.when(F.size("path") > 1, F.slice("path", F.lit(1), F.size("path") - 1))
+    return nodes.drop("parent_id").withColumn("_above", above).join(folders, [key, "_above"], "left").drop("_above")
+
+
 def _differing_turns(old, mapped, lists, on) -> DataFrame:
     """Turns of a list whose track sequence differs from the one it replaces."""
     before = ranked(old, on, "position", "_r", ties=["track_id"]).select(

@@ -25,7 +25,7 @@ def read_mixxx(
     """(library, quality issues).  Every landed table carries ``library_id``; beats come as
     ``beat_maps(track_id, frames)`` and ``beat_grids(track_id, bpm, frame)``.
 
-    Crate members stay in the order (artist, title, track id): see `crate_members`.
+    Crate members are numbered by (artist, title, track id): see `crate_members`.
     """
     c = F.col
     text = lambda n: F.coalesce(c(n), F.lit("")).alias(n)
@@ -98,10 +98,7 @@ def read_mixxx(
         "library_id", F.concat(F.lit("c:"), c("crate_id").cast("string")).alias("node_id"),
         track_id.alias("track_id"),
     )
-    crated = crate_members(members, tracks).withColumn("position", F.lit(None).cast("bigint"))
-    order = ["artist_order", "title_order"]
-    for name in order:
-        entries = entries.withColumn(name, F.lit(None).cast("string"))
+    crated = crate_members(members, tracks)
     issues = tracks.where("issue IS NOT NULL").select(
         "library_id", F.lit("decoder offset unknown").alias("rule"), c("track_id").alias("entity_id"), c("issue").alias("detail")
     )

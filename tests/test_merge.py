@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.model import Library
 from segue.operators import merge as M
-from segue.operators.playlists import merge_playlists, select_playlists
+from segue.operators.playlists import crate_members, merge_playlists, select_playlists, with_parents
 from segue.operators.sync import merge_libraries, needs_writing, sync_both_ways
 from segue.options import MergeOptions
 from segue.session import materialise
@@ -43,7 +43,7 @@ def library(spark, tracks, cues=(), tempo=(), lists=()):
 
 
 def lists_of(lib):
-    names = {r.node_id: "/".join(r.path) for r in lib.nodes.collect()}
+    names = {r.node_id: "/".join(r.path) for r in lib.nodes.where("NOT is_folder").collect()}
     out = {n: [] for n in names.values()}
     for r in lib.entries.orderBy("node_id", "position").collect():
         out[names[r.node_id]].append(r.track_id)
@@ -164,6 +164,35 @@ def test_lists_of_one_path_apply_in_order(spark):
         assert (r.playlists_added, r.playlists_updated) == counts
 
 
+def test_folders_above_new_lists(spark):
+    base = library(spark, [], lists=[(("F", "A"), [])])
+    there = spark.createDataFrame([("p", "L", "f", 0, ["F"], "F", True, False), ("p", "L", "x", 5, ["X"], "X", True, False)], NODES)
+    inc = library(spark, [], lists=[(("F", "A"), []), (("F", "B"), []), (("G", "H", "C"), []), (("G", "D"), []), (("X",), []), (("E",), [])])
+    ids = spark.createDataFrame([], "pair_id string, incoming_id string, merged_id string")
+    nodes, _, report = merge_playlists(base.nodes.unionByName(there), base.entries, inc.nodes, inc.entries, ids)
+    rows = with_parents(nodes).collect()
+    paths = {r.node_id: "/".join(r.path) for r in rows}
+    got = sorted(("/".join(r.path), r.is_folder, paths.get(r.parent_id)) for r in rows)
+    assert got == [
+        ("E", False, None), ("F", True, None), ("F/A", False, "F"), ("F/B", False, "F"), ("G", True, None), ("G/D", False, "G"),
+        ("G/H", True, "G"), ("G/H/C", False, "G/H"), ("X", False, None), ("X", True, None),
+    ]
+    assert report.first().playlists_added == 5
+
+
+def test_crate_members_are_numbered(spark):
+    tracks = spark.createDataFrame(
+        [("L", "t1", "b", "x"), ("L", "t2", "A", "Z"), ("L", "t3", "a", "y"), ("L", "t4", None, "q"), ("M", "t1", "a", "a")],
+        "library_id string, track_id string, artist string, title string",
+    )
+    members = spark.createDataFrame(
+        [("L", "c1", t) for t in ("t1", "t2", "t3", "t4", "gone")] + [("L", "c2", "t1"), ("M", "c1", "t1")],
+        "library_id string, node_id string, track_id string",
+    )
+    got = sorted((r.library_id, r.node_id, r.position, r.track_id) for r in crate_members(members, tracks).collect())
+    assert got == [("L", "c1", 1, "t4"), ("L", "c1", 2, "t3"), ("L", "c1", 3, "t2"), ("L", "c1", 4, "t1"), ("L", "c2", 1, "t1"), ("M", "c1", 1, "t1")]
+
+
 def test_selection(spark):
     lib = library(spark, [track(f"t{i}", f"/{i}.mp3", ordinal=i) for i in range(4)], lists=[(("F", "A"), ["t0", "t1"]), (("F", "B"), ["t2"]), (("C",), ["t3"])])
     folder = spark.createDataFrame([("p", "L", "f", 9, ["F"], "F", True, False), ("p", "L", "g", 10, ["G"], "G", True, False)], NODES)
