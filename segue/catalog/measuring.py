@@ -347,3 +347,31 @@ def tagged_tracks(spark, sf):
         "colour", F.when(c("n") % 3 == 0, 5)
     )
     return O.with_tags(t, tags).select("track_id", "bpm_locked", "colour", "tagged")
+
+
+@query(
+    "tagged_cues",
+    with_views(
+        "audio_tracks audio_facts cues_a cues_b",
+        f"""SELECT track_id, ordinal, source, {sql_milli('position_ms')} AS at, {sql_milli('end_ms')} AS end_at FROM (
+             SELECT n::VARCHAR AS track_id, ordinal, 'row' AS source, position_ms, end_ms FROM cues_a
+               JOIN audio_tracks ON cues_a.track_id = 'a:' || n WHERE n NOT IN (SELECT fn FROM audio_facts)
+             UNION ALL SELECT fn::VARCHAR, ordinal, 'tag', position_ms - ms, end_ms - ms FROM cues_b
+               JOIN (SELECT fn, CASE WHEN fn % 2 = 0 THEN 26.0 ELSE 0.0 END AS ms FROM audio_facts) ON track_id = 'b:' || fn)""",
+    ),
+)
+def tagged_cues(spark, sf):
+    """Odd suppliers' lines are the catalogue's cues, even ones' those in the tags."""
+    tags = audio_facts(spark, sf).select("location", F.lit(True).alias("locked"), F.lit(None).cast("int").alias("colour"))
+    tagged = O.with_tags(audio_tracks(spark, sf), tags).where("tagged").withColumn(
+        "serato_ms", F.when(c("n") % 2 == 0, 26.0)
+    )
+
+    def side(name: str, source: str):
+        return S.cues(spark, sf, name).select(
+            F.lit("A").alias("library_id"), F.substring("track_id", 3, 20).alias("track_id"), "ordinal", F.lit(source).alias("source"),
+            "position_ms", "end_ms",
+        )
+
+    out = O.tags_replace(side("a", "row"), side("b", "tag"), tagged, ["position_ms", "end_ms"])
+    return out.select("track_id", "ordinal", "source", milli(c("position_ms")).alias("at"), milli(c("end_ms")).alias("end_at"))

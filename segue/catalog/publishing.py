@@ -315,6 +315,23 @@ def inserted_tracks_only(spark, sf):
     return T.upsert(have, inc, ["id"], ["title", "genre"], overwrite=False)
 
 
+@query(
+    "replaced_cue_rows",
+    with_views(
+        "cues_a cues_b",
+        """SELECT substr(track_id, 3) AS track, ordinal, name FROM cues_a JOIN part ON track_id = 'a:' || p_partkey WHERE p_size <= 25
+           UNION ALL SELECT substr(track_id, 3), ordinal, name FROM cues_b JOIN part ON track_id = 'b:' || p_partkey WHERE p_size > 25""",
+    ),
+)
+def replaced_cue_rows(spark, sf):
+    """M9: the cues of an updated track are replaced as a whole, also where it has none now."""
+    def rows(side: str):
+        return S.cues(spark, sf, side).select(F.substring("track_id", 3, 20).alias("track"), "ordinal", "name")
+
+    touched = S.table(spark, sf, "part").where("p_size > 25").select(c("p_partkey").cast("string").alias("track"))
+    return T.replaced_children(rows("a"), rows("b").join(touched, "track", "left_semi"), touched, ["track"])
+
+
 def _upsert_sides(spark, sf):
     have = S.table(spark, sf, "customer").select(
         c("c_custkey").alias("id"), c("c_name").alias("title"), c("c_mktsegment").alias("genre"), c("c_acctbal").alias("other")

@@ -6,6 +6,8 @@ when the file could not be inspected.  A location without a row was not found.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def measured_or_stated(tracks: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def shift_child(rows: DataFrame, tracks: DataFrame, ms: Column, times: list[str]) -> DataFrame:
+def shift_child(rows: DataFrame, tracks: DataFrame, ms: Column, times: Sequence[str]) -> DataFrame:
     """Move a track's cues or tempo markers by a per-track amount (T4)."""
     moved = rows.join(
         tracks.select("library_id", "track_id", ms.alias("_ms")), ["library_id", "track_id"], "left"
@@ -137,9 +139,11 @@ def with_tags(tracks: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
-def tags_replace(rows: DataFrame, tag_rows: DataFrame, tagged: DataFrame) -> DataFrame:
-    """Cues or tempo of tagged tracks come from the tags alone."""
+def tags_replace(rows: DataFrame, tag_rows: DataFrame, tagged: DataFrame, times: Sequence[str]) -> DataFrame:
+    """Cues or tempo of tagged tracks come from the tags alone, moved from the tags' timeline
+    to the catalogue's (J18, T3).  ``tagged(library_id, track_id, serato_ms)``, NULL as 0."""
     on = ["library_id", "track_id"]
+    read = tag_rows.join(tagged.select(*on), on, "left_semi")
     return rows.join(tagged.select(*on), on, "left_anti").unionByName(
-        tag_rows.join(tagged.select(*on), on, "left_semi").select(*rows.columns)
+        shift_child(read, tagged, -F.col("serato_ms"), times).select(*rows.columns)
     )
