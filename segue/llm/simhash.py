@@ -217,39 +217,35 @@ def fingerprints(docs: DataFrame, words: int, views: int = 0) -> DataFrame:
     return rows.mapInArrow(lean(count), "doc_id long, tag long, fp long, views array<long>")
 
 
-def similar_texts(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): fingerprints of different texts whose sets of shingles have a Jaccard similarity of
-    ``similarity`` or more, as far as one of them is the first of those that share a sample fingerprint.
+def similar_texts(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root): components of fingerprints over ``links`` and over all texts that share a sample
+    fingerprint and whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
     A sample fingerprint is the SimHash of ``SAMPLE`` min-wise chosen shingles, so two texts share one
-    with probability similarity ** SAMPLE: of ``VIEWS`` samples, 0.999 at 0.8. Each text is compared, on
-    its whole, with the first text of each of its samples: at most ``VIEWS`` comparisons a text however
-    many share one.
+    with probability similarity ** SAMPLE at least: of ``VIEWS`` samples, 0.999 at 0.8. Texts that share
+    one are compared, on their whole, unless their sizes rule the similarity out or they are joined
+    already. A round compares all with the first of each sample, which joins a group of n copies by
+    n - 1 comparisons; rounds go on while they halve the pairs that are left, and the last compares these.
     """
-    texts = found.groupBy("fp").agg(F.min(F.struct("doc_id", "tag", "views")).alias("x")).select("fp", "x.*")
+    texts = found.groupBy("tag").agg(F.min(F.struct("doc_id", "fp", "views")).alias("x")).select("tag", "x.*")
     texts = materialise(texts, "texts")
-    samples = texts.select("fp", F.posexplode("views").alias("view", "sample"))
-    # the first by doc_id, so that a group's texts meet at the one that stays
-    first = F.min(F.struct("doc_id", "fp")).alias("first")
-    ordered = texts.select("doc_id", "fp", F.posexplode("views").alias("view", "sample"))
-    firsts = ordered.groupBy("view", "sample").agg(first, F.count("*").alias("n")).where("n > 1").select("view", "sample", F.col("first.fp").alias("a"))
-    pairs = samples.join(firsts, ["view", "sample"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    used = texts.join(used, "fp").select("fp", "doc_id", "tag")
+    bucket = ["view", "sample"]
+    samples = texts.select("tag", "fp", "doc_id", F.posexplode("views").alias("view", "sample"))
+    shared = samples.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1").select(*bucket)
+    samples = materialise(samples.join(shared, bucket), "samples")
+    used = samples.select("tag", "doc_id").distinct()
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").dropDuplicates(["doc_id", "tag"])
     same = (whole.doc_id.eqNullSafe(used.doc_id)) & (whole.tag == used.tag)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = (part.to_pylist() for _, part in text_slices(strings(batch.column("text"))))
-            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *word_hashes(t, words)])).tobytes() for part in parts for t in part]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "hashes"])
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *word_hashes(t, words)])) for part in parts for t in part]
+            sizes, sets = pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), sizes, sets], ["tag", "size", "hashes"])
 
-    sets = whole.join(used, same).select("fp", "text").mapInArrow(lean(shingles), "fp long, hashes binary")
+    sets = whole.join(used, same).select(used.tag, "text").mapInArrow(lean(shingles), "tag long, size long, hashes binary")
     sets = materialise(sets, "shingles")
-    met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a")
-    met = met.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +256,48 @@ def similar_texts(docs: DataFrame, found: DataFrame, words: int, similarity: flo
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
+    def compared(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.select(F.col("tag").alias("a"), F.col("hashes").alias("x")), "a")
+        met = met.join(sets.select(F.col("tag").alias("b"), F.col("hashes").alias("y")), "b")
+        met = met.select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
+        for c in ("a", "b"):
+            met = met.join(texts.select(F.col("tag").alias(c), F.col("fp").alias(f"{c}_fp")), c)
+        return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+
+    links, tried, before = materialise(links, "links"), None, None
+    members = samples.join(sets.select("tag", "size"), "tag")
+    while True:
+        roots = components(links)
+        label = roots.select(F.col("node").alias("fp"), "root")
+        members = members.join(label, "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
+        several = members.groupBy(*bucket).agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select(*bucket)
+        members = materialise(members.join(several, bucket), "members")
+        classes = members.groupBy(*bucket, "class").agg(F.count("*").alias("n")).groupBy(*bucket)
+        left = classes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        rows, left = left.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(n * n - same) div 2")), F.lit(0))).first()
+        if not left:
+            return roots
+        last = left <= 4 * rows or before is not None and 2 * left > before
+        other = members.select(*bucket, F.col("tag").alias("b"), F.col("size").alias("b_size"), F.col("class").alias("b_class"))
+        if last:
+            one = members.select(*bucket, F.col("tag").alias("a"), F.col("size").alias("a_size"), F.col("class").alias("a_class"))
+            pairs = one.join(other, bucket).where("a_class < b_class")
+        else:
+            # the first by doc_id, so that a group's texts meet at the one that stays
+            first = F.min(F.struct("doc_id", "tag", "size", "class")).alias("f")
+            one = members.groupBy(*bucket).agg(first).select(*bucket, F.col("f.tag").alias("a"), F.col("f.size").alias("a_size"), F.col("f.class").alias("a_class"))
+            one = materialise(one, "firsts")
+            pairs = one.join(other, bucket).where("a_class <> b_class")
+        pairs = pairs.where(F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = materialise(links.unionByName(compared(pairs)), "links")
+        if last:
+            return components(links)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        # a first has met all the others of its sample
+        members = members.join(one.select(*bucket, F.col("a").alias("tag")), [*bucket, "tag"], "left_anti").drop("class")
+        before = left
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
@@ -273,9 +310,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, similari
     found = materialise(fingerprints(docs, words, 0 if similarity is None else VIEWS), "fingerprints")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     links = fingerprint_links(nodes, max_bits)
-    if similarity is not None:
-        links = links.unionByName(similar_texts(docs, found, words, similarity))
-    roots = components(links).withColumnRenamed("node", "fp")
+    roots = components(links) if similarity is None else similar_texts(docs, found, links, words, similarity)
+    roots = roots.withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "root", "component_id")

@@ -79,6 +79,21 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert got == {i: same.get(i, i) for i, _ in rows}
 
 
+def test_similar_pairs_inside_a_family_of_less_similar_texts_are_linked(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    shared, rows, same = prose(rng, 400, vocabulary), [], {}
+    for i in range(0, 120, 2):  # 0.75 within the family; every fifth text has a copy of 0.82
+        own = prose(rng, 60, vocabulary).split()
+        rows.append((i, shared + " " + " ".join(own)))
+        if i % 10 == 0:
+            own[4:49:5] = ["changed"] * 9
+            rows.append((i + 1, shared + " " + " ".join(own)))
+            same[i + 1] = i
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows), similarity=0.8).collect()}
+    assert got == {i: same.get(i, i) for i, _ in rows}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
