@@ -166,7 +166,7 @@ def place_on_device(
         F.when(c("action") == "transcode", ".mp3").otherwise(c("_suffix")),
     )
     path = F.when(c("action").isin("transcode", "copy"), target).when(
-        c("action") == "in place", F.substring(c("local"), len(base) + 1, 10_000)
+        c("action") == "in place", F.substring(c("local"), F.lit(len(base) + 1), F.length("local"))
     )
     return rows.withColumn("device_path", path).drop("_ext", "_bare", "_suffix", "_stem", "_a", "_b")
 

@@ -10,6 +10,7 @@ from segue import standins as S
 from segue.catalog.load import QUERIES
 from segue.operators import offsets as O
 from segue.operators import slots as X
+from segue.operators import targets as T
 from segue.operators import undo as U
 from segue.sinks import neutral
 from segue.sources import binary as B
@@ -67,6 +68,16 @@ def test_tree_deeper_than_the_first_schema_is_read_whole(spark, tmp_path):
     assert [r.name for r in nodes.orderBy(F.size("path")).collect()] == [f"f{i}" for i in range(1, 6)]
 
 
+def test_long_device_paths_and_issue_details_stay_whole(spark, tmp_path):
+    name = "/media/stick/" + "a" * 12_000 + "/b.mp3"
+    track = spark.createDataFrame([(name, name, "A", "B")], "location string, local string, artist string, album string")
+    assert T.place_on_device(track, "/media/stick/").first().device_path == name.removeprefix("/media/stick")
+    broken = '<TRACK TrackID="1" Name="' + "x" * 400 + '" BPM=oops></TRACK>'
+    (tmp_path / "l.xml").write_text(f"<DJ_PLAYLISTS><COLLECTION>{broken}</COLLECTION></DJ_PLAYLISTS>")
+    issues = R.read_xml_tracks(spark, str(tmp_path / "l.xml"))[3].collect()
+    assert len(issues) == 1 and "x" * 400 in issues[0].detail
+
+
 def test_database_tables(spark):
     t = lambda ddl, *rows: spark.createDataFrame([("L", *r) for r in rows], "library_id string, " + ddl)
     dims = {n: t("ID string, Name string") for n in ("djmdAlbum", "djmdGenre", "djmdLabel")}
