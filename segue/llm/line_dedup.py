@@ -15,8 +15,8 @@ copy, in order of (doc_id, line), stays; all lines of the others go.
 Only DataFrame functions are used. A line or run that a third of all rows share is a key of
 aggregations and of joins with a unique side, never a group in one task.
 
-Defined results: lines are compared without spaces, tabs and returns at their ends; blank lines are
-neither counted nor deleted, and a run goes on across them; NULL and empty texts stay as they are; a
+Defined results: words are what lies between runs of any white space, at least one a line; lines are
+compared without spaces, tabs and returns at their ends; blank lines are neither counted nor deleted, and a run goes on across them; NULL and empty texts stay as they are; a
 NULL doc_id comes first; rows with the same doc_id and text are one row and get the same result; rows
 with one doc_id and other texts are ordered by a hash of the text; an empty table gives no rows;
 columns named like the results are replaced.
@@ -53,7 +53,7 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     line = F.col("x.line")
     return rows.select(
         "doc", "tag", "seq", F.col("x.no").alias("no"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
-        F.size(F.split(line, " +")).alias("words"),
+        F.greatest(F.lit(1), F.regexp_count(line, F.lit(r"[^\s\p{Z}\x{85}]+"))).alias("words"),
     )
 
 

@@ -122,6 +122,12 @@ def plain_dedup(rows, min_words):
     return gone
 
 
+def test_words_between_any_white_space_count(spark):
+    text = "\t".join(f"w{i}" for i in range(30)) + " " + "\u3000".join(f"v{i}" for i in range(30))
+    got = {r.doc_id: r.removed_lines for r in delete_repeated_lines(docs(spark, [(1, text), (2, text + "\nmore")])).collect()}
+    assert got == {1: [], 2: [0]}
+
+
 def test_repeated_runs_equal_brute_force(spark):
     rng = random.Random(8)
     pool = [prose(rng, rng.choice([1, 2, 3, 5, 9]), "abcdefgh") for _ in range(14)]
