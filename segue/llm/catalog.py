@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from segue.llm.bit_sliced import top_products
 from segue.llm.collision_search import nearest_vectors
+from segue.llm.hard_negatives import mine_hard_negatives
 from segue.llm.languages import predict_languages
 from segue.llm.line_dedup import delete_repeated_lines
 from segue.llm.mixing import mix
 from segue.llm.packing import pack_documents
 from segue.llm.shared import held_out, table
+from segue.llm.sharding import shard_documents
 from segue.llm.simhash import near_duplicates
 from segue.llm.token_counts import count_tokens
 from segue.llm.token_store import stored_documents, write_tokens
 from segue.llm.toxicity import score_toxicity
+from segue.llm.whitening import whiten
 from segue.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +225,47 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+
+
+@query("op11_sampled_splitters")
+def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24, law="bytes")
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(table(spark, sf_dir, "embeddings"), scale=256.0, components=4)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+OP13_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (
+    SELECT vec_id, label, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x, generate_subscripts(embedding, 1) AS i FROM usable
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, sum(a.x * c.x)::BIGINT AS score
+    FROM parts a JOIN parts c ON a.i = c.i AND a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+),
+ranked AS (
+    SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+    FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+        AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op13_cover_tree_negatives", OP13_SQL)
+def op13_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
