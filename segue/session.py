@@ -62,22 +62,39 @@ _shipped: set[str] = set()
 _written: list[str] = []
 
 
+def record_written(path: str) -> str:
+    """``path``, remembered as a folder that `drop_materialised` deletes."""
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, a lost
     executor costs nothing, and each later step reads only the columns it needs."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/segue/{name}-{uuid.uuid4().hex}"
+    path = record_written(f"{shared_folder(spark).rstrip('/')}/segue/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, as `materialise` returned them."""
+    for table in tables:
+        path = table._written_to
+        _delete(table.sparkSession, path)
+        _written.remove(path)
 
 
 def drop_materialised(spark: SparkSession) -> int:
     """Delete the tables this process wrote with `materialise`, once nothing reads them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _written.pop())
     return n
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
