@@ -10,20 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segue.session import materialise
+from segue.session import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the least node it can reach."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, "links")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
+    labels = written = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("beyond"))
         after = low.join(jump, "low").select("node", F.least("low", "beyond").alias("new"), (F.least("low", "beyond") < F.col("root")).alias("changed"))
         after = materialise(after.select("node", F.col("new").alias("root"), "changed"), "labels")
-        labels = after.select("node", "root")
+        discard(written)
+        written, labels = after, after.select("node", "root")
         if after.where("changed").isEmpty():
+            discard(both)
             return labels

@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 
 from segue.llm.components import components
 from segue.llm.shared import lean, strings, text_slices
-from segue.session import materialise
+from segue.session import discard, materialise
 
-SEED, TOGETHER, VIEWS, SAMPLE = 42, 1 << 16, 10, 3
-_MIX, _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, (2, VIEWS * SAMPLE), dtype=np.uint64)
-_ODD |= np.uint64(1)
+SEED, TOGETHER, VIEWS, SAMPLE = 42, 1 << 16, 24, 6
+CHUNK_TEXTS, CHUNK_SHINGLES = 256, 1 << 19
+_MIX, _ODD = np.random.default_rng(SEED).integers(1, 1 << 32, (2, VIEWS * SAMPLE, 1), dtype=np.uint32)
+_ODD |= np.uint32(1)
+_OF_VIEW = np.random.default_rng(SEED + 1).integers(1, 1 << 63, SAMPLE, dtype=np.uint64) | np.uint64(1)
 
 
 def word_hashes(text: str, words: int) -> Iterator[np.ndarray]:
@@ -55,22 +57,38 @@ def word_hashes(text: str, words: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(joined[a:z], SEED) for a, z in some], dtype=np.uint64)
 
 
-def fingerprint(text: str, words: int, views: int = 0) -> tuple[int, list[int]]:
-    """The SimHash of all shingles, and of ``views`` min-wise samples of ``SAMPLE`` shingles each."""
+def fingerprint(text: str, words: int, sketched: bool = False) -> tuple[int, int, np.ndarray]:
+    """The SimHash of all shingles, their number, and (if ``sketched``) the least values of
+    ``VIEWS * SAMPLE`` orders of them."""
     ones, n = np.zeros(64, dtype=np.int64), 0
-    least = np.full(views * SAMPLE, np.iinfo(np.uint64).max, dtype=np.uint64)
-    chosen = np.zeros(views * SAMPLE, dtype=np.uint64)
+    least = np.full(VIEWS * SAMPLE if sketched else 0, np.iinfo(np.uint32).max, dtype=np.uint32)
     for hashes in word_hashes(text, words):
         ones, n = ones + _bits(hashes).sum(axis=0, dtype=np.int64), n + len(hashes)
-        for i in range(len(least)):
-            order = (hashes ^ _MIX[i]) * _ODD[i]
-            order ^= order >> np.uint64(29)
-            at = int(order.argmin())
-            if not n or order[at] < least[i]:
-                least[i], chosen[i] = order[at], hashes[at]
+        upper = (hashes >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(upper) if sketched else 0, TOGETHER // 16):
+            order = (upper[None, at : at + TOGETHER // 16] ^ _MIX) * _ODD
+            order ^= order >> np.uint32(15)
+            order *= _ODD[::-1]
+            least = np.minimum(least, order.min(axis=1))
     majority = np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0]
-    samples = _bits(chosen).reshape(views, SAMPLE, 64).sum(axis=1) * 2 > SAMPLE if views and n else np.zeros((0, 64), bool)
-    return int(majority), np.packbits(samples, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+    return int(majority), n, least if n else least[:0]
+
+
+def views(least: np.ndarray) -> list[int]:
+    """A number for each ``SAMPLE`` least values; equal for texts that agree in all of them."""
+    mixed = (least.reshape(-1, SAMPLE).astype(np.uint64) * _OF_VIEW).sum(axis=1, dtype=np.uint64)
+    return (mixed ^ mixed >> np.uint64(31)).view(np.int64).tolist()
+
+
+def agreement(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of each of ``others`` (rows), the part of its least values that equals ``sketch``'s: an estimate of
+    the Jaccard similarity."""
+    return (others == sketch).mean(axis=1)
+
+
+def least_agreement(similarity: float) -> float:
+    """What texts of that similarity agree in but for 3 of 100,000 pairs: four standard deviations less."""
+    return similarity - 4 * (similarity * (1 - similarity) / (VIEWS * SAMPLE)) ** 0.5
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -202,102 +220,184 @@ def fingerprint_links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
     return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
-def fingerprints(docs: DataFrame, words: int, views: int = 0) -> DataFrame:
-    """(doc_id, fp) of every document, with ``tag`` (a hash of its text) and ``views`` sample fingerprints
-    if asked for."""
+def fingerprints(docs: DataFrame, words: int, sketched: bool = False) -> DataFrame:
+    """(doc_id, tag, fp) of every document, ``tag`` a hash of its text; if ``sketched``, also the number of its
+    shingles, a byte of each least value, and the number of each view."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = (part.to_pylist() for _, part in text_slices(strings(batch.column("text"))))
-            made = [fingerprint(t, words, views) for part in parts for t in part]
-            columns = [batch.column("doc_id"), batch.column("tag"), pa.array([x for x, _ in made], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in made], pa.list_(pa.int64()))], ["doc_id", "tag", "fp", "views"])
-
+            made = [fingerprint(t, words, sketched) for part in parts for t in part]
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array([x[0] for x in made], pa.int64())]
+            if sketched:
+                columns += [pa.array([x[1] for x in made], pa.int64()), pa.array([x[2].astype(np.uint8).tobytes() for x in made], pa.binary())]
+                columns += [pa.array([views(x[2]) for x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, tag long, fp long" + ", n long, sketch binary, views array<long>" * sketched
+    names = [part.split()[0] for part in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
-    return rows.mapInArrow(lean(count), "doc_id long, tag long, fp long, views array<long>")
+    return rows.mapInArrow(lean(count), schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a stream sorted by ``keys``, each whole, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [np.asarray(batch.column(k), dtype=np.int64) for k in keys]
+        changed = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+        for c in columns:
+            changed |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            if a == z:
+                continue
+            key = tuple(int(c[a]) for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sketches(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, VIEWS * SAMPLE)
+
+
+def _candidates(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a group that may be similar: in the group's two chunks, of different classes, whose
+    least values agree enough, and that share no earlier view (there they are candidates already)."""
+    sketches, view = _sketches(group), group.column("view")[0].as_py()
+    own, label = (np.asarray(group.column(c), dtype=np.int64) for c in ("own", "class"))
+    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+    for i in np.flatnonzero(own == low).tolist():
+        others = np.flatnonzero(own == high)
+        others = others[(others > i) if low == high else slice(None)]
+        others = others[label[others] != label[i]]
+        others = others[agreement(sketches[i], sketches[others]) >= least]
+        shared = (sketches[others] == sketches[i]).reshape(len(others), VIEWS, SAMPLE).all(axis=2)
+        others = others[~shared[:, :view].any(axis=1)]
+        if len(others):
+            yield i, others
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
 
 
 def similar_texts(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root): components of fingerprints over ``links`` and over all texts that share a sample
-    fingerprint and whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
-
-    A sample fingerprint is the SimHash of ``SAMPLE`` min-wise chosen shingles, so two texts share one
-    with probability similarity ** SAMPLE at least: of ``VIEWS`` samples, 0.999 at 0.8. Texts that share
-    one are compared, on their whole, unless their sizes rule the similarity out or they are joined
-    already. A round compares all with the first of each sample, which joins a group of n copies by
-    n - 1 comparisons; rounds go on while they halve the pairs that are left, and the last compares these.
+    """(fp, root): components of fingerprints over ``links`` and over texts whose sets of shingles have a
+    Jaccard similarity of ``similarity`` or more.
+
+    The least values of ``VIEWS * SAMPLE`` orders of its shingles are a text's sketch; texts that agree in
+    all ``SAMPLE`` values of one of the ``VIEWS`` meet in that view's bucket. At 0.8 a pair does so with
+    probability 0.9993, at 0.5 with 0.31. Pairs whose sketches then agree too little for the similarity go
+    no further; all others are compared, by their whole sets, unless one class holds them already.
+
+    First every text is compared with the first of its buckets, which joins a group of n copies by n - 1
+    comparisons. Buckets that still hold several classes are cut into chunks, and each pair of chunks is a
+    task's group: it gets the sketches, then the sets of those texts that have a candidate there, once
+    each, and gives links that join what is not joined there yet, so no table of pairs is written.
     """
-    texts = found.groupBy("tag").agg(F.min(F.struct("doc_id", "fp", "views")).alias("x")).select("tag", "x.*")
+    bucket, least = ["view", "sample"], least_agreement(similarity)
+    texts = found.groupBy("tag").agg(F.min(F.struct("doc_id", "fp", "n", "sketch", "views")).alias("x")).select("tag", "x.*")
+    roots = components(links)
+    label = roots.select(F.col("node").alias("fp"), F.col("root").alias("class"))
+    texts = texts.join(label, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     texts = materialise(texts, "texts")
-    bucket = ["view", "sample"]
-    samples = texts.select("tag", "fp", "doc_id", F.posexplode("views").alias("view", "sample"))
-    shared = samples.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1").select(*bucket)
-    samples = materialise(samples.join(shared, bucket), "samples")
-    used = samples.select("tag", "doc_id").distinct()
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").dropDuplicates(["doc_id", "tag"])
-    same = (whole.doc_id.eqNullSafe(used.doc_id)) & (whole.tag == used.tag)
+    samples = texts.select("tag", "class", F.posexplode("views").alias("view", "sample"))
+    several = samples.groupBy(*bucket).agg(F.min("class").alias("_lo"), F.max("class").alias("_hi"), F.min("tag").alias("first")).where("_lo < _hi")
+    members = materialise(samples.join(several.select(*bucket, "first"), bucket).select(*bucket, "tag", "first"), "members")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = (part.to_pylist() for _, part in text_slices(strings(batch.column("text"))))
             sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *word_hashes(t, words)])) for part in parts for t in part]
-            sizes, sets = pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), sizes, sets], ["tag", "size", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array([x.tobytes() for x in sets], pa.binary())], ["tag", "hashes"])
 
-    sets = whole.join(used, same).select(used.tag, "text").mapInArrow(lean(shingles), "tag long, size long, hashes binary")
+    used = members.select("tag").distinct().join(texts.select("tag", "doc_id"), "tag")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    same = whole.doc_id.eqNullSafe(used.doc_id) & (whole.tag == used.tag)
+    sets = whole.join(used, same).select(used.tag, "text").dropDuplicates(["tag"]).mapInArrow(lean(shingles), "tag long, hashes binary")
     sets = materialise(sets, "shingles")
 
+    # every text with the first of each of its buckets
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, VIEWS * SAMPLE) for c in ("a_sketch", "b_sketch"))
+            kept = pa.array((a == b).mean(axis=1) >= least, pa.bool_())
+            yield batch.select(["first", "tag", "a_class", "b_class"]).filter(kept)
+
+    side = lambda p, key: texts.select(F.col("tag").alias(key), F.col("class").alias(f"{p}_class"), F.col("sketch").alias(f"{p}_sketch"))
+    stars = members.where("tag <> first").select("first", "tag").distinct().join(side("a", "first"), "first").join(side("b", "tag"), "tag")
+    stars = stars.where("a_class <> b_class").select("first", "tag", "a_class", "b_class", "a_sketch", "b_sketch")
+    stars = materialise(stars.mapInArrow(lean(agree), "first long, tag long, a_class long, b_class long"), "stars")
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.select(F.col("tag").alias("a"), F.col("hashes").alias("x")), "a")
-        met = met.join(sets.select(F.col("tag").alias("b"), F.col("hashes").alias("y")), "b")
-        met = met.select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
-        for c in ("a", "b"):
-            met = met.join(texts.select(F.col("tag").alias(c), F.col("fp").alias(f"{c}_fp")), c)
-        return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
-
-    links, tried, before = materialise(links, "links"), None, None
-    members = samples.join(sets.select("tag", "size"), "tag")
-    while True:
-        roots = components(links)
-        label = roots.select(F.col("node").alias("fp"), "root")
-        members = members.join(label, "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
-        several = members.groupBy(*bucket).agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select(*bucket)
-        members = materialise(members.join(several, bucket), "members")
-        classes = members.groupBy(*bucket, "class").agg(F.count("*").alias("n")).groupBy(*bucket)
-        left = classes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        rows, left = left.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(n * n - same) div 2")), F.lit(0))).first()
-        if not left:
-            return roots
-        last = left <= 4 * rows or before is not None and 2 * left > before
-        other = members.select(*bucket, F.col("tag").alias("b"), F.col("size").alias("b_size"), F.col("class").alias("b_class"))
-        if last:
-            one = members.select(*bucket, F.col("tag").alias("a"), F.col("size").alias("a_size"), F.col("class").alias("a_class"))
-            pairs = one.join(other, bucket).where("a_class < b_class")
-        else:
-            # the first by doc_id, so that a group's texts meet at the one that stays
-            first = F.min(F.struct("doc_id", "tag", "size", "class")).alias("f")
-            one = members.groupBy(*bucket).agg(first).select(*bucket, F.col("f.tag").alias("a"), F.col("f.size").alias("a_size"), F.col("f.class").alias("a_class"))
-            one = materialise(one, "firsts")
-            pairs = one.join(other, bucket).where("a_class <> b_class")
-        pairs = pairs.where(F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialise(links.unionByName(compared(pairs)), "links")
-        if last:
-            return components(links)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # a first has met all the others of its sample
-        members = members.join(one.select(*bucket, F.col("a").alias("tag")), [*bucket, "tag"], "left_anti").drop("class")
-        before = left
+            first, x, keep = None, None, []
+            for i, tag in enumerate(batch.column("first").to_pylist()):
+                if tag != first:
+                    first, x = tag, np.frombuffer(batch.column("x")[i].as_buffer(), dtype=np.uint64)
+                keep.append(_jaccard(x, np.frombuffer(batch.column("y")[i].as_buffer(), dtype=np.uint64)) >= similarity)
+            yield batch.select(["a_class", "b_class"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = stars.join(sets.withColumnRenamed("hashes", "y"), "tag").join(sets.select(F.col("tag").alias("first"), F.col("hashes").alias("x")), "first")
+    star_links = materialise(met.select("first", "a_class", "b_class", "x", "y").mapInArrow(lean(alike), "a long, b long"), "star-links")
+    above = components(star_links)  # of classes
+
+    # all that a bucket still holds in several classes
+    after = above.select(F.col("node").alias("class"), "root")
+    now = texts.select("tag", "class", "n", "sketch").join(after, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
+    now = materialise(now.join(members.select("tag").distinct(), "tag", "left_semi"), "classes")
+    labelled = members.select(*bucket, "tag").join(now.select("tag", "class", "n"), "tag")
+    left = labelled.groupBy(*bucket).agg(F.min("class").alias("_lo"), F.max("class").alias("_hi"), F.count("*").alias("_n"), F.sum("n").alias("_s")).where("_lo < _hi")
+    chunks = F.greatest(F.ceil(F.col("_n") / CHUNK_TEXTS), F.ceil(F.col("_s") / CHUNK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("tag"), F.col("chunks")).cast("int")
+    rows = labelled.select(*bucket, "tag").join(left.select(*bucket, chunks.alias("chunks")), bucket).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select(*bucket, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "tag")
+    group = [*bucket, "low", "high"]
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _groups(batches, group):
+            some = some.combine_chunks()
+            found = [x for i, others in _candidates(some, least) for x in (i, *others.tolist())]
+            if found:
+                yield from some.take(pa.array(np.unique(found))).to_batches()
+
+    slim = "view int, sample long, low int, high int, own int, tag long, class long, sketch binary"
+    stream = rows.join(now.drop("n"), "tag").select(*group, "own", "tag", "class", "sketch")
+    close = stream.repartition(*group).sortWithinPartitions(*group, "tag").mapInArrow(lean(promising), slim)
+    close = materialise(close, "candidates")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _groups(batches, group):
+            some = some.combine_chunks()
+            label, links = np.asarray(some.column("class"), dtype=np.int64).copy(), []
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in some.column("hashes")]
+            for i, others in _candidates(some, least):
+                for j in others.tolist():
+                    if label[i] != label[j] and _jaccard(sets[i], sets[j]) >= similarity:
+                        links.append((int(label[i]), int(label[j])))
+                        label[label == label[j]] = label[i]
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    stream = close.join(sets, "tag").select(*group, "own", "tag", "class", "sketch", "hashes")
+    chunk_links = stream.repartition(*group).sortWithinPartitions(*group, "tag").mapInArrow(lean(joined), "a long, b long")
+    top = components(materialise(chunk_links, "chunk-links"))
+    step = lambda t, old, new: t.select(F.col("node").alias(old), F.col("root").alias(new))
+    out = texts.select("fp", "class").distinct().join(step(above, "class", "c1"), "class", "left").withColumn("c1", F.coalesce("c1", "class"))
+    out = out.join(step(top, "c1", "c2"), "c1", "left").select("fp", F.coalesce("c2", "c1").alias("root"))
+    out = materialise(out, "roots")
+    discard(texts, members, sets, stars, star_links, now, close)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
@@ -307,11 +407,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, similari
     With ``similarity``, texts that alike are linked too: SimHash alone sees a pair of Jaccard similarity
     0.8 some ten bits apart, beyond what any code of few anchors covers.
     """
-    found = materialise(fingerprints(docs, words, 0 if similarity is None else VIEWS), "fingerprints")
+    found = materialise(fingerprints(docs, words, similarity is not None), "fingerprints")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     links = fingerprint_links(nodes, max_bits)
-    roots = components(links) if similarity is None else similar_texts(docs, found, links, words, similarity)
-    roots = roots.withColumnRenamed("node", "fp")
+    if similarity is None:
+        roots = components(links).withColumnRenamed("node", "fp")
+    else:
+        roots = similar_texts(docs, found, links, words, similarity)
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "root", "component_id")

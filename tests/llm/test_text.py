@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from segue.llm import simhash
 from segue.llm.components import components
 from segue.llm.languages import predict_languages
 from segue.llm.line_dedup import delete_repeated_lines
@@ -25,6 +26,47 @@ def prose(rng, n, words):
 
 
 # --- SimHash -----------------------------------------------------------------------------
+def shingle_set(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+@pytest.mark.parametrize("chunk", [256, 8])
+def test_families_of_templates_are_joined_where_texts_alike_and_only_there(spark, monkeypatch, chunk):
+    """Texts of one template share much, at all similarities around 0.8: every pair of 0.8 or more ends in
+    one class, and a class holds nothing that no such pairs join."""
+    monkeypatch.setattr(simhash, "CHUNK_TEXTS", chunk)
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = []
+    for changes in (0, 1, 2, 3, 4, 6, 9):
+        for _ in range(3):
+            template = prose(rng, 200, vocabulary).split()
+            for _ in range(25):
+                copy = list(template)
+                for at in rng.sample(range(200), changes):
+                    copy[at] = rng.choice(vocabulary)
+                rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "two words"), (len(rows) + 3, prose(rng, 70_000, vocabulary))]
+    rows += [(len(rows), rows[-1][1] + " end"), (len(rows) + 1, rows[-1][1].upper())]
+    sets, prints = [shingle_set(t) for _, t in rows], [plain_fingerprint(t, 5) for _, t in rows]
+    near, root = [], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if alike or (prints[i] ^ prints[j]).bit_count() <= 2:
+                near.append((i, j))
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root] if a != b else root
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows), words=5, max_bits=2, similarity=0.8).collect()}
+    assert sum(got[i] == got[j] for i, j in near) >= 0.998 * len(near)
+    parts = {}
+    for i, c in got.items():
+        parts.setdefault(c, set()).add(root[i])
+    assert all(len(p) == 1 for p in parts.values())
+    assert 25 < len(set(root)) < len(rows) - 100
+
+
 def plain_fingerprint(text, k=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))] if words else []
