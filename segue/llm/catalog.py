@@ -22,7 +22,7 @@ from segue.llm.token_counts import count_tokens
 from segue.llm.token_store import stored_documents, write_tokens
 from segue.llm.toxicity import score_toxicity
 from segue.llm.whitening import whiten
-from segue.session import shared_folder
+from segue.session import record_written, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,18 +157,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_token_store")
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark).rstrip('/')}/segue/tokens-{uuid.uuid4().hex}"
+    path = record_written(f"{shared_folder(spark).rstrip('/')}/segue/tokens-{uuid.uuid4().hex}")
     write_tokens(table(spark, sf_dir, "documents"), path, end_id=0)
     return stored_documents(spark, path, with_ids=False)
 
 
-OP7_SQL = """
+OP7_SQL = r"""
 WITH texts AS (
     SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))) AS lines FROM documents
 ),
 exploded AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS no FROM texts),
 numbered AS (
-    SELECT doc_id, no, md5(line) AS line, len(string_split_regex(line, ' +')) AS words,
+    SELECT doc_id, no, md5(line) AS line, greatest(1, len(regexp_extract_all(line, '[^\s\x0B\x{85}\p{Z}]+'))) AS words,
         row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS seq
     FROM exploded WHERE line <> ''
 ),

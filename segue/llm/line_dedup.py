@@ -118,7 +118,10 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     their numbers in the old text from 0, ascending."""
     gone = later_copies(docs, min_words).groupBy("doc", "tag").agg(F.array_sort(F.collect_set("no")).alias("_gone"))
     gone = gone.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "_gone")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    keyed = docs.drop("removed_lines", "_doc", "_tag", "_gone").withColumns({"_doc": _doc(), "_tag": _tag()})
-    met = keyed.join(gone, ["_doc", "_tag"], "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return met.withColumn("removed_lines", F.coalesce("_gone", F.expr("array()").cast("array<int>"))).drop("_doc", "_tag", "_gone")
+    keyed = docs.drop("removed_lines", "_doc", "_tag", "_gone", "_lines").withColumns({"_doc": _doc(), "_tag": _tag()})
+    met = keyed.join(gone, ["_doc", "_tag"], "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1)))
+    # the numbers left are found by one hash set a document, not by a search for each line
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.transform(left, lambda i: F.get("_lines", i))
+    met = met.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return met.withColumn("removed_lines", F.coalesce("_gone", F.expr("array()").cast("array<int>"))).drop("_doc", "_tag", "_gone", "_lines")

@@ -50,3 +50,34 @@ def test_run_over_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_other_columns_come_through_unchanged_whatever_their_names(spark, tmp_path):
+    rng = random.Random(12)
+    columns = f"{COLUMNS}, score string, tokens string, domain string, epoch int, predicted int, tag string, removed_lines string, class_id int, _t string, _doc int, _tag int, _gone string, _lines int, _code int, _full int, `a.b` int"
+    extra = lambda i: (f"s{i}", f"t{i}", f"d{i}", i, i, f"g{i}", f"r{i}", i, f"x{i}", i, i, f"y{i}", i, i, i, i)
+    rows, labels = [], []
+    passage = prose(rng, 60)
+    for i in range(60):
+        text = prose(rng, 80).replace(" ", " zzgrumph ", 3 * (i % 4 == 0)) + (f"\n{passage}" if i % 10 == 1 else "")
+        rows.append((i, text, None if i % 7 == 1 else "en", None if i % 5 == 1 else f"src{i % 5}", None if i == 2 else len(text), *extra(i)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, columns).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    kept = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {r.doc_id: r for r in kept.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, sf)
+        assert after.dtypes == kept.dtypes, name
+        after.write.parquet(f"{sf}/{name.replace(' ', '_')}")
+        kept = spark.read.parquet(f"{sf}/{name.replace(' ', '_')}")
+        got = kept.collect()
+        assert len(got) > 25
+        for r in got:
+            old = before[r.doc_id]
+            changed = r.text != old.text
+            assert not changed or r.n_chars == len(r.text)
+            assert [r[c] for c in kept.columns if c not in ("text", "n_chars")] == [old[c] for c in kept.columns if c not in ("text", "n_chars")]
+            assert changed or r.n_chars == old.n_chars
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() >= len(got)

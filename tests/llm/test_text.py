@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from segue.llm import simhash
+from segue.llm.catalog import QUERIES, SQL
 from segue.llm.components import components
 from segue.llm.languages import predict_languages
 from segue.llm.line_dedup import delete_repeated_lines
@@ -144,6 +145,9 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 
 # --- lines -------------------------------------------------------------------------------
+WORD = r"[^ \t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def plain_dedup(rows, min_words):
     """Every maximal repeated run with an earlier copy, by comparing all places."""
     lines = []
@@ -159,7 +163,7 @@ def plain_dedup(rows, min_words):
             n = 0
             while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n][1] == lines[e][j + n][1]:
                 n += 1
-            if sum(len(re.split(" +", lines[d][i + m][1])) for m in range(n)) >= min_words:
+            if sum(max(1, len(re.findall(WORD, lines[d][i + m][1]))) for m in range(n)) >= min_words:
                 gone[d] |= {lines[d][i + m][0] for m in range(n)}
     return gone
 
@@ -173,6 +177,7 @@ def test_words_between_any_white_space_count(spark):
 def test_repeated_runs_equal_brute_force(spark):
     rng = random.Random(8)
     pool = [prose(rng, rng.choice([1, 2, 3, 5, 9]), "abcdefgh") for _ in range(14)]
+    pool += [x.replace(" ", rng.choice(["\t", " \t ", "\x0b", "\u2003"])) for x in pool[:5]]
     rows = []
     for i in range(40):
         chosen = [rng.choice(pool) for _ in range(rng.randint(0, 14))]
@@ -188,6 +193,27 @@ def test_repeated_runs_equal_brute_force(spark):
             assert got[i].text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
 
 
+def test_sql_of_repeated_lines_counts_words_alike(spark, tmp_path):
+    import duckdb
+
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(1, "\t".join(passage)), (2, "\t".join(passage)), (3, " ".join(passage[:49]) + "\u2003x"), (4, " ".join(passage[:49]) + "\u2003x\nend")]
+    rows += [(5, "\x0b".join(passage[:40])), (6, "\x0b".join(passage[:40])), (7, None), (8, "")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark_rows = sorted(tuple(r) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).select("doc_id", "removed", "n_removed", "text_md5").collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(db.sql(SQL["op7_line_dedup"]).select("doc_id, removed, n_removed, text_md5").fetchall()) == spark_rows
+    assert [r[1] for r in spark_rows] == ["", "0", "", "0", "", "", "", ""]
+
+
+def test_a_very_long_text_of_repeated_lines(spark):
+    lines = [f"line {i % 30_000} " + "word " * 9 for i in range(60_000)]
+    got = delete_repeated_lines(docs(spark, [(1, "\n".join(lines)), (2, "other")]), 50).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[1].text == "\n".join(lines[:30_000]) and by_id[1].removed_lines == list(range(30_000, 60_000))
+
+
 def test_lines_of_odd_rows(spark):
     long = " ".join(map(str, range(60)))
     rows = [(1, long), (2, long), (3, None), (4, ""), (None, long), (5, "short"), (5, "short"), (6, f"{long}\n{long}"), (7, f"x\n\n{long}\ny")]
