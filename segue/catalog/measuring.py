@@ -14,7 +14,6 @@ from segue.plans.ordered import ranked
 
 c = F.col
 RATE = 375  # two and a half frames per column, so column borders need rounding to even
-DAY_US = 86_400_000_000.0
 
 
 def samples(spark, sf):
@@ -24,7 +23,7 @@ def samples(spark, sf):
         (c("value") / 500 * F.when(c("event_id") % 3 == 0, -1).otherwise(1)).alias("full"),
         (c("event_id") % 4).alias("q"),
     )
-    r = ranked(e, ["track_id"], "us", "rank", width=DAY_US)
+    r = ranked(e, ["track_id"], "us", "rank")
     full = c("full")
     return r.select(
         "track_id", (c("rank") - 1).alias("frame"), "full", (full * c("q") * 0.25).alias("white"),

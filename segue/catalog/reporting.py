@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segue import standins as S
@@ -230,7 +233,7 @@ def ordered_hot_cues(spark, sf):
     """Place of each hot cue in its track, by slot and position."""
     q = S.cues(spark, sf, "all").where("slot IS NOT NULL")
     q = q.withColumn("key", c("slot") * 1e9 + c("position_ms"))
-    out = ranked(q, ["track_id"], "key", "place", ["ordinal"], width=1e4)
+    out = ranked(q, ["track_id"], "key", "place", ["ordinal"])
     return out.select("track_id", "ordinal", "slot", "position_ms", "place")
 
 
@@ -359,10 +362,29 @@ def lost_crate_paths(spark, sf):
         tree AS (SELECT id, id AS top, parent AS up, name AS path, 1 AS depth, lpad('' || seq, 3, '0') || ':' || id AS sort_key FROM nodes
           UNION ALL SELECT t.id, n.id, n.parent, n.name || ' / ' || t.path, t.depth + 1, lpad('' || n.seq, 3, '0') || ':' || n.id || '/' || t.sort_key
           FROM tree t JOIN nodes n ON n.id = t.up)
-        SELECT id, path, depth, sort_key FROM tree WHERE up NOT IN (SELECT id FROM nodes)""",
+        SELECT id, path, depth, sort_key FROM tree WHERE up NOT IN (SELECT id FROM nodes)
+        UNION ALL SELECT 200000000 + p_partkey, array_to_string(list_transform(range(p_partkey % 500 + 1), lambda x: 'd' || x), ' / '), (p_partkey % 500 + 1)::INT,
+          array_to_string(list_transform(range(p_partkey % 500 + 1), lambda x: '000:' || (200000000 + p_partkey - p_partkey % 500 + x)), '/')
+          FROM part""",
 )
 def playlist_trees(spark, sf):
-    """Customers as nested folders (parent = key // 4), and as many orphans."""
+    """Customers as nested folders (parent = key // 4), as many orphans, parts in chains of up to 500 folders."""
+    return _folder_trees(spark, sf)[0]
+
+
+@query(
+    "playlist_tree_issues",
+    """SELECT 'folder contains itself' AS rule, entity_id FROM (
+         SELECT '' || (300000000 + s_suppkey) AS entity_id FROM supplier
+         UNION ALL SELECT '' || (400000000 + n_nationkey) FROM nation
+         UNION ALL SELECT '' || (500000000 + r_regionkey) FROM region)""",
+)
+def playlist_tree_issues(spark, sf):
+    """Suppliers that contain themselves, nations in a ring, and regions below it, beside the good trees."""
+    return _folder_trees(spark, sf)[1].select("rule", "entity_id")
+
+
+def _folder_trees(spark, sf):
     cust = S.table(spark, sf, "customer")
     a = cust.where("c_custkey > 0").select(
         c("c_custkey").alias("id"), F.floor(c("c_custkey") / 4).alias("parent"),
@@ -372,16 +394,27 @@ def playlist_trees(spark, sf):
         (c("c_custkey") + 10000000).alias("id"), (c("c_custkey") + 90000000).alias("parent"),
         c("c_name").alias("name"), "c_nationkey",
     )
-    nodes = a.unionByName(b).select(
+    part, supplier, nation, region = (S.table(spark, sf, t) for t in ("part", "supplier", "nation", "region"))
+    n = c("p_partkey")
+    above = F.when(n % 500 == 0, 100000000).otherwise(200000000 + n - 1)
+    zero = F.lit(0).alias("c_nationkey")
+    d = part.select((n + 200000000).alias("id"), above.alias("parent"), F.concat(F.lit("d"), (n % 500).cast("string")).alias("name"), zero)
+    own = (c("s_suppkey") + 300000000).alias("id")
+    e = supplier.select(own, own.alias("parent"), c("s_name").alias("name"), zero)
+    k = c("n_nationkey") + 400000000
+    f = nation.select(k.alias("id"), (F.pmod(c("n_nationkey") + 1, F.lit(25)) + 400000000).alias("parent"), c("n_name").alias("name"), zero)
+    g = region.select((c("r_regionkey") + 500000000).alias("id"), F.lit(400000000).alias("parent"), c("r_name").alias("name"), zero)
+    parts = [x.select(c("id").cast("bigint"), c("parent").cast("bigint"), "name", c("c_nationkey").cast("bigint").alias("c_nationkey")) for x in (a, b, d, e, f, g)]
+    nodes = reduce(DataFrame.unionByName, parts).select(
         F.lit("A").alias("library_id"), c("id").cast("string").alias("node_id"),
         c("parent").cast("string").alias("parent_id"), "name", c("c_nationkey").alias("seq"),
     )
-    tree = P.tree_paths(nodes)
+    tree, issues = P.tree_paths(nodes)
     key = F.transform("sort_key", lambda k: F.concat(F.lpad(k["seq"].cast("string"), 3, "0"), F.lit(":"), k["id"]))
     return tree.select(
         c("node_id").cast("bigint").alias("id"), F.array_join("path", " / ").alias("path"),
         F.size("path").alias("depth"), F.array_join(key, "/").alias("sort_key"),
-    )
+    ), issues
 
 
 def _selected(spark, sf):
@@ -447,11 +480,21 @@ def _crates(spark, sf):
         UNION ALL SELECT r_name || '/' || n_name || '/' || n_name, false, n_nationkey FROM n WHERE n_nationkey IN (SELECT * FROM used) AND n_nationkey > 0
         UNION ALL SELECT r_name || '/' || n_name, false, n_nationkey FROM n WHERE n_nationkey NOT IN (SELECT * FROM used)
         UNION ALL SELECT DISTINCT r_name, true, NULL FROM n
-        UNION ALL SELECT r_name || '/' || r_name, false, r_regionkey FROM region WHERE r_regionkey > 0""",
+        UNION ALL SELECT r_name || '/' || r_name, false, r_regionkey FROM region WHERE r_regionkey > 0
+        UNION ALL SELECT s_name || unnest(['', '/B', '/B/B']), true, NULL FROM supplier
+        UNION ALL SELECT s_name || '/B/B/A', false, 3 FROM supplier
+        UNION ALL SELECT s_name || '/B/B/B', false, CASE WHEN s_suppkey % 2 = 1 THEN 1 ELSE 2 END FROM supplier
+        UNION ALL SELECT s_name || '/B/B', false, 2 FROM supplier WHERE s_suppkey % 2 = 1""",
 )
 def crate_tree(spark, sf):
-    """F14."""
-    nodes, _ = P.crate_tree(_crates(spark, sf))
+    """nested crates, and for each supplier crates that repeat their parent's name, every second of
+    which has an empty first crate."""
+    sup = S.table(spark, sf, "supplier")
+    names = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(n).cast("bigint").alias("n")) for x, n in (("%%B", 1), ("%%B%%B", 2), ("%%B%%B%%A", 3))])
+    repeats = sup.select(F.lit("A").alias("library_id"), "s_name", "s_suppkey", F.explode(names).alias("r"))
+    own = F.when((c("r.n") == 1) & (c("s_suppkey") % 2 == 0), 0).otherwise(c("r.n"))
+    repeats = repeats.select("library_id", F.concat("s_name", "r.x").alias("crate"), own.alias("n_tracks"))
+    nodes = P.crate_tree(_crates(spark, sf).unionByName(repeats))
     return nodes.select(F.array_join("path", "/").alias("path"), "is_folder", "n_tracks")
 
 

@@ -299,7 +299,7 @@ def device_source_tracks(spark, sf):
     )
     entries = S.table(spark, sf, "lineitem").select(lib(), c("l_orderkey").alias("playlist_id"), c("l_partkey").alias("content_id"), c("l_linenumber").alias("seq"))
     region = dim("region", "r_regionkey", "r_name")
-    out = DEV.read_device(
+    out, _ = DEV.read_device(
         {
             "content": content, "artist": supplier, "album": dim("nation", "n_nationkey", "n_name"), "genre": region.where("id > 0"),
             "label": supplier.where("id > 0"), "key": supplier.where("id < 0"), "playlist": lists, "playlist_content": entries,
@@ -392,6 +392,25 @@ def serato_old_markers(spark, sf):
     )
 
 
+@query(
+    "damaged_tag_issues",
+    """SELECT 'unreadable beatgrid tag' AS rule, '' || p_partkey AS entity_id, CASE WHEN p_size % 4 = 0 THEN 'unexpected header' ELSE '2 of 3 entries' END AS detail
+         FROM part WHERE p_size % 4 IN (0, 1)
+       UNION ALL SELECT 'unreadable markers tag', '' || p_partkey, CASE WHEN p_size % 4 = 0 THEN 'unexpected header' ELSE '2 of ' || (p_size + 3) || ' entries' END
+         FROM part WHERE p_size % 4 IN (0, 2)""",
+)
+def damaged_tag_issues(spark, sf):
+    """Grids cut short or of another version, and marker tags that claim more entries than they hold."""
+    part = S.table(spark, sf, "part").withColumn("library_id", F.lit("A"))
+    size = c("p_size")
+    entry = F.lit("0102030405060708")
+    grid = F.concat(F.when(size % 4 == 0, "0200").otherwise("0100"), F.lit("00000003"), entry, entry, F.when(size % 4 == 1, "0102").otherwise(entry))
+    old = F.concat(F.when(size % 4 == 0, "0100").otherwise("0205"), _hex(F.when(size % 4 == 2, size + 3).otherwise(2), 8), F.lit("00" * 44))
+    grids = B.damaged_tags(part.withColumn("data", F.unhex(grid)), "data", "beatgrid", "p_partkey")
+    marks = B.damaged_tags(part.withColumn("data", F.unhex(old)), "data", "markers", "p_partkey")
+    return grids.unionByName(marks).drop("library_id")
+
+
 # --- A6, A9 ---------------------------------------------------------------------------------------------
 def _record(tag, body_hex):
     return F.concat(F.hex(F.encode(F.lit(tag), "US-ASCII")), _hex(F.length(body_hex) / 2, 8), body_hex)
@@ -443,6 +462,20 @@ def unreadable_records(spark, sf):
     return B.record_issues(records, "library_id")
 
 
+@query(
+    "whole_serato_database",
+    """WITH t AS (SELECT p_brand AS library_id, p_name, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
+       SELECT library_id, 'serato:' || n AS track_id, '/Music/' || p_name || '.mp3' AS location, 'x' || p_partkey AS title FROM t""",
+)
+def whole_serato_database(spark, sf):
+    """One database of many tracks for each brand, its records read in parallel."""
+    record = _record("otrk", F.concat(_record("pfil", _utf16(F.concat(F.lit("Music/"), "p_name", F.lit(".mp3")))), _record("tsng", _utf16(F.concat(F.lit("x"), c("p_partkey").cast("string"))))))
+    rows = S.table(spark, sf, "part").select(c("p_brand").alias("library_id"), "p_partkey", record.alias("r"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "r"))), lambda x: x["r"]), "")
+    data = rows.groupBy("library_id").agg(F.unhex(F.concat(F.first(_record("vrsn", _utf16(F.lit("2.0")))), joined)).alias("data"))
+    return B.serato_tracks(B.explode_records(data, ["library_id"], "data")).select("library_id", "track_id", "location", "title")
+
+
 # --- A10 ------------------------------------------------------------------------------------------------
 @query(
     "found_libraries",

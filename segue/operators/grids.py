@@ -1,80 +1,57 @@
 """Beat grids: compress, expand, segment, convert.
 
-Sections are found by a fold over a track's sorted markers, a higher-order function
-over one array per track.  A track with more rows than ``WHOLE_TRACK_ROWS`` is first
-cut at rows that start a section whatever came before (a tempo jump no section can
-span), and each stretch is folded on its own.
+What starts a section depends on the section before (`segue.plans.sections`); a track of any length is
+cut into chunks that several tasks walk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.functions.grid import beat_ms
-from segue.plans.ordered import around, ranked, running
+from segue.plans.ordered import CHUNK, around, cut, running, uncut
+from segue.plans.sections import first_break, sections_of
 
-WHOLE_TRACK_ROWS = 4_000
-HOUR_MS = 3_600_000.0
 TOLERANCE_MS = 2.0
 
 
-def _stretches(
-    rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str],
-    prepare: Callable[[DataFrame], DataFrame], certain: Callable[[], Column],
-    whole: int = WHOLE_TRACK_ROWS, width: float = HOUR_MS,
-) -> DataFrame:
-    """One row per track, or per stretch of a very long one, with its rows as sorted array ``a``."""
-    item = F.struct(order, *[c for c in columns if c != order])
-    packed = F.sort_array(F.collect_list(item)).alias("a")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    long = sizes.where(F.col("_n") > whole).select(*keys)
-    if long.isEmpty():
-        return rows.groupBy(*keys).agg(packed)
-    short = rows.join(long, list(keys), "left_anti").groupBy(*keys).agg(packed)
-    cut = prepare(rows.join(long, list(keys), "left_semi"))
-    marked = running(
-        cut, keys, order, F.when(certain(), F.col(order)), "last", "_stretch",
-        [c for c in columns if c != order], width,
-    )
-    return short.unionByName(marked.groupBy(*keys, "_stretch").agg(packed).drop("_stretch"))
-
-
 # --- F1: drop markers the last kept one predicts ---------------------------------------
-def simplify(tempo: DataFrame, keys: Sequence[str], whole: int = WHOLE_TRACK_ROWS) -> DataFrame:
+def _kept_markers(entry, columns, base, before, last):
+    """An open section is the last kept marker: position, bpm, beat."""
+    position, bpm, beat = columns
+    n, at, out, kept = len(position), 0, [], entry
+
+    def predicted(a: int, z: int) -> np.ndarray:
+        length = 60000.0 / kept[1]
+        beats = (position[a:z] - kept[0]) / length
+        near = np.rint(beats)
+        on_grid = np.abs(beats - near) * length <= TOLERANCE_MS
+        return on_grid & (np.abs(bpm[a:z] - kept[1]) <= 0.01) & (beat[a:z] == np.mod(kept[2] - 1 + near, 4) + 1)
+
+    while True:
+        at = first_break(predicted, at, n) if kept else at
+        if at == n:
+            return out, kept
+        kept = [float(c[at]) for c in columns]
+        out.append(kept)
+        at += 1
+
+
+def simplify(tempo: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     columns = ["position_ms", "bpm", "beat"]
-
-    def step(kept: Column, m: Column) -> Column:
-        last = F.element_at(kept, -1)
-        length = beat_ms(last["bpm"])
-        beats = (m["position_ms"] - last["position_ms"]) / length
-        predicted = (
-            (F.abs(beats - F.rint(beats)) * length <= TOLERANCE_MS)
-            & (F.abs(m["bpm"] - last["bpm"]) <= 0.01)
-            & (m["beat"] == F.pmod(last["beat"] - 1 + F.rint(beats).cast("bigint"), F.lit(4)) + 1)
-        )
-        return F.when((F.size(kept) > 0) & predicted, kept).otherwise(F.array_append(kept, m))
-
-    # markers within 0.01 of one kept marker are within 0.02 of each other
-    jump = F.col("prev").isNull() | (F.abs(F.col("bpm") - F.col("prev.bpm")) > 0.0201)
-    runs = _stretches(
-        tempo.where("bpm > 0"), keys, "position_ms", columns,
-        lambda d: around(d, keys, "position_ms", ["bpm"], ["bpm", "beat"], HOUR_MS), lambda: jump, whole,
-    )
-    empty = F.filter("a", lambda x: F.lit(False))
-    return runs.select(*keys, F.explode(F.aggregate("a", empty, step)).alias("m")).select(
-        *keys, "m.position_ms", "m.bpm", "m.beat"
-    )
+    kept = sections_of(tempo.where("bpm > 0"), keys, "position_ms", columns, _kept_markers, 3, columns[1:], chunk)
+    types = {f.name: f.dataType for f in tempo.schema.fields}
+    return kept.select(*keys, *[F.col(f"v{i}").cast(types[c]).alias(c) for i, c in enumerate(columns)])
 
 
 # --- F2, F3: a grid as beats -----------------------------------------------------------------
 def expand(tempo: DataFrame, keys: Sequence[str], end_ms: str) -> DataFrame:
     """Every beat from the track start to ``end_ms`` (a column): ``position_ms, beat`` (F2)."""
-    rows = around(
-        tempo, keys, "position_ms", ["position_ms"], ["bpm", "beat"], HOUR_MS
-    )
+    rows = around(tempo, keys, "position_ms", ["position_ms"], ["bpm", "beat"])
     length = beat_ms(F.col("bpm"))
     at = F.col("position_ms")
     first = F.col("prev").isNull()
@@ -100,9 +77,7 @@ def _beats(rows: DataFrame, keys: Sequence[str], n: Column, length: Column) -> D
 
 def expand_for_device(tempo: DataFrame, keys: Sequence[str], duration_ms: str) -> DataFrame:
     """Beats as the device stores them: ``beat, tempo`` (bpm x 100) and whole ``ms``."""
-    rows = around(tempo, keys, "position_ms", ["position_ms"], ["bpm", "beat"], HOUR_MS).where(
-        "bpm > 0"
-    )
+    rows = around(tempo, keys, "position_ms", ["position_ms"], ["bpm", "beat"]).where("bpm > 0")
     length = beat_ms(F.col("bpm"))
     at = F.col("position_ms")
     back = F.when(F.col("prev").isNull(), F.floor(at / length)).otherwise(0)
@@ -121,118 +96,69 @@ def expand_for_device(tempo: DataFrame, keys: Sequence[str], duration_ms: str) -
 
 
 # --- F4: beats -> constant-tempo sections --------------------------------------------------------
+def _constant_tempo(tolerance_ms: float):
+    def walk(entry, columns, base, before, last):
+        """An open section: its first beat's number and position, and its first interval."""
+        beats = columns[0] if before is None else np.concatenate((before, columns[0]))
+        base -= before is not None
+        gaps = np.diff(beats)
+        n, at, out, section = len(gaps), 0, [], entry
+        while at < n:
+            if section:
+                at = first_break(lambda a, z: np.abs(gaps[a:z] - section[2]) <= tolerance_ms, at, n)
+                if at == n:
+                    break
+                out.append([section[0], section[1], base + at - section[0], beats[at] - section[1]])
+            section = [float(base + at), float(beats[at]), float(gaps[at])]
+            at += 1
+        if last and section:
+            out.append([section[0], section[1], base + len(beats) - 1 - section[0], beats[-1] - section[1]])
+        return out, section
+
+    return walk
+
+
 def sections(
     beats: DataFrame, keys: Sequence[str], position: str = "position_ms", first_beat: int = 1,
-    tolerance_ms: float = TOLERANCE_MS, whole: int = WHOLE_TRACK_ROWS, width: float = HOUR_MS,
+    tolerance_ms: float = TOLERANCE_MS, chunk: int = CHUNK,
 ) -> DataFrame:
     """``position_ms, bpm, beat`` per section.
 
     The unit is the interval between two beats.  A section takes intervals while they
-    differ from its *first* by at most the tolerance, so two neighbours further apart
-    than twice the tolerance never share one.
+    differ from its *first* by at most the tolerance.
     """
-    rows = beats.select(*keys, F.col(position).cast("double").alias("at"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    long = sizes.where(F.col("_n") > whole).select(*keys)
-    if long.isEmpty():
-        return _fold_sections(_intervals_of(rows, keys), keys, first_beat, tolerance_ms)
-    short = _intervals_of(rows.join(long, list(keys), "left_anti"), keys)
-    cut = ranked(rows.join(long, list(keys), "left_semi"), keys, "at", "_i", width=width)
-    cut = around(cut, keys, "at", ["at"], ["_i"], width).where("next IS NOT NULL")
-    cut = cut.select(*keys, "at", (F.col("_i") - 1).alias("i"), F.col("next.at").alias("to"))
-    cut = around(cut, keys, "at", ["at", "to"], ["i"], width)
-    change = F.abs((F.col("to") - F.col("at")) - (F.col("prev.to") - F.col("prev.at")))
-    certain = F.col("prev").isNull() | (change > 2 * tolerance_ms + 1e-6)
-    cut = running(cut, keys, "at", F.when(certain, F.col("i")), "last", "_s", ["i"], width)
-    pieces = cut.groupBy(*keys, "_s").agg(
-        F.sort_array(F.collect_list(F.struct("i", "at", "to"))).alias("a")
-    )
-    return _fold_sections(short.unionByName(pieces.drop("_s")), keys, first_beat, tolerance_ms)
+    found = sections_of(beats, keys, position, [position], _constant_tempo(tolerance_ms), 4, (), chunk)
+    return found.select(
+        *keys, F.col("v1").alias("position_ms"), F.try_divide(F.lit(60000.0) * F.col("v2"), F.col("v3")).alias("bpm"),
+        (F.pmod(F.col("v0").cast("bigint") + (first_beat - 1), F.lit(4)) + 1).cast("int").alias("beat"),
+    ).where("bpm IS NOT NULL")  # fmt: skip  (beats at one position have no tempo)
 
 
-def _intervals_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    arrays = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("p")).where(
-        F.size("p") > 1
-    )
-    return arrays.select(
-        *keys,
-        F.transform(
-            F.sequence(F.lit(0), F.size("p") - 2),
-            lambda i: F.struct(
-                i.cast("bigint").alias("i"), F.get("p", i).alias("at"), F.get("p", i + 1).alias("to")
-            ),
-        ).alias("a"),
-    )
+# --- F5: per-beat rows -> sections --------------------------------------------------------------
+def _steady_rows(entry, columns, base, before, last):
+    """An open section is its first row: its number, ms, bpm, beat."""
+    ms, bpm, beat = columns
+    n, at, out, first = len(ms), 0, [], entry
 
+    def expected(a: int, z: int) -> np.ndarray:
+        since = np.arange(base + a, base + z) - first[0]
+        return (np.abs(first[2] - bpm[a:z]) < 0.001) & (np.abs(ms[a:z] - (first[1] + since * 60000.0 / first[2])) <= TOLERANCE_MS)
 
-def _fold_sections(runs: DataFrame, keys, first_beat: int, tolerance_ms: float) -> DataFrame:
-    section = "struct<i:bigint,at:double,to:double,first:double,n:bigint>"
-    empty = F.array().cast(f"array<{section}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        gap = x["to"] - x["at"]
-        grown = F.struct(
-            last["i"].alias("i"), last["at"].alias("at"), x["to"].alias("to"),
-            last["first"].alias("first"), (last["n"] + 1).alias("n"),
-        )
-        fresh = F.struct(
-            x["i"].alias("i"), x["at"].alias("at"), x["to"].alias("to"), gap.alias("first"),
-            F.lit(1).cast("bigint").alias("n"),
-        )
-        same = (F.size(acc) > 0) & (F.abs(gap - last["first"]) <= tolerance_ms)
-        return F.when(
-            same, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)
-        ).otherwise(F.array_append(acc, fresh))
-
-    folded = runs.select(*keys, F.explode(F.aggregate("a", empty, step)).alias("s"))
-    return folded.select(
-        *keys, F.col("s.at").alias("position_ms"),
-        F.try_divide(F.lit(60000.0) * F.col("s.n"), F.col("s.to") - F.col("s.at")).alias("bpm"),
-        (F.pmod(F.col("s.i") + (first_beat - 1), F.lit(4)) + 1).cast("int").alias("beat"),
-    ).where("bpm IS NOT NULL")  # fmt: skip  (beats at one position have no tempo)
+    while True:
+        at = first_break(expected, at, n) if first else at
+        if at == n:
+            return out, first
+        first = [float(base + at), float(ms[at]), float(bpm[at]), float(beat[at])]
+        out.append(first[1:])
+        at += 1
 
 
-# --- F5: per-beat rows -> sections --------------------------------------------------------------
-def compress(
-    beats: DataFrame, keys: Sequence[str], order: str = "i", whole: int = WHOLE_TRACK_ROWS
-) -> DataFrame:
+def compress(beats: DataFrame, keys: Sequence[str], order: str = "i", chunk: int = CHUNK) -> DataFrame:
     """Device beat rows ``(order, beat, tempo, ms)`` to tempo markers."""
     rows = beats.where("tempo > 0").withColumn("bpm", F.col("tempo") / F.lit(100.0))
-    columns = [order, "ms", "bpm", "beat"]
-    marker = "struct<position_ms:double,bpm:double,beat:int,since:bigint>"
-    empty = F.array().cast(f"array<{marker}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        since = last["since"] + 1
-        expected = last["position_ms"] + since * F.lit(60000.0) / last["bpm"]
-        same = (
-            (F.size(acc) > 0)
-            & (F.abs(last["bpm"] - x["bpm"]) < 0.001)
-            & (F.abs(x["ms"] - expected) <= TOLERANCE_MS)
-        )
-        counted = F.struct(
-            last["position_ms"].alias("position_ms"), last["bpm"].alias("bpm"),
-            last["beat"].alias("beat"), since.alias("since"),
-        )
-        fresh = F.struct(
-            x["ms"].cast("double").alias("position_ms"), x["bpm"].alias("bpm"),
-            F.when(x["beat"] == 0, 1).otherwise(x["beat"]).cast("int").alias("beat"),
-            F.lit(0).cast("bigint").alias("since"),
-        )
-        return F.when(
-            same, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), counted)
-        ).otherwise(F.array_append(acc, fresh))
-
-    jump = F.col("prev").isNull() | (F.abs(F.col("bpm") - F.col("prev.bpm")) > 0.0021)
-    runs = _stretches(
-        rows, keys, order, columns,
-        lambda d: around(d, keys, order, ["bpm"], [], 1 << 16), lambda: jump, whole, 1 << 16,
-    )
-    return runs.select(*keys, F.explode(F.aggregate("a", empty, step)).alias("m")).select(
-        *keys, "m.position_ms", "m.bpm", "m.beat"
-    )
+    found = sections_of(rows, keys, order, ["ms", "bpm", "beat"], _steady_rows, 3, ["ms", "bpm", "beat"], chunk)
+    beat = F.when(F.col("v2") == 0, 1).otherwise(F.col("v2")).cast("int")
+    return found.select(*keys, F.col("v0").alias("position_ms"), F.col("v1").alias("bpm"), beat.alias("beat"))
 
 
 # --- F6, F7: Serato grids ---------------------------------------------------------------------------
@@ -254,21 +180,17 @@ def from_serato(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 def to_serato(tempo: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tempo to ``(position_s, bpm, beats_to_next)``: the first marker moves to a downbeat,
     markers not after the last kept one are dropped, only the last carries a bpm."""
-    rows = around(
-        tempo.where("bpm > 0"), keys, "position_ms", ["position_ms"], ["bpm", "beat"], HOUR_MS
-    )
+    ties = ["bpm", "beat"]
+    rows = cut(tempo.where("bpm > 0"), keys, "position_ms", ties)
+    rows = around(rows, keys, "position_ms", ["position_ms"], ties)
     length = beat_ms(F.col("bpm"))
     down = F.col("position_ms") - F.pmod(F.col("beat") - 1, F.lit(4)) * length
     down = F.when(down < 0, down + 4 * length).otherwise(down)
     first = F.col("prev").isNull()
-    rows = rows.withColumn("_at", F.when(first, down).otherwise(F.col("position_ms"))).drop(
-        "prev", "next"
-    )
-    rows = running(
-        rows, keys, "position_ms", F.col("_at"), "max", "_top", ["bpm", "beat"], HOUR_MS,
-        inclusive=False,
-    ).where("_top IS NULL OR _at > _top")
-    rows = around(rows, keys, "_at", ["_at"], [], HOUR_MS)
+    rows = rows.withColumn("_at", F.when(first, down).otherwise(F.col("position_ms"))).drop("prev", "next")
+    rows = running(rows, keys, "position_ms", F.col("_at"), "max", "_top", ties, inclusive=False)
+    # kept markers rise, so their order is still that of the stored position
+    rows = uncut(around(rows.where("_top IS NULL OR _at > _top"), keys, "position_ms", ["_at"], ties))
     to = F.col("next._at")
     return rows.select(
         *keys, (F.col("_at") / F.lit(1000.0)).alias("position_s"),

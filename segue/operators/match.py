@@ -190,16 +190,12 @@ def _components(rows: DataFrame, tolerance: float) -> DataFrame:
     rows = rows.join(zero.withColumn("_z", F.lit(True)), _BLOCK, "left")
     tied = (F.col("zero_n") > 0) | F.coalesce("_z", F.lit(False))
     rows = rows.withColumn("tied", tied).drop("_z", "zero_n")
-    width = max(tolerance, 1.0) * 512
     slim = rows.select(*on, "kind")
-    slim = neighbours(slim, _BLOCK, "duration", ["duration"], "before", ["kind"], width)
+    slim = neighbours(slim, _BLOCK, "duration", ["duration"], "before", ["kind"])
     gap = F.col("before").isNull() | (
         F.col("duration") - F.col("before.duration") > F.lit(float(tolerance) * 1.000001 + 1e-9)
     )
-    slim = running(
-        slim, _BLOCK, "duration", F.when(gap, F.col("duration")), "last", "component", ["kind"],
-        width,
-    )
+    slim = running(slim, _BLOCK, "duration", F.when(gap, F.col("duration")), "last", "component", ["kind"])
     out = rows.join(slim.select(*on, "kind", "component"), [*on, "kind"])
     return out.withColumn(
         "component", F.when(F.col("tied"), F.lit(-1.0)).otherwise(F.col("component"))
@@ -235,10 +231,7 @@ def _seeded(parts: DataFrame, tolerance: float) -> DataFrame:
             F.col("n").cast("bigint").alias("w"),
         )
     )
-    cum = running(
-        events, on, "at", F.col("w"), "sum", "cum", ["side", "which", "duration"],
-        max(tolerance, 1.0) * 512,
-    )
+    cum = running(events, on, "at", F.col("w"), "sum", "cum", ["side", "which", "duration"])
     counts = (
         cum.where("side <> 0")
         .groupBy(*on, "duration", "which")

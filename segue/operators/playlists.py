@@ -6,14 +6,13 @@ position, so one very long playlist is not sorted by a single task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.functions.locations import location_to_path
 from segue.plans.ordered import ranked, running
-from segue.session import materialise
-
-MAX_DEPTH = 64
+from segue.session import discard, materialise
 
 
 def known_entries(entries: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -88,37 +87,46 @@ def resolve_crate_paths(refs: DataFrame, tracks: DataFrame) -> tuple[DataFrame,
 
 
 # --- trees -------------------------------------------------------------------------------
-def tree_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Adjacency list -> nodes with ``path`` (names from the top) and ``sort_key``
-    (seq, id pairs from the top); a node whose parent is unknown hangs at the top (J8).
+def tree_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adjacency list -> (nodes with ``path`` (names from the top) and ``sort_key`` (seq, id
+    pairs from the top), issues); a node whose parent is unknown hangs at the top (J8).
+
+    Paths double: a round joins every open node with the node its path ends below, and takes
+    that one's whole path, so a tree of depth d takes log2(d) rounds. A folder that meets
+    itself in its path is inside itself; it and all that hangs below it reach no top, have no
+    place in the tree and become issue rows, while all other libraries go on.
 
-    Levels are joined upwards until no node has a parent left, so the number of rounds
-    is the depth of the deepest tree; each round is one equi join of the open nodes.
+    Rows without a node_id, and all but one row of a repeated node_id, are not in the tree.
     """
-    step_key = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("node_id").alias("id"))
-    up = nodes.select(
-        F.col("library_id").alias("_lib"), F.col("node_id").alias("_id"),
-        F.col("parent_id").alias("_up"), F.col("name").alias("_name"), step_key.alias("_key"),
+    own = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("node_id").alias("id"))
+    rows = nodes.where("node_id IS NOT NULL").dropDuplicates(["library_id", "node_id"])
+    known = rows.select("library_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_known"))
+    state = rows.join(known, ["library_id", "parent_id"], "left").select(
+        *[F.col(c) for c in nodes.columns], F.when(F.col("_known"), F.col("parent_id")).alias("_up"),
+        F.array("name").alias("path"), F.array(own).alias("sort_key"), F.lit(False).alias("_lost"),
     )
-    opened = nodes.select(
-        *nodes.columns, F.col("parent_id").alias("_next"), F.array("name").alias("path"),
-        F.array(step_key).alias("sort_key"),
-    )
-    done = None
-    for _ in range(max_depth + 1):
-        same = (F.col("library_id") == F.col("_lib")) & (F.col("_next") == F.col("_id"))
-        step = opened.join(up, same, "left")
-        closed = step.where("_id IS NULL").select(*nodes.columns, "path", "sort_key")
-        done = closed if done is None else done.unionByName(closed)
-        opened = step.where("_id IS NOT NULL").select(
-            *nodes.columns, F.col("_up").alias("_next"),
-            F.concat(F.array("_name"), "path").alias("path"),
-            F.concat(F.array("_key"), "sort_key").alias("sort_key"),
+    state = materialise(state, "tree")
+    while True:
+        open_ = F.col("_up").isNotNull() & ~F.col("_lost")
+        if state.where(open_).isEmpty():
+            break
+        above = state.select(
+            "library_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_path"),
+            F.col("sort_key").alias("_key"), F.col("_lost").alias("_above_lost"),
+        )
+        met = state.where(open_).join(above, ["library_id", "_up"])
+        lost = F.col("_above_lost") | F.exists("_key", lambda k: k["id"] == F.col("node_id"))
+        met = met.select(
+            *nodes.columns, F.col("_next").alias("_up"), F.when(lost, F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
+            F.when(lost, F.col("sort_key")).otherwise(F.concat("_key", "sort_key")).alias("sort_key"), lost.alias("_lost"),
         )
-        opened = materialise(opened, "tree-level")
-        if opened.isEmpty():
-            return done
-    raise ValueError(f"playlist tree deeper than {max_depth} levels, or a folder contains itself")
+        after = materialise(state.where(~open_).unionByName(met), "tree")
+        discard(state)
+        state = after
+    issues = state.where("_lost").select(
+        "library_id", F.lit("folder contains itself").alias("rule"), F.col("node_id").cast("string").alias("entity_id"), F.col("name").alias("detail")
+    )
+    return state.where("NOT _lost").select(*nodes.columns, "path", "sort_key"), issues
 
 
 def select_playlists(
@@ -153,15 +161,31 @@ def select_playlists(
 
 
 # --- crates ----------------------------------------------------------------------------------
-def crate_tree(crates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Crates named ``A%%B`` -> (nodes, quality issues).
+NODES = "library_id string, crate string, path array<string>, is_folder boolean, n_tracks bigint"
+
+
+def crate_tree(crates: DataFrame) -> DataFrame:
+    """Crates named ``A%%B`` -> nodes.
 
     ``crates(library_id, crate, n_tracks)``.  A crate with crates below it becomes a
     folder; its own tracks, if it has any, go to a list of the same name inside it.
     Parents are found by an equi join on exploded name prefixes.
+
+    Where a name repeats its parent's (``B%%B``), a list that was moved inside its folder can be
+    taken for the next crate's parent and move once more, so the order of the files counts: such
+    trees, one below each first name of a library, are built by a walk over their ordered names.
     """
-    parts = F.split("crate", "%%")
-    rows = crates.withColumn("path", parts)
+    rows = crates.withColumn("path", F.split("crate", "%%"))
+    repeats = F.exists(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("path") - 1)),
+        lambda i: (i < F.size("path")) & (F.get("path", i) == F.get("path", i - 1)),
+    )
+    top = F.get("path", F.lit(0)).alias("_top")
+    ordered = rows.where(repeats).select("library_id", top).distinct()
+    rows = rows.withColumn("_top", top)
+    walked = rows.join(ordered, ["library_id", "_top"], "left_semi")
+    walked = walked.groupBy("library_id", "_top").applyInPandas(_walk_crates, NODES)
+    rows = rows.join(ordered, ["library_id", "_top"], "left_anti")
     prefixes = (
         rows.where(F.size("path") > 1)
         .select(
@@ -186,17 +210,39 @@ def crate_tree(crates: DataFrame) -> tuple[DataFrame, DataFrame]:
         "library_id", F.lit(None).cast("string").alias("crate"), "path",
         F.lit(True).alias("is_folder"), F.lit(None).cast("bigint").alias("n_tracks"),
     )
-    repeated = rows.where(
-        F.exists(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("path") - 1)),
-            lambda i: (i < F.size("path")) & (F.get("path", i) == F.get("path", i - 1)),
-        )
-    )
-    issues = repeated.select(
-        "library_id", F.lit("crate repeats its parent's name").alias("rule"),
-        F.col("crate").alias("entity_id"), F.array_join("path", " / ").alias("detail"),
-    )
-    return lists.unionByName(folders), issues
+    return lists.unionByName(folders).unionByName(walked)
+
+
+def _walk_crates(crates: pd.DataFrame) -> pd.DataFrame:
+    """The tree below one first name: crates come by name, case ignored. A folder is a dict of
+    its folders and a list of its lists; a parent's name becomes a folder once a crate needs it."""
+    tree: tuple[dict, list] = ({}, [])
+    files = sorted(zip(crates["crate"], crates["n_tracks"].fillna(0)), key=lambda f: (f[0].lower(), f[0]))
+    for crate, n in files:
+        *parents, name = crate.split("%%")
+        folders, lists = tree
+        for parent in parents:
+            if parent not in folders:
+                folders[parent] = ({}, [])
+                same = next((x for x in lists if x[0] == parent), None)
+                if same:
+                    lists.remove(same)
+                    if same[2]:
+                        folders[parent][1].append(same)
+            folders, lists = folders[parent]
+        if name not in folders:
+            lists.append((name, crate, int(n)))
+        elif n:
+            folders[name][1].append((name, crate, int(n)))
+    out, todo = [], [((), tree)]
+    while todo:
+        path, (folders, lists) = todo.pop()
+        out += [(crate, [*path, name], False, n) for name, crate, n in lists]
+        out += [(None, [*path, name], True, None) for name in folders]
+        todo += [((*path, name), below) for name, below in folders.items()]
+    frame = pd.DataFrame(out, columns=["crate", "path", "is_folder", "n_tracks"])
+    frame["n_tracks"] = frame["n_tracks"].astype("Int64")
+    return frame.assign(library_id=crates["library_id"].iloc[0])
 
 
 def crate_file_name(path: Column) -> Column:

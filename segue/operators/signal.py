@@ -90,7 +90,7 @@ def detail(columns: DataFrame) -> DataFrame:
         f"_e{j}": F.when(c(b) > 0, F.ln(c(b)) - c("col") * math.log(r))
         for j, (b, r) in enumerate(zip(BANDS, RELEASE))
     }
-    rows = running_max(columns, TRACK, "col", decay, CHUNK_COLUMNS)
+    rows = running_max(columns, TRACK, "col", decay)
     for j, (b, r) in enumerate(zip(BANDS, RELEASE)):
         env = F.coalesce(F.exp(c(f"_e{j}") + c("col") * math.log(r)), F.lit(0.0))
         rows = rows.withColumn(f"env_{b}", env).drop(f"_e{j}")

@@ -1,11 +1,17 @@
 """Ordered operators that never put one group into one task.
 
-A plain window partitioned by library, track or playlist sorts the whole group in a
-single task; one key may hold a third of all rows.  Here each group is cut into
-chunks of the order column by a pure function of the row (`floor(order / width)`),
-the window runs per (group, chunk), and one small aggregate row per chunk carries
-the running value across chunk borders.  Results equal the plain window's: NULL keys
-are one group, and rows of NULL order come first in theirs.
+A plain window partitioned by library, track or playlist sorts the whole group in a single task; one
+key may hold a third of all rows. Here groups of more than about ``CHUNK`` rows are cut into chunks of
+that many rows at splitters: quantiles, by the whole order (the order column and the ties), of a sample
+of their rows. The window runs per (group, chunk), and one small row per chunk carries the running value
+across chunk borders. All other groups are one chunk, and have no row in any side table.
+
+Splitters and carries have one row, or one array entry, for each ``CHUNK`` rows of the data, so both are
+broadcast and the data is shuffled once. `cut` lays rows out once for several operators of one order.
+
+Results equal the plain window's: NULL keys are one group, and rows of NULL order come first in theirs.
+The sample is drawn by a hash of the row's keys and order, so every step sees the same one. Rows equal
+in order and ties are one place in the order and can't be cut apart.
 """
 
 from __future__ import annotations
@@ -17,15 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
+CHUNK = 1 << 17
+SAMPLED = 64  # rows of a chunk that are in the sample
+MOST_SPLITTERS = 20  # of one group, as a power of two
 _C = "__chunk"
 
 
-def _chunked(df: DataFrame, order: str, width: float) -> DataFrame:
-    return df.withColumn(_C, F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-
-
-def _inner(keys: Sequence[str], order: str, ties: Sequence[str]):
+def _window(keys: Sequence[str], order: str, ties: Sequence[str]):
     return W.partitionBy(*keys, _C).orderBy(order, *ties)
 
 
@@ -37,92 +41,128 @@ def _before(keys: Sequence[str]):
     return _across(keys).rowsBetween(W.unboundedPreceding, -1)
 
 
-def _after(keys: Sequence[str]):
-    return _across(keys).rowsBetween(1, W.unboundedFollowing)
+def _met(rows: DataFrame, side: DataFrame, keys: Sequence[str], *also: str, how: str = "left") -> DataFrame:
+    """``rows`` with the other columns of the small table ``side``; NULL keys meet NULL keys."""
+    side = side.withColumnsRenamed({k: f"__on_{k}" for k in (*keys, *also)})
+    same = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys] + [F.col(k) == F.col(f"__on_{k}") for k in also]
+    return rows.join(F.broadcast(side), reduce(lambda a, b: a & b, same), how).drop(*[f"__on_{k}" for k in (*keys, *also)])
+
+
+def splitters(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """``keys`` and ``__at``: for each large group the places (structs of order and ties) at which its chunks
+    begin, but for the first."""
+    rate = max(1, chunk // SAMPLED)
+    place = list(dict.fromkeys([order, *ties]))
+    rows = df.select(*dict.fromkeys([*keys, *place]))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(rate), *keys, *place), F.lit(rate)) == 0) if rate > 1 else rows
+    some = some.repartition(*keys).groupBy(*dict.fromkeys([*keys, *place])).agg(F.count("*").alias("__n"))
+    whole = W.partitionBy(*keys)
+    by_place = whole.orderBy(*place)
+    some = some.withColumns({"__all": F.sum("__n").over(whole), "__before": F.sum("__n").over(by_place.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")})
+    some = some.where(F.col("__all") * rate > 2 * chunk).withColumn("__piece", F.expr(f"__before * ceil(__all * {rate} / {chunk}) div __all"))
+    some = some.withColumn("__last", F.lag("__piece", 1, 0).over(by_place)).where("__piece > __last")
+    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(_place(place))).alias("__at"))
+
+
+def _place(names: Sequence[str]) -> Column:
+    return F.struct(*[F.col(n).alias(f"p{i}") for i, n in enumerate(names)])
+
+
+def cut(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """``df`` with ``__chunk``: a large group's chunk from 0 on, NULL in all other groups. The operators
+    below use it where it is there; `uncut` drops it."""
+    here = _place(list(dict.fromkeys([order, *ties])))
+    at = F.col("__at")
+
+    def further(found: Column, step: Column) -> Column:
+        return F.when((found + step <= F.size(at)) & (F.get(at, found + step - 1) <= here), found + step).otherwise(found)
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_SPLITTERS))])
+    rows = _met(df, splitters(df, keys, order, ties, chunk), keys)
+    return rows.withColumn(_C, F.when(at.isNotNull(), F.aggregate(steps, F.lit(0), further))).drop("__at")
+
+
+def uncut(df: DataFrame) -> DataFrame:
+    return df.drop(_C)
 
 
-def _null_safe(df: DataFrame, side: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """``df`` with the other columns of ``side``; NULL keys meet NULL keys."""
-    named = {k: f"__on_{k}" for k in on}
-    side = side.withColumnsRenamed(named)
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
-    return df.join(side, reduce(lambda a, b: a & b, same), how).drop(*named.values())
+def _laid(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], chunk: int) -> tuple[DataFrame, bool]:
+    return (df, True) if _C in df.columns else (cut(df, keys, order, ties, chunk), False)
 
 
-def _attach(df: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _null_safe(df, chunks, [*keys, _C], "left").drop(_C)
+def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str], laid: bool) -> DataFrame:
+    out = _met(local, carry, keys, _C)
+    return out if laid else uncut(out)
+
+
+def large(rows: DataFrame) -> DataFrame:
+    """The rows of groups that are cut."""
+    return rows.where(F.col(_C).isNotNull())
 
 
 def ranked(
     df: DataFrame, keys: Sequence[str], order: str, out: str,
-    ties: Sequence[str] = (), width: float = CHUNK,
+    ties: Sequence[str] = (), chunk: int = CHUNK,
 ) -> DataFrame:
     """1-based ``row_number`` by ``order, *ties`` within ``keys``."""
-    rows = _chunked(df, order, width)
-    chunks = (
-        rows.groupBy(*keys, _C).agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__off", F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0)))
-        .drop("__n")
-    )
-    local = rows.withColumn("__rn", F.row_number().over(_inner(keys, order, ties)))
-    return (
-        _attach(local, chunks, keys)
-        .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint"))
-        .drop("__rn", "__off")
-    )
+    rows, laid = _laid(df, keys, order, ties, chunk)
+    sizes = large(rows).groupBy(*keys, _C).agg(F.count("*").alias("__n"))
+    carry = sizes.withColumn("__off", F.sum("__n").over(_before(keys))).drop("__n")
+    local = rows.withColumn("__rn", F.row_number().over(_window(keys, order, ties)))
+    number = (F.col("__rn") + F.coalesce("__off", F.lit(0))).cast("bigint")
+    return _with_carry(local, carry, keys, laid).withColumn(out, number).drop("__rn", "__off")
 
 
 def neighbours(
     df: DataFrame, keys: Sequence[str], order: str, take: Sequence[str], out: str,
-    ties: Sequence[str] = (), width: float = CHUNK, step: int = -1,
+    ties: Sequence[str] = (), chunk: int = CHUNK, step: int = -1,
 ) -> DataFrame:
     """The previous (``step=-1``) or next (``step=1``) row's columns as struct ``out``."""
-    rows = _chunked(df, order, width)
-    value = F.struct(*[F.col(c) for c in take])
-    rank = F.struct(order, *ties)
-    win = _inner(keys, order, ties)
-    if step < 0:
-        edge = F.max_by(value, rank)
-        chunks = rows.groupBy(*keys, _C).agg(edge.alias("__e"))
-        chunks = chunks.withColumn("__e", F.lag("__e").over(_across(keys)))
-        local = rows.withColumn("__l", F.lag(value).over(win))
-    else:
-        edge = F.min_by(value, rank)
-        chunks = rows.groupBy(*keys, _C).agg(edge.alias("__e"))
-        chunks = chunks.withColumn("__e", F.lead("__e").over(_across(keys)))
-        local = rows.withColumn("__l", F.lead(value).over(win))
-    return (
-        _attach(local, chunks, keys)
-        .withColumn(out, F.coalesce("__l", "__e"))
-        .drop("__l", "__e")
-    )
+    rows, laid = _laid(df, keys, order, ties, chunk)
+    value, rank = F.struct(*take), F.struct(order, *ties)
+    edge, beside = (F.max_by, F.lag) if step < 0 else (F.min_by, F.lead)
+    carry = large(rows).groupBy(*keys, _C).agg(edge(value, rank).alias("__e"))
+    carry = carry.withColumn("__e", beside("__e").over(_across(keys)))
+    local = rows.withColumn("__l", beside(value).over(_window(keys, order, ties)))
+    return _with_carry(local, carry, keys, laid).withColumn(out, F.coalesce("__l", "__e")).drop("__l", "__e")
+
+
+def around(
+    df: DataFrame, keys: Sequence[str], order: str, take: Sequence[str],
+    ties: Sequence[str] = (), chunk: int = CHUNK,
+) -> DataFrame:
+    """Both neighbours of every row, as structs ``prev`` and ``next``, in one pass."""
+    rows, laid = _laid(df, keys, order, ties, chunk)
+    value, rank = F.struct(*take), F.struct(order, *ties)
+    edges = large(rows).groupBy(*keys, _C).agg(F.max_by(value, rank).alias("__last"), F.min_by(value, rank).alias("__first"))
+    across = _across(keys)
+    carry = edges.select(*keys, _C, F.lag("__last").over(across).alias("__p"), F.lead("__first").over(across).alias("__n"))
+    win = _window(keys, order, ties)
+    local = rows.withColumns({"__lp": F.lag(value).over(win), "__ln": F.lead(value).over(win)})
+    both = {"prev": F.coalesce("__lp", "__p"), "next": F.coalesce("__ln", "__n")}
+    return _with_carry(local, carry, keys, laid).withColumns(both).drop("__lp", "__ln", "__p", "__n")
 
 
 def running(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, kind: str, out: str,
-    ties: Sequence[str] = (), width: float = CHUNK, inclusive: bool = True,
+    ties: Sequence[str] = (), chunk: int = CHUNK, inclusive: bool = True,
 ) -> DataFrame:
     """Running ``sum``, ``max`` or ``last`` (non-NULL) of ``value`` in order."""
-    rows = _chunked(df, order, width).withColumn("__v", value)
-    win = _inner(keys, order, ties)
-    win = win.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    present = F.col("__v").isNotNull()
+    rows, laid = _laid(df, keys, order, ties, chunk)
+    rows = rows.withColumn("__v", value)
+    win = _window(keys, order, ties).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     if kind == "sum":
-        total, carry, local = F.sum("__v"), F.sum("__t"), F.sum("__v").over(win)
+        total, carried, local = F.sum("__v"), F.sum("__t"), F.sum("__v").over(win)
     elif kind == "max":
-        total, carry, local = F.max("__v"), F.max("__t"), F.max("__v").over(win)
+        total, carried, local = F.max("__v"), F.max("__t"), F.max("__v").over(win)
     elif kind == "last":
-        total = F.max_by("__v", F.when(present, F.struct(order, *ties)))
-        carry = F.last("__t", ignorenulls=True)
-        local = F.last("__v", ignorenulls=True).over(win)
+        total = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(order, *ties)))
+        carried, local = F.last("__t", ignorenulls=True), F.last("__v", ignorenulls=True).over(win)
     else:
         raise ValueError(kind)
-    chunks = (
-        rows.groupBy(*keys, _C).agg(total.alias("__t"))
-        .withColumn("__carry", carry.over(_before(keys)))
-        .drop("__t")
-    )
-    joined = _attach(rows.withColumn("__l", local), chunks, keys)
+    carry = large(rows).groupBy(*keys, _C).agg(total.alias("__t"))
+    carry = carry.withColumn("__carry", carried.over(_before(keys))).drop("__t")
+    joined = _with_carry(rows.withColumn("__l", local), carry, keys, laid)
     l, c = F.col("__l"), F.col("__carry")
     if kind == "sum":
         value_out = F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0))
@@ -133,65 +173,36 @@ def running(
     return joined.withColumn(out, value_out).drop("__v", "__l", "__carry")
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column],
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Several inclusive running maxima in one pass."""
+    rows, laid = _laid(df, keys, order, (), chunk)
+    rows = rows.withColumns(values)
+    names = list(values)
+    tops = large(rows).groupBy(*keys, _C).agg(*[F.max(n).alias(n) for n in names])
+    before = _before(keys)
+    carry = tops.select(*keys, _C, *[F.max(n).over(before).alias(f"__c_{n}") for n in names])
+    win = _window(keys, order, ()).rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select(*[c for c in rows.columns if c not in names], *[F.max(n).over(win).alias(n) for n in names])
+    out = _with_carry(local, carry, keys, laid)
+    return out.withColumns({n: F.greatest(F.col(n), F.col(f"__c_{n}")) for n in names}).drop(*[f"__c_{n}" for n in names])
+
+
 def group_values(
     df: DataFrame, keys: Sequence[str], salt: Column, aggs: dict[str, tuple[str, Column]]
 ) -> DataFrame:
     """Attach group aggregates to every row without gathering a group: aggregate per
     (group, salt), then per group, and join back on (group, salt).
 
-    ``aggs`` maps an output name to ``(max|min|sum|count, column)``.
+    ``aggs`` maps an output name to ``(max|min|sum|count, column)``. The keys travel as one struct, which
+    is never NULL, so all three steps use one partitioning.
     """
-    rows = df.withColumn("__salt", salt)
+    rows = df.withColumn("__s", F.struct(*keys, salt.alias("__salt")))
     first = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
     second = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
-    parts = rows.groupBy(*keys, "__salt").agg(*[first[k](c).alias(n) for n, (k, c) in aggs.items()])
-    whole = parts.groupBy(*keys).agg(*[second[k](n).alias(n) for n, (k, _) in aggs.items()])
-    back = _null_safe(parts.select(*keys, "__salt"), whole, keys, "inner")
-    return _null_safe(rows, back, [*keys, "__salt"], "inner").drop("__salt")
-
-
-def around(
-    df: DataFrame, keys: Sequence[str], order: str, take: Sequence[str],
-    ties: Sequence[str] = (), width: float = CHUNK,
-) -> DataFrame:
-    """Both neighbours of every row, as structs ``prev`` and ``next``, in one pass."""
-    rows = _chunked(df, order, width)
-    value = F.struct(*[F.col(c) for c in take])
-    rank = F.struct(order, *ties)
-    win = _inner(keys, order, ties)
-    chunks = rows.groupBy(*keys, _C).agg(
-        F.max_by(value, rank).alias("__last"), F.min_by(value, rank).alias("__first")
-    )
-    across = _across(keys)
-    chunks = chunks.select(
-        *keys, _C, F.lag("__last").over(across).alias("__p"), F.lead("__first").over(across).alias("__n")
-    )
-    local = rows.withColumn("__lp", F.lag(value).over(win)).withColumn("__ln", F.lead(value).over(win))
-    return (
-        _attach(local, chunks, keys)
-        .withColumn("prev", F.coalesce("__lp", "__p"))
-        .withColumn("next", F.coalesce("__ln", "__n"))
-        .drop("__lp", "__ln", "__p", "__n")
-    )
-
-
-def running_max(
-    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column],
-    width: float = CHUNK,
-) -> DataFrame:
-    """Several inclusive running maxima in one pass."""
-    rows = _chunked(df, order, width)
-    for name, value in values.items():
-        rows = rows.withColumn(name, value)
-    names = list(values)
-    chunks = rows.groupBy(*keys, _C).agg(*[F.max(n).alias(n) for n in names])
-    before = _before(keys)
-    carry = chunks.select(*keys, _C, *[F.max(n).over(before).alias(f"__c_{n}") for n in names])
-    win = _inner(keys, order, ()).rowsBetween(W.unboundedPreceding, 0)
-    local = rows.select(
-        *[c for c in rows.columns if c not in names], *[F.max(n).over(win).alias(n) for n in names]
-    )
-    out = _attach(local, carry, keys)
-    for n in names:
-        out = out.withColumn(n, F.greatest(F.col(n), F.col(f"__c_{n}"))).drop(f"__c_{n}")
-    return out
+    group = F.struct(*[F.col("__s").getField(k).alias(k) for k in keys]).alias("__g")
+    parts = rows.groupBy("__s").agg(*[first[k](c).alias(n) for n, (k, c) in aggs.items()])
+    whole = parts.groupBy(group).agg(*[second[k](n).alias(n) for n, (k, _) in aggs.items()])
+    return rows.join(parts.select("__s", group).join(whole, "__g").drop("__g"), "__s").drop("__s")

@@ -3,10 +3,11 @@ records through one small Arrow helper (A9), and Serato track records (A6)."""
 
 from __future__ import annotations
 
+import itertools
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +93,8 @@ def short_sections(df: DataFrame, data: str, entity: str) -> DataFrame:
 
 def serato_beatgrid(df: DataFrame, keys: Sequence[str], data: str) -> DataFrame:
     """``i, position_s, bpm, beats_to_next``: eight bytes per marker from byte 6; the last
-    carries a bpm, the others the beats up to the next (A8)."""
+    carries a bpm, the others the beats up to the next (A8). A tag that is damaged gives no
+    rows; see `damaged_tags`."""
     d = F.col(data)
     valid = (F.hex(F.substring(d, F.lit(1), F.lit(2))) == "0100") & (F.length(d) >= 6)
     count = unsigned(d, 2, 4)
@@ -112,11 +114,11 @@ def serato_beatgrid(df: DataFrame, keys: Sequence[str], data: str) -> DataFrame:
 
 def serato_old_markers(df: DataFrame, keys: Sequence[str], data: str) -> DataFrame:
     """``kind, index, position_ms, end_ms, colour, locked`` of the older marker tag:
-    22 bytes per entry from byte 6, numbers packed into 7-bit bytes (A8). A tag that claims
-    more than its data holds gives no rows."""
+    22 bytes per entry from byte 6, numbers packed into 7-bit bytes (A8). Of a tag that claims
+    more than its data holds, the whole entries are read; see `damaged_tags`."""
     d = F.col(data)
     count = unsigned(d, 2, 4)
-    whole = count <= F.floor((F.length(d) - 6) / 22)
+    held = F.floor((F.length(d) - 6) / 22)
 
     def entry(i: Column) -> Column:
         at = lambda offset, size: unsigned(d, i * 22 + 6 + offset, size)
@@ -126,8 +128,8 @@ def serato_old_markers(df: DataFrame, keys: Sequence[str], data: str) -> DataFra
             at(20, 1).alias("type"), (at(21, 1) != 0).alias("locked"),
         )
 
-    valid = (F.hex(F.substring(d, F.lit(1), F.lit(2))) == "0205") & whole
-    rows = _rows(df.where(valid), keys, data, F.when(whole, count).otherwise(0), entry).where("no_start <> 127")
+    valid = F.hex(F.substring(d, F.lit(1), F.lit(2))) == "0205"
+    rows = _rows(df.where(valid & (F.length(d) >= 6)), keys, data, F.least(count, held), entry).where("no_start <> 127")
     cue, loop = F.col("type") == 1, (F.col("type") == 3) & (F.col("no_end") != 127)
     return rows.where(cue | loop).select(
         *keys, F.when(cue, "cue").otherwise("loop").alias("kind"),
@@ -139,57 +141,103 @@ def serato_old_markers(df: DataFrame, keys: Sequence[str], data: str) -> DataFra
     )
 
 
+#: What a tag's data begins with, the bytes of an entry, and what is said of a damaged one.
+TAG_LAYOUTS = {"beatgrid": ("0100", 8), "markers": ("0205", 22)}
+
+
+def damaged_tags(df: DataFrame, data: str, kind: str, entity: str) -> DataFrame:
+    """Issue rows for BeatGrid and Markers_ tags with another header than expected, or fewer entries
+    than they claim (A11). No tag (NULL) is no issue."""
+    d = F.col(data)
+    version, size = TAG_LAYOUTS[kind]
+    count, held = unsigned(d, 2, 4), F.floor((F.length(d) - 6) / size)
+    strange = (F.length(d) < 6) | (F.hex(F.substring(d, F.lit(1), F.lit(2))) != version)
+    short = F.concat(held.cast("string"), F.lit(" of "), count.cast("string"), F.lit(" entries"))
+    why = F.when(strange, "unexpected header").when(count > held, short)
+    return df.select(
+        "library_id", F.lit(f"unreadable {kind} tag").alias("rule"), F.col(entity).cast("string").alias("entity_id"), why.alias("detail")
+    ).where("detail IS NOT NULL")
+
+
 # --- A9 -----------------------------------------------------------------------------------
-RECORDS = "seq bigint, parent bigint, depth int, tag string, payload binary, error string"
-
-
-def walk_records(data: bytes) -> list[tuple]:
-    """(seq, parent seq, depth, tag, payload, error) of a tag-length-value record list;
-    tags starting with ``o`` or ``r`` nest.  Damaged data ends its list with an error row."""
-    out: list[tuple] = []
-
-    def walk(block: bytes, parent: int, depth: int) -> str | None:
-        pos = 0
-        while pos < len(block):
-            if pos + 8 > len(block):
-                return f"truncated header at byte {pos}"
-            tag, size = struct.unpack_from(">4sI", block, pos)
-            body = block[pos + 8 : pos + 8 + size]
-            if len(body) != size or not tag.isascii():
-                return f"damaged field at byte {pos}"
-            pos += 8 + size
-            name = tag.decode("ascii")
-            seq = len(out)
-            out.append((seq, parent, depth, name, body, None))
-            if name[0] in "or":
-                mark = len(out)
-                if walk(body, seq, depth + 1):
-                    del out[mark:]  # not a nested list after all: only its bytes stay
-        return None
-
-    error = walk(data, -1, 0)
-    if error:
-        out.append((len(out), -1, 0, "", None, error))
+RECORDS = "top bigint, seq int, parent int, depth int, tag string, payload binary, error string"
+
+
+def top_records(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(tag, payload, error) of each record of a tag-length-value list, from the headers alone;
+    damaged data ends its list with an error."""
+    pos, view = 0, memoryview(data)
+    while pos < len(data):
+        if pos + 8 > len(data):
+            yield "", None, f"truncated header at byte {pos}"
+            return
+        tag, size = struct.unpack_from(">4sI", data, pos)
+        if pos + 8 + size > len(data) or not tag.isascii():
+            yield "", None, f"damaged field at byte {pos}"
+            return
+        yield tag.decode("ascii"), bytes(view[pos + 8 : pos + 8 + size]), None
+        pos += 8 + size
+
+
+def inner_records(tag: str, payload: bytes) -> list[tuple]:
+    """(seq, parent seq, depth, tag, payload) of a record and all that is nested in it: tags starting
+    with ``o`` or ``r`` hold records, unless what they hold is no list of records."""
+    out = [(0, -1, 0, tag, payload)]
+    todo = [0]
+    while todo:
+        parent = todo.pop()
+        _, _, depth, name, body = out[parent]
+        if name[:1] not in ("o", "r"):
+            continue
+        held = list(top_records(body))
+        if any(error for _, _, error in held):
+            continue
+        first = len(out)
+        out += [(first + i, parent, depth + 1, t, p) for i, (t, p, _) in enumerate(held)]
+        todo += range(len(out) - 1, first - 1, -1)
     return out
 
 
 def explode_records(df: DataFrame, keys: Sequence[str], data: str) -> DataFrame:
-    """One row per record of a binary column, in Arrow batches."""
+    """One row per record of a binary column (A9): ``top`` numbers the records of the list, ``seq`` what
+    one of them holds, itself first.
+
+    Two passes: the first only steps from header to header and gives each record as a row; these are
+    dealt out anew, so the second reads what they hold in as many tasks as there is data for, also of one
+    very large list.
+    """
     keys = list(keys)
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def batches_of(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        while some := list(itertools.islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
-    def run(batches):
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (*row[:-1], *record)
-                for row in batch.itertuples(index=False, name=None)
-                for record in walk_records(row[-1])
-            ]
-            yield pd.DataFrame(
-                rows, columns=[*keys, "seq", "parent", "depth", "tag", "payload", "error"]
+            own = [batch.schema.field(k) for k in keys]
+            schema = pa.schema([*own, ("top", pa.int64()), ("tag", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+            rows = (
+                (*[batch.column(k)[i].as_py() for k in keys], top, *record)
+                for i in range(batch.num_rows) if batch.column(data)[i].is_valid
+                for top, record in enumerate(top_records(batch.column(data)[i].as_py()))
+            )
+            yield from batches_of(rows, schema)
+
+    def nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.schema.field(k) for k in [*keys, "top"]]
+            kinds = [("seq", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("payload", pa.binary()), ("error", pa.string())]
+            schema = pa.schema([*own, *kinds])
+            rows = (
+                (*[row[k] for k in [*keys, "top"]], *record)
+                for row in batch.to_pylist()
+                for record in ([(0, -1, 0, "", None, row["error"])] if row["error"] else [(*r, None) for r in inner_records(row["tag"], row["payload"])])
             )
+            yield from batches_of(rows, schema)
 
-    return df.select(*keys, data).mapInPandas(run, f"{fields}, {RECORDS}")
+    frames = df.select(*keys, data).mapInArrow(framed, f"{fields}, top bigint, tag string, payload binary, error string")
+    return frames.repartition(*keys, "top").mapInArrow(nested, f"{fields}, {RECORDS}")
 
 
 def record_issues(records: DataFrame, entity: str) -> DataFrame:
@@ -204,25 +252,24 @@ def record_text(payload: Column) -> Column:
 
 
 def serato_tracks(records: DataFrame, root: str = "/") -> DataFrame:
-    """Exploded ``otrk`` records (``library_id, seq, parent, tag, payload``) to tracks.
+    """Exploded ``otrk`` records (``library_id, top, seq, depth, tag, payload``) to tracks (A6); a
+    track is named by its record's number in the database.
 
     The pivot has a fixed tag list, so it is one aggregation per track record.
     """
     text_tags = (*TEXT_TAGS, "pfil", "tbpm", "tkey", "tlen", "tsmp", "tbit", "ttrk")
     number_tags = ("uadd", "ulbl", "utpc")
-    top = records.where("depth = 0 AND tag = 'otrk'").select("library_id", F.col("seq").alias("entry"))
-    inner = records.where("depth = 1").withColumnRenamed("parent", "entry").join(
-        top, ["library_id", "entry"], "left_semi"
-    )
+    named = records.where("depth <= 1").withColumnRenamed("top", "entry")
     first = lambda tag: F.min_by(F.when(F.col("tag") == tag, F.col("payload")), F.when(F.col("tag") == tag, F.col("seq")))
-    wide = inner.groupBy("library_id", "entry").agg(
+    wide = named.groupBy("library_id", "entry").agg(
+        F.max((F.col("depth") == 0) & (F.col("tag") == "otrk")).alias("is_track"),
         *[record_text(first(t)).alias(t) for t in text_tags],
         *[unsigned(first(t), 0, 4).alias(t) for t in number_tags],
         (unsigned(first("bbgl"), 0, 1) != 0).alias("bbgl"),
     )
     c = F.col
     txt = lambda t: strip(F.coalesce(c(t), F.lit("")))
-    tracks = wide.where("pfil <> ''").select(
+    tracks = wide.where("is_track AND pfil <> ''").select(
         "library_id", F.concat(F.lit("serato:"), c("entry").cast("string")).alias("track_id"), c("entry").alias("ordinal"),
         L.from_root_relative(c("pfil"), F.lit(root)).alias("location"),
         *[txt(t).alias(name) for t, name in TEXT_TAGS.items()], F.lit("").alias("album_artist"),

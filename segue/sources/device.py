@@ -16,8 +16,8 @@ from segue.schema import CUES, TEMPO, TRACKS, conform
 
 def read_device(
     t: dict[str, DataFrame], root: str, cues: DataFrame | None = None, tempo: DataFrame | None = None
-) -> Library:
-    """``content`` with id columns and the ``artist, album, genre, label, key`` names;
+) -> tuple[Library, DataFrame]:
+    """(library, issues).  ``content`` with id columns and the ``artist, album, genre, label, key`` names;
     ``playlist(id, seq, name, is_folder, parent)``, ``playlist_content``.  Ids without a
     name give ''; cues and grids come from the analysis files."""
     c = F.col
@@ -46,7 +46,7 @@ def read_device(
         zero("play_count").alias("play_count"), lenient_date(c("date_added")).alias("date_added"),
     )
     tracks = conform(tracks, TRACKS)
-    nodes = tree_paths(
+    nodes, issues = tree_paths(
         t["playlist"].select(
             "library_id", c("id").cast("string").alias("node_id"), c("parent").cast("string").alias("parent_id"),
             c("seq").cast("bigint").alias("seq"), "name", "is_folder", F.lit(False).alias("is_crate"),
@@ -60,7 +60,8 @@ def read_device(
         tracks,
     )
     spark = tracks.sparkSession
-    return Library(
+    library = Library(
         tracks, cues if cues is not None else spark.createDataFrame([], CUES),
         tempo if tempo is not None else spark.createDataFrame([], TEMPO), nodes, entries,
     )
+    return library, issues

@@ -31,8 +31,8 @@ def test_expand_then_segment(spark):
     grid = tempo(spark, [(500, 100, 1), (3500, 120, 2)]).withColumn("end", F.lit(8000.0))
     beats = G.expand(grid, ["track_id"], "end")
     assert rows(beats, "position_ms", "beat")[0] == (500, 1)
-    for whole in (100_000, 2):
-        out = G.sections(beats, ["track_id"], whole=whole)
+    for chunk in (100_000, 2):
+        out = G.sections(beats, ["track_id"], chunk=chunk)
         assert rows(out, "position_ms", "bpm", "beat") == [(500, 100, 1), (3500, 120, 2)]
 
 
@@ -56,14 +56,89 @@ def drifting(seed, n=400):
     return out
 
 
-def test_long_tracks_fold_alike(spark):
-    """Cut at certain section starts, a track gives what it gives in one piece."""
-    data = tempo(spark, *[drifting(s) for s in range(4)])
+def plain_sections(beats, tolerance=2.0):
+    out, i = [], 0
+    while i < len(beats) - 1:
+        first, j = beats[i + 1] - beats[i], i + 1
+        while j + 1 < len(beats) and abs(beats[j + 1] - beats[j] - first) <= tolerance:
+            j += 1
+        if beats[j] != beats[i]:
+            out.append((round(beats[i], 3), round(60000 * (j - i) / (beats[j] - beats[i]), 3), i % 4 + 1))
+        i = j
+    return out
+
+
+def plain_kept(markers):
+    kept = []
+    for p, t, b in sorted(markers):
+        if kept:
+            length = 60000 / kept[-1][1]
+            n = (p - kept[-1][0]) / length
+            if abs(n - round(n)) * length <= 2 and abs(t - kept[-1][1]) <= 0.01 and b == (kept[-1][2] - 1 + round(n)) % 4 + 1:
+                continue
+        kept.append((p, t, b))
+    return [(round(p, 3), round(t, 3), b) for p, t, b in kept]
+
+
+def plain_compressed(beats):
+    out, since = [], 0
+    for ms, tempo, beat in sorted(beats):
+        if tempo <= 0:
+            continue
+        bpm = tempo / 100
+        since += 1
+        if out and abs(out[-1][1] - bpm) < 0.001 and abs(ms - (out[-1][0] + since * 60000 / out[-1][1])) <= 2:
+            continue
+        out.append((ms, bpm, beat or 1))
+        since = 0
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 40])
+def test_long_tracks_cut_into_chunks_give_what_a_fold_gives(spark, chunk):
+    """Steady, drifting and jumping tracks; of the last all rows are section starts."""
+    steady = [(25 + 500.0 * i, 120.0, i % 4 + 1) for i in range(500)]
+    jumping = [(float(i * i), 60.0 + i % 9, 1) for i in range(150)]
+    grids = [*[drifting(s) for s in range(5)], steady, jumping, steady[:1], [], steady[:300] + drifting(9)[300:]]
+    data = tempo(spark, *grids).repartition(5)
     keys = ["track_id"]
-    whole = rows(G.simplify(data, keys), "position_ms", "bpm", "beat")
-    assert rows(G.simplify(data, keys, whole=50), "position_ms", "bpm", "beat") == whole
-    parts = rows(G.sections(data, keys), "position_ms", "bpm", "beat")
-    assert rows(G.sections(data, keys, whole=50, width=20_000.0), "position_ms", "bpm", "beat") == parts
+    got = {}
+    for name, out in (("kept", G.simplify(data, keys, chunk=chunk)), ("cut", G.sections(data, keys, chunk=chunk))):
+        got[name] = {}
+        for r in out.orderBy("track_id", "position_ms").collect():
+            got[name].setdefault(r.track_id, []).append((round(r.position_ms, 3), round(r.bpm, 3), r.beat))
+    assert got["kept"] == {f"t{i}": plain_kept(g) for i, g in enumerate(grids) if g}
+    want = {f"t{i}": plain_sections(sorted(p for p, _, _ in g)) for i, g in enumerate(grids)}
+    assert got["cut"] == {t: w for t, w in want.items() if w}
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 32])
+def test_device_beats_of_long_tracks_compress_as_a_fold_does(spark, chunk):
+    rnd = random.Random(4)
+    tracks = {"steady": [(25 + 500 * i, 12000, i % 4 + 1) for i in range(400)], "none": [(5, 0, 1), (9, 0, 2)]}
+    tracks["mixed"] = [(25 + 480 * i + rnd.choice([0, 0, 1, -1, 3]), rnd.choice([12500] * 30 + [12510, 0]), i % 5) for i in range(400)]
+    data = [(t, i, b, tempo_, ms) for t, some in tracks.items() for i, (ms, tempo_, b) in enumerate(some)]
+    beats = spark.createDataFrame(data, "track_id string, i bigint, beat int, tempo int, ms bigint").repartition(3)
+    got = {}
+    for r in G.compress(beats, ["track_id"], chunk=chunk).orderBy("track_id", "position_ms").collect():
+        got.setdefault(r.track_id, []).append((r.position_ms, r.bpm, r.beat))
+    assert got == {t: plain_compressed(some) for t, some in tracks.items() if t != "none"}
+
+
+def test_null_keys_are_one_track(spark):
+    data = [(None, 500.0 * i, 120.0, i % 4 + 1) for i in range(90)] + [("a", 400.0 * i, 150.0, 1) for i in range(3)]
+    out = G.sections(spark.createDataFrame(data, TEMPO), ["track_id"], chunk=16)
+    assert sorted((r.track_id or "", r.position_ms, r.bpm) for r in out.collect()) == [("", 0.0, 120.0), ("a", 0.0, 150.0)]
+
+
+def test_a_steady_track_of_a_million_beats(spark):
+    beats = spark.range(0, 1_000_000, 1, 8).select(F.lit("t").alias("track_id"), (F.col("id") * 500.0 + F.when(F.col("id") >= 900_000, F.col("id") - 900_000).otherwise(0)).alias("position_ms"))
+    out = G.sections(beats, ["track_id"], chunk=50_000)
+    assert rows(out, "position_ms", "bpm", "beat") == [(0, round(60000 * 999_999 / (999_999 * 500 + 99_999), 3), 1)]
+    slower = beats.withColumn("position_ms", F.col("position_ms") + F.when(F.col("position_ms") > 300_000_000, (F.col("position_ms") - 300_000_000) * 0.02).otherwise(0))
+    got = rows(G.sections(slower, ["track_id"], chunk=50_000), "position_ms", "bpm", "beat")
+    assert len(got) == 2 and got[1][0] == 300_000_000
+    assert got == plain_sections([r.position_ms for r in slower.orderBy("position_ms").collect()])
 
 
 def test_serato_grid_round_trip(spark):
@@ -89,10 +164,10 @@ def test_chunked_order_equals_plain_windows(spark):
         F.sum(F.coalesce("v", F.lit(0.0))).over(upto).alias("s"), F.max("v").over(upto).alias("m"),
         F.last("v", ignorenulls=True).over(upto).alias("l"), F.max("v").over(W.partitionBy("g")).alias("top"),
     )
-    got = ranked(df, ["g"], "o", "rank", ["k"], width=64)
-    got = around(got, ["g"], "o", ["k"], ["k"], width=64)
+    got = ranked(df, ["g"], "o", "rank", ["k"], chunk=50)
+    got = around(got, ["g"], "o", ["k"], ["k"], chunk=50)
     for kind, out in (("sum", "s"), ("max", "m"), ("last", "l")):
-        got = running(got, ["g"], "o", F.col("v"), kind, out, ["k"], width=64)
+        got = running(got, ["g"], "o", F.col("v"), kind, out, ["k"], chunk=50)
     got = group_values(got, ["g"], F.floor(F.col("o") / 64), {"top": ("max", F.col("v"))})
     got = got.select("k", "rank", F.col("prev.k").alias("p"), F.col("next.k").alias("n"), "s", "m", "l", "top")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -12,6 +12,7 @@ from segue.operators import offsets as O
 from segue.operators import slots as X
 from segue.operators import targets as T
 from segue.operators import undo as U
+from segue.operators.playlists import crate_tree, tree_paths
 from segue.sinks import neutral
 from segue.sources import binary as B
 from segue.sources import rekordbox as R
@@ -64,7 +65,7 @@ def test_xml_document(spark, tmp_path):
 def test_tree_deeper_than_the_first_schema_is_read_whole(spark, tmp_path):
     deep = "".join(f'<NODE Type="0" Name="f{i}">' for i in range(6)) + "</NODE>" * 6
     (tmp_path / "deep.xml").write_text(f"<DJ_PLAYLISTS><PLAYLISTS>{deep}</PLAYLISTS></DJ_PLAYLISTS>")
-    nodes, _ = R.read_xml_playlists(spark, str(tmp_path), first_depth=3)
+    nodes, _, _ = R.read_xml_playlists(spark, str(tmp_path))
     assert [r.name for r in nodes.orderBy(F.size("path")).collect()] == [f"f{i}" for i in range(1, 6)]
 
 
@@ -106,12 +107,65 @@ def test_database_tables(spark):
     assert [(i.rule, i.entity_id) for i in issues.collect()] == [("smart list not converted", "p2")]
 
 
-def test_records():
+def test_records(spark):
     field = lambda tag, body: tag + struct.pack(">I", len(body)) + body
-    data = field(b"vrsn", "2".encode("utf-16-be")) + field(b"otrk", field(b"tsng", "é".encode("utf-16-be")) + field(b"bbgl", b"\1"))
-    assert [(r[1], r[2], r[3], r[5]) for r in B.walk_records(data)] == [(-1, 0, "vrsn", None), (-1, 0, "otrk", None), (1, 1, "tsng", None), (1, 1, "bbgl", None)]
-    assert [r[3] for r in B.walk_records(field(b"otrk", b"abc"))] == ["otrk"]  # not a list after all
-    assert B.walk_records(data[:-1])[-1][5] == "damaged field at byte 10"
+    inner = field(b"tsng", "é".encode("utf-16-be")) + field(b"bbgl", b"\1")
+    data = field(b"vrsn", "2".encode("utf-16-be")) + field(b"otrk", inner) + field(b"otrk", b"abc") + field(b"orow", field(b"otrk", inner))
+    rows = [("whole", data), ("cut", data[:-1]), ("empty", b""), ("none", None), ("many", field(b"otrk", inner) * 5000)]
+    df = spark.createDataFrame(rows, "library_id string, data binary")
+    got = {}
+    for r in B.explode_records(df, ["library_id"], "data").collect():
+        got.setdefault(r.library_id, []).append((r.top, r.seq, r.parent, r.depth, r.tag, r.error))
+    whole = [(0, 0, -1, 0, "vrsn"), (1, 0, -1, 0, "otrk"), (1, 1, 0, 1, "tsng"), (1, 2, 0, 1, "bbgl"), (2, 0, -1, 0, "otrk"),  # not a list after all
+             (3, 0, -1, 0, "orow"), (3, 1, 0, 1, "otrk"), (3, 2, 1, 2, "tsng"), (3, 3, 1, 2, "bbgl")]
+    assert sorted(got["whole"]) == [(*r, None) for r in whole]
+    at = len(data) - len(field(b"orow", field(b"otrk", inner)))
+    assert sorted(got["cut"]) == [(*r, None) for r in whole[:5]] + [(3, 0, -1, 0, "", f"damaged field at byte {at}")]
+    assert got.keys() == {"whole", "cut", "many"} and len(got["many"]) == 15_000 and {r[0] for r in got["many"]} == set(range(5000))
+    parts = B.explode_records(df, ["library_id"], "data").where("library_id = 'many'").select(F.spark_partition_id()).distinct().count()
+    assert parts > 1  # one database's records are read in several tasks
+
+
+def test_xml_playlists_of_odd_shapes(spark, tmp_path):
+    deep = '<NODE Name="L" Type="1" KeyType="0" Entries="2"><TRACK Key="7"/><X><TRACK Key="no"/></X><TRACK Key="8"/></NODE>'
+    for n in range(200, 0, -1):
+        deep = f'<NODE Name="f{n}" Type="0" Count="1">{deep}</NODE>'
+    odd = '<NODE Name="é &amp; b" Type="1" KeyType="1"><TRACK Key="file://x"/><NODE Name="inside a list" Type="0"/></NODE><NODE><TRACK Key="9"/></NODE>'
+    head = '<?xml version="1.0" encoding="UTF-8"?><DJ_PLAYLISTS><COLLECTION><TRACK TrackID="1"/></COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT">'
+    (tmp_path / "a.xml").write_text(f"{head}{deep}{odd}</NODE><NODE Type='0'><NODE Type='0'/></NODE></PLAYLISTS></DJ_PLAYLISTS>")
+    (tmp_path / "b.xml").write_text(f"{head}<NODE Name='kept' Type='1'/><NODE")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.codegen.wholeStage",)}
+    nodes, entries, issues = R.read_xml_playlists(spark, str(tmp_path))
+    got = {tuple(n.path): (n.is_folder, n.seq) for n in nodes.collect()}
+    chain = tuple(f"f{n}" for n in range(1, 201))
+    assert got == {chain[:n]: (True, 0) for n in range(1, 201)} | {(*chain, "L"): (False, 0), ("é & b",): (False, 1), ("",): (False, 2), ("kept",): (False, 0)}
+    assert sorted((e.position, e.key_type, e.key) for e in entries.collect()) == [(0, "0", "7"), (0, "0", "9"), (0, "1", "file://x"), (1, "0", "8")]
+    assert [(i.rule, i.library_id.endswith("b.xml")) for i in issues.collect()] == [("unreadable playlists", True)]
+    assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+def test_trees_of_any_depth_and_rings(spark):
+    rows = [("A", f"n{i}", f"n{i - 1}" if i else None, i % 3, f"x{i}") for i in range(500)]
+    rows += [("A", "self", "self", 0, "s"), ("A", "below", "self", 0, "b"), ("B", "p", "q", 0, "p"), ("B", "q", "r", 0, "q"), ("B", "r", "p", 0, "r"), ("B", "n1", None, 0, "top")]
+    rows += [("B", f"t{i}", "p" if not i else f"t{i - 1}", 0, "t") for i in range(40)] + [("B", None, "n1", 0, "no id"), ("B", "orphan", "gone", 1, "o"), (None, "x", None, 0, "x")]
+    tree, issues = tree_paths(spark.createDataFrame(rows, "library_id string, node_id string, parent_id string, seq int, name string"))
+    got = {(r.library_id, r.node_id): r for r in tree.collect()}
+    assert got["A", "n499"].path == [f"x{i}" for i in range(500)] and got["A", "n499"].sort_key[7].id == "n7"
+    assert got.keys() == {("A", f"n{i}") for i in range(500)} | {("B", "n1"), ("B", "orphan"), (None, "x")} and got["B", "orphan"].path == ["o"]
+    lost = {(r.library_id, r.entity_id) for r in issues.collect()}
+    assert lost == {("A", "self"), ("A", "below")} | {("B", x) for x in ("p", "q", "r", *[f"t{i}" for i in range(40)])}
+
+
+def test_crates_that_repeat_their_parents_name(spark):
+    names = {"A": ["B", "B%%B", "B%%B%%A"], "B": ["b", "B%%B%%B", "B%%x", "B", "C", "C%%D"], "C": ["B%%B", "B%%B%%C"]}
+    rows = [(lib, crate, i + 1) for lib, crates in names.items() for i, crate in enumerate(crates)] + [("D", "B", 0), ("D", "B%%B", 4), ("D", "B%%B%%A", 0)]
+    got = {}
+    for r in crate_tree(spark.createDataFrame(rows, "library_id string, crate string, n_tracks bigint")).collect():
+        got.setdefault(r.library_id, set()).add(("/".join(r.path), r.crate, r.n_tracks))
+    assert got["A"] == {("B", None, None), ("B/B", None, None), ("B/B/B", "B", 1), ("B/B", "B%%B", 2), ("B/B/A", "B%%B%%A", 3)}
+    assert got["B"] == {("b", "b", 1), ("B", None, None), ("B/B", None, None), ("B/B/B", "B%%B%%B", 2), ("B/x", "B%%x", 3), ("B/B", "B", 4), ("C", None, None), ("C/C", "C", 5), ("C/D", "C%%D", 6)}
+    assert got["C"] == {("B", None, None), ("B/B", None, None), ("B/B/B", "B%%B", 1), ("B/B/C", "B%%B%%C", 2)}
+    assert got["D"] == {("B", None, None), ("B/B", None, None), ("B/B/B", "B%%B", 4), ("B/B/A", "B%%B%%A", 0)}
 
 
 def test_binary_numbers(spark):
