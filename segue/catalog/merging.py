@@ -11,8 +11,9 @@ from segue.catalog.scalars import milli, sql_milli
 from segue.catalog.sql import rules_sql, with_views
 from segue.operators import merge as M
 from segue.operators.playlists import merge_playlists, with_parents
-from segue.operators.sync import merge_libraries, sync_both_ways
+from segue.operators.sync import merge_libraries, needs_writing, sync_both_ways
 from segue.options import MergeOptions
+from segue.session import materialise
 
 c = F.col
 
@@ -392,6 +393,22 @@ def _incoming(spark, sf):
     return lib.with_(tracks=lib.tracks.select("pair_id", "library_id", "track_id", "ordinal", "location", "title", "artist", "genre", "duration_s", "file_size", "bpm", "p_size", "n"))
 
 
+@query(
+    "second_sync_report",
+    with_views(
+        "matches tracks_b",
+        "SELECT 'ab' AS pair_id, 0 AS added, 0 AS updated, 0 AS playlists_added, 0 AS playlists_updated, 0 AS to_write",
+    ),
+)
+def second_sync_report(spark, sf):
+    """M7, M8: merging the same library once more changes nothing, so nothing is to be written."""
+    merged, _ = merge_libraries(S.library(spark, sf, "a"), _incoming(spark, sf), OPTIONS)
+    tables = {f: materialise(getattr(merged, f), f"merged-{f}") for f in ("tracks", "cues", "tempo", "nodes", "entries")}
+    report = materialise(merge_libraries(merged.with_(**tables), _incoming(spark, sf), OPTIONS)[1], "second-report")
+    writes = report.join(needs_writing(report).withColumn("w", F.lit(1)), "pair_id", "left")
+    return writes.select("pair_id", "added", "updated", "playlists_added", "playlists_updated", F.coalesce("w", F.lit(0)).alias("to_write"))
+
+
 @query("two_way_sync_report")
 def two_way_sync_report(spark, sf):
     """M6: both directions from the originals, one preference."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from segue import standins as S
@@ -9,10 +11,14 @@ from segue.catalog.registry import query
 from segue.catalog.scalars import milli, sql_milli
 from segue.catalog.sql import view, with_views
 from segue.functions import keys as KEY
+from segue.operators import offsets as O
+from segue.operators import playlists as P
 from segue.operators import reports as R
 from segue.operators import slots as X
 from segue.operators import targets as T
 from segue.operators import undo as U
+from segue.session import record_written, shared_folder
+from segue.sinks import neutral
 from segue.sinks import rekordbox_xml as D
 
 c = F.col
@@ -134,6 +140,101 @@ def mixxx_beat_maps(spark, sf):
     return T.mixxx_beats(S.tempo(spark, sf, "a"), full_tracks(spark, sf))[1].select("track_id", "frame")
 
 
+@query(
+    "mixxx_grid_columns",
+    with_views(
+        "full_tracks tempo_a",
+        f"""SELECT track_id, 2 AS channels, {sql_milli('CASE WHEN n % 5 = 0 THEN coalesce(g.b, 0) ELSE bpm END')} AS bpm,
+             CASE WHEN g.b IS NULL THEN NULL WHEN n % 2 = 0 THEN 'BeatGrid-2.0' ELSE 'BeatMap-1.0' END AS beats_version
+           FROM full_tracks LEFT JOIN (SELECT track_id, min(bpm) AS b FROM tempo_a GROUP BY 1) g USING (track_id)""",
+    ),
+)
+def mixxx_grid_columns(spark, sf):
+    """K3: what a track's row says of its grid; even tracks keep one tempo, every fifth has no bpm of its own."""
+    t = full_tracks(spark, sf).withColumn("bpm", F.when(c("n") % 5 == 0, 0.0).otherwise(c("bpm")))
+    tempo = S.tempo(spark, sf, "a").withColumn("n", F.substring("track_id", 3, 20).cast("bigint")).where("n % 2 = 1 OR beat <> 3")
+    out = T.mixxx_grid_columns(t, tempo.select("library_id", "track_id", "position_ms", "bpm", "beat"))
+    return out.select("track_id", "channels", milli(c("bpm")).alias("bpm"), "beats_version")
+
+
+# Lists of a target that shows every fourth order as a list already, every eighth of them hidden.
+view(
+    "mixxx_targets",
+    """SELECT *, CASE WHEN how = 'created' THEN top + row_number() OVER (PARTITION BY mode, crate, how ORDER BY k) ELSE k END AS id,
+         CASE WHEN how = 'created' THEN top + row_number() OVER (PARTITION BY mode, crate, how ORDER BY k) ELSE k END AS position FROM (
+       SELECT mode, o_orderkey AS k, o_orderstatus = 'F' AS crate, o_orderpriority || ' / ' || o_orderkey AS name, o_orderkey % 4 = 0 AS there,
+         o_orderkey % 8 = 0 AND o_orderstatus <> 'F' AS hidden,
+         CASE WHEN mode = 'replace' AND o_orderkey % 4 = 0 AND (o_orderkey % 8 <> 0 OR o_orderstatus = 'F') THEN 'replaced' ELSE 'created' END AS how,
+         (SELECT max(x.o_orderkey) FROM orders x WHERE x.o_orderkey % 4 = 0 AND (x.o_orderstatus = 'F') = (o.o_orderstatus = 'F')) AS top
+       FROM orders o, (VALUES ('replace'), ('add')) m(mode)) t""",
+)
+_LIST_ROWS = """SELECT mode, id, CASE WHEN how = 'created' AND there THEN name || ' (2)' ELSE name END AS name, {position}how AS action FROM mixxx_targets WHERE crate = {crate}
+    UNION ALL SELECT mode, k, name, {kept}'kept' FROM mixxx_targets WHERE crate = {crate} AND there AND how = 'created'"""
+
+
+def _mixxx_lists(spark, sf, table):
+    orders, lines = S.table(spark, sf, "orders"), S.table(spark, sf, "lineitem")
+    lib, k = F.lit("A").alias("library_id"), c("o_orderkey")
+    there = orders.where("o_orderkey % 4 = 0").select(
+        lib, k.alias("id"), F.concat("o_orderpriority", F.lit(" / "), k.cast("string")).alias("name"), k.alias("position"), (k % 8 == 0).alias("hidden"), "o_orderstatus"
+    )
+    held = there.select(lib, c("id").alias("list_id"), F.lit(-1).cast("bigint").alias("track_id"), F.lit(1).cast("bigint").alias("position"), "o_orderstatus")
+    crate = c("o_orderstatus") == "F"
+    target = {
+        "playlists": there.where(~crate).drop("o_orderstatus"), "crates": there.where(crate).select("library_id", "id", "name"),
+        "playlist_tracks": held.where(~crate).drop("o_orderstatus"), "crate_tracks": held.where(crate).select("library_id", "list_id", "track_id"),
+    }
+    ids = S.table(spark, sf, "part").where("p_partkey % 10 <> 0").select(
+        lib, F.concat(F.lit("a:"), c("p_partkey").cast("string")).alias("track_id"), (c("p_partkey") + 1).cast("bigint").alias("target_track_id")
+    )
+    entries = lines.select(
+        lib, F.concat(F.lit("a:"), c("l_orderkey").cast("string")).alias("node_id"), c("l_linenumber").cast("bigint").alias("position"),
+        F.concat(F.lit("a:"), c("l_partkey").cast("string")).alias("track_id"),
+    )
+    nodes = S.nodes(spark, sf, "a").drop("pair_id")
+    both = [T.mixxx_lists(nodes, entries, ids, target, replace)[table].withColumn("mode", F.lit(m)) for m, replace in (("replace", True), ("add", False))]
+    return both[0].unionByName(both[1]).drop("library_id")
+
+
+@query("mixxx_playlist_rows", with_views("mixxx_targets", _LIST_ROWS.format(crate="false", position="position, false AS hidden, ", kept="k, hidden, ")))
+def mixxx_playlist_rows(spark, sf):
+    """Playlists, replaced and added to."""
+    return _mixxx_lists(spark, sf, "playlists")
+
+
+@query("mixxx_crate_rows", with_views("mixxx_targets", _LIST_ROWS.format(crate="true", position="", kept="")))
+def mixxx_crate_rows(spark, sf):
+    """Crates, replaced and added to."""
+    return _mixxx_lists(spark, sf, "crates")
+
+
+@query(
+    "mixxx_playlist_tracks",
+    with_views(
+        "mixxx_targets",
+        """SELECT mode, id AS list_id, l_partkey + 1 AS track_id, row_number() OVER (PARTITION BY mode, k ORDER BY l_linenumber, 'a:' || l_partkey) AS position
+           FROM mixxx_targets JOIN lineitem ON l_orderkey = k WHERE NOT crate AND l_partkey % 10 <> 0
+           UNION ALL SELECT mode, k, -1, 1 FROM mixxx_targets WHERE NOT crate AND there AND how = 'created'""",
+    ),
+)
+def mixxx_playlist_tracks(spark, sf):
+    """PlaylistTracks; entries of replaced lists are gone, tracks the target lacks left out."""
+    return _mixxx_lists(spark, sf, "playlist_tracks")
+
+
+@query(
+    "mixxx_crate_tracks",
+    with_views(
+        "mixxx_targets",
+        """SELECT DISTINCT mode, id AS list_id, l_partkey + 1 AS track_id FROM mixxx_targets JOIN lineitem ON l_orderkey = k WHERE crate AND l_partkey % 10 <> 0
+           UNION ALL SELECT mode, k, -1 FROM mixxx_targets WHERE crate AND there AND how = 'created'""",
+    ),
+)
+def mixxx_crate_tracks(spark, sf):
+    """crate_tracks, a track once in each crate."""
+    return _mixxx_lists(spark, sf, "crate_tracks")
+
+
 _TEXTS = " ".join(
     f"UNION ALL SELECT track_id, '{tag}', {col} FROM full_tracks WHERE {col} <> ''"
     for tag, col in (("tsng", "title"), ("tart", "artist"), ("talb", "album"), ("tgen", "genre"), ("tcom", "comment"), ("trmx", "remixer"), ("ttyr", "year"), ("tkey", "key_name"))
@@ -171,31 +272,86 @@ def serato_crate_rows(spark, sf):
     return out.drop("library_id")
 
 
-def placed(spark, sf):
+def _local_tracks(spark, sf):
     t = full_tracks(spark, sf)
     local = (
         F.when(c("n") % 5 == 0, F.lit(None).cast("string"))
         .when(c("n") % 5 == 1, F.concat(F.lit("/media/stick/Music"), F.substring("location", 5, 500)))
         .otherwise(F.concat(F.lit("/home/dj"), "location"))
     )
-    return T.place_on_device(t.withColumn("local", local), "/media/stick/")
+    return t.withColumn("local", local)
+
+
+def placed(spark, sf):
+    """Tracks placed on a device that holds some copies and transcodes of an earlier run, and files of
+    other sizes at the places of some copies."""
+    rows = _local_tracks(spark, sf)
+    first = T.place_on_device(rows, "/media/stick/").where("action IN ('copy', 'transcode')")
+    n = c("n")
+    length = F.when(n % 15 == 2, c("file_size")).when(n % 15 == 8, c("file_size") + 1).when(n % 30 == 12, F.lit(5))
+    inventory = first.select("device_path", length.cast("bigint").alias("length")).where("length IS NOT NULL")
+    return T.place_on_device(rows, "/media/stick/", inventory=inventory)
 
 
 view(
     "placed",
-    r"""SELECT *, CASE action WHEN 'in place' THEN '/Music' || substr(location, 5) WHEN 'transcode' THEN folder || stem || '.mp3'
-          WHEN 'copy' THEN folder || stem || CASE n % 6 WHEN 1 THEN '.flac' ELSE '.mp3' END END AS device_path FROM (
+    r"""SELECT * REPLACE (CASE WHEN action = 'copy' AND n % 15 = 2 OR action = 'transcode' AND n % 30 = 12 THEN 'in place' ELSE action END AS action) FROM (
+        SELECT *, CASE action WHEN 'in place' THEN '/Music' || substr(location, 5) WHEN 'transcode' THEN folder || stem || '.mp3'
+          WHEN 'copy' THEN folder || stem || CASE n % 6 WHEN 1 THEN '.flac' ELSE '.mp3' END END AS device_path,
+          CASE action WHEN 'transcode' THEN 26.0 ELSE 0.0 END AS shift_ms FROM (
         SELECT *, '/Contents/' || artist || '/' || CASE WHEN album = '' THEN 'Unknown Album' ELSE regexp_replace(album, '[:?]', '_', 'g') END || '/' AS folder,
           CASE WHEN n % 6 = 0 AND n % 5 = 0 THEN 'unplayable' WHEN n % 6 = 0 THEN 'transcode' WHEN n % 5 = 0 THEN 'skip' WHEN n % 5 = 1 THEN 'in place' ELSE 'copy' END AS action
-        FROM full_tracks)""",
+        FROM full_tracks))""",
     "full_tracks",
 )
 
 
-@query("placement_plan", with_views("placed", "SELECT track_id, action, device_path FROM placed"))
+@query("placement_plan", with_views("placed", "SELECT track_id, action, device_path, shift_ms::DOUBLE AS shift_ms FROM placed"))
 def placement_plan(spark, sf):
     """K6, C6."""
-    return placed(spark, sf).select("track_id", "action", "device_path")
+    return placed(spark, sf).select("track_id", "action", "device_path", "shift_ms")
+
+
+@query(
+    "second_placement",
+    with_views("placed", "SELECT 'A' AS library_id, 0 AS copy, 0 AS transcode, count(*) FILTER (device_path IS NOT NULL) AS in_place FROM placed"),
+)
+def second_placement(spark, sf):
+    """Once the plan's files are there, a second run copies and transcodes nothing."""
+    there = placed(spark, sf).where("device_path IS NOT NULL").select("device_path", c("file_size").alias("length"))
+    again = T.place_on_device(_local_tracks(spark, sf), "/media/stick/", inventory=there)
+    return R.placement_summary(again.withColumn("analysis", F.lit(None).cast("string"))).select("library_id", "copy", "transcode", "in_place")
+
+
+@query(
+    "quality_counts",
+    with_views(
+        "placed full_tracks",
+        """SELECT 'A' AS library_id, rule, count(*) AS n, array_to_string(list(detail ORDER BY track_id, detail)[1:3], ', ') AS examples FROM (
+             SELECT 'unplayable format' AS rule, track_id, location AS detail FROM placed WHERE action = 'unplayable'
+             UNION ALL SELECT 'not on the device', track_id, location FROM placed WHERE action = 'skip'
+             UNION ALL SELECT 'placeholder waveform', track_id, location FROM placed WHERE device_path IS NOT NULL AND n % 3 = 2
+             UNION ALL SELECT 'unknown sample rate', track_id, location FROM full_tracks WHERE n % 4 = 0 AND n % 3 = 0
+             UNION ALL SELECT 'cues without a slot', track_id, k || ' cues, ' || l || ' loops' FROM (
+               SELECT 'a:' || l_partkey AS track_id, greatest(0, count(*) FILTER (l_returnflag <> 'R') - 16) AS k, greatest(0, count(*) FILTER (l_returnflag = 'R') - 8) AS l FROM lineitem GROUP BY 1) WHERE k + l > 0)
+           GROUP BY rule""",
+    ),
+)
+def quality_counts(spark, sf):
+    """What a projection could not carry over, by rule."""
+    p = placed(spark, sf).withColumn("analysis", F.when(c("device_path").isNotNull() & (c("n") % 3 == 2), "placeholder"))
+    t = full_tracks(spark, sf)
+    facts = t.where("n % 3 <> 0").select(
+        "location", F.lit(48000).alias("sample_rate"), c("duration_s"), c("bitrate"), c("file_size")
+    )
+    measured = O.measured_or_stated(t.withColumn("sample_rate", F.when(c("n") % 4 != 0, c("sample_rate"))), facts)
+    cues = S.cues(spark, sf, "all")
+    loop = c("role") == "loop"
+    left = cues.groupBy("library_id", "track_id").agg(
+        F.greatest(F.lit(0), F.count_if(~loop) - 16).alias("leftover_cues"), F.greatest(F.lit(0), F.count_if(loop) - 8).alias("leftover_loops")
+    )
+    issues = R.placement_issues(p, c("location")).unionByName(R.rate_issues(measured)).unionByName(R.dropped_cue_issues(left))
+    return R.issue_counts(issues)
 
 
 @query(
@@ -219,7 +375,8 @@ view(
     "device",
     """SELECT track_id, row_number() OVER (ORDER BY ordinal) AS id, CASE WHEN title <> '' THEN title ELSE regexp_replace(regexp_extract(device_path, '[^/]*$'), '\\.[^.]*$', '') END AS title,
          device_path AS file_path, regexp_extract(device_path, '[^/]*$') AS filename, key_name, round_even(bpm * 100, 0)::INT AS tempo, coalesce(track_number, 0) AS track_number,
-         CASE WHEN year = '' THEN 0 ELSE year::INT END AS year, least(5, rating) AS rating FROM placed WHERE device_path IS NOT NULL""",
+         CASE WHEN year = '' THEN 0 ELSE year::INT END AS year, least(5, rating) AS rating, round_even(duration_s, 0)::INT AS duration, sample_rate, 16 AS sample_depth, bitrate, file_size,
+         CASE WHEN device_path LIKE '%.flac' THEN 5 ELSE 1 END AS file_type, coalesce(date_added::VARCHAR, '2024-05-06') AS date_added, '2024-05-06' AS analyze_date FROM placed WHERE device_path IS NOT NULL""",
     "placed",
 )
 
@@ -230,9 +387,31 @@ view(
 )
 def device_tracks(spark, sf):
     """K5, fact rows."""
-    return T.device_tracks(placed(spark, sf)).select(
-        "track_id", "id", "title", "file_path", "filename", "key_name", "tempo", "track_number", "year", "rating"
+    return T.device_tracks(placed(spark, sf), today=F.lit("2024-05-06")).select(
+        "track_id", "id", "title", "file_path", "filename", "key_name", "tempo", "track_number", "year", "rating", "duration",
+        "sample_rate", "sample_depth", "bitrate", "file_size", "file_type", "date_added", "analyze_date",
+    )
+
+
+@query(
+    "device_playlist_nodes",
+    """WITH t AS (SELECT r_regionkey AS r, NULL AS n, NULL AS c, r_name AS name FROM region
+         UNION ALL SELECT n_regionkey, n_nationkey, NULL, n_name FROM nation
+         UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+       w AS (SELECT *, row_number() OVER (ORDER BY r, n NULLS FIRST, c NULLS FIRST) AS id FROM t)
+       SELECT w.id, coalesce(p.id, 0) AS parent, row_number() OVER (PARTITION BY coalesce(p.id, 0) ORDER BY w.id) - 1 AS seq, w.name, w.c IS NULL AS is_folder
+       FROM w LEFT JOIN w p ON p.r = w.r AND CASE WHEN w.n IS NULL THEN false WHEN w.c IS NULL THEN p.n IS NULL ELSE p.n = w.n AND p.c IS NULL END""",
+)
+def device_playlist_nodes(spark, sf):
+    """K5: regions and nations as folders, customers as lists."""
+    region, nation, cust = (S.table(spark, sf, t) for t in ("region", "nation", "customer"))
+    key = lambda p, x: F.concat(F.lit(p), c(x).cast("string"))
+    node = lambda df, i, up, seq, name, folder: df.select(F.lit("A").alias("library_id"), i.alias("node_id"), up.alias("parent_id"), c(seq).cast("bigint").alias("seq"), c(name).alias("name"), F.lit(folder).alias("is_folder"))
+    rows = node(region, key("r", "r_regionkey"), F.lit("none"), "r_regionkey", "r_name", True).unionByName(
+        node(nation, key("n", "n_nationkey"), key("r", "n_regionkey"), "n_nationkey", "n_name", True)
     )
+    rows = rows.unionByName(node(cust.join(nation, c("n_nationkey") == c("c_nationkey"), "left_semi"), key("c", "c_custkey"), key("n", "c_nationkey"), "c_custkey", "c_name", False))
+    return T.device_playlist_nodes(P.tree_paths(rows)[0]).drop("library_id", "node_id")
 
 
 @query(
@@ -392,6 +571,32 @@ def distinct_sources(spark, sf):
     return U.distinct_sources(o)
 
 
+# --- written libraries --------------------------------------------------------------------------------
+def _labelled(spark, sf):
+    """The base catalogue as one library for each brand."""
+    return S.tracks_a(spark, sf).select(c("artist").alias("library_id"), "track_id", "ordinal", "location", "title", "file_size")
+
+
+@query(
+    "written_libraries",
+    with_views(
+        "tracks_a",
+        """SELECT artist AS library_id, track_id, location, CASE WHEN n_changed THEN title || ' again' ELSE title END AS title FROM (
+             SELECT *, right(artist, 1) IN ('2', '4') AS n_changed, right(artist, 1) = '4' AS gone FROM tracks_a) WHERE NOT gone""",
+    ),
+)
+def written_libraries(spark, sf):
+    """K1, M8: one folder for each library; a second write replaces the changed libraries alone, one of which has no tracks left."""
+    folder = record_written(f"{shared_folder(spark).rstrip('/')}/segue/neutral-{uuid.uuid4().hex}")
+    t = _labelled(spark, sf)
+    neutral.write_tables({"tracks": t}, folder)
+    changed = t.where(F.substring("library_id", -1, 1).isin("2", "4")).select("library_id").distinct()
+    after = t.withColumn("title", F.concat("title", F.lit(" again"))).where(F.substring("library_id", -1, 1) != "4")
+    neutral.write_tables({"tracks": after}, folder, changed=changed)
+    back = neutral.read_tables(spark, folder, ("tracks",))["tracks"]
+    return back.select(c("library_id").cast("string").alias("library_id"), "track_id", "location", "title")
+
+
 # --- documents -------------------------------------------------------------------------------------
 @query("xml_documents")
 def xml_documents(spark, sf):

@@ -74,9 +74,11 @@ def serato_offset_ms(ext: Column, header_case: Column, rate: Column) -> Column:
 
 
 def with_facts(tracks: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts as columns ``f_*`` and ``found``; one row per location on the facts side."""
+    """Facts as columns ``f_*`` and ``found``; one row per location on the facts side: of
+    several, each fact is the least known one."""
     names = [n for n in facts.columns if n != "location"]
-    one = facts.groupBy("location").agg(F.min(F.struct(*names)).alias("_f"))
+    one = facts.groupBy("location").agg(*[F.min(n).alias(n) for n in names])  # NULLs don't count
+    one = one.select("location", F.struct(*names).alias("_f"))
     return (
         tracks.join(one, "location", "left")
         .select(tracks["*"], *[F.col(f"_f.{n}").alias(f"f_{n}") for n in names], F.col("_f").isNotNull().alias("found"))
@@ -128,8 +130,9 @@ def shift_child(rows: DataFrame, tracks: DataFrame, ms: Column, times: Sequence[
 def with_tags(tracks: DataFrame, tags: DataFrame) -> DataFrame:
     """Tag values over the catalogue's: the lock when the tag has one, the colour only
     where the catalogue has none (J18).  ``tags(location, locked, colour)``, the colour as
-    shown."""
-    one = tags.groupBy("location").agg(F.min(F.struct("locked", "colour")).alias("_t"))
+    shown; of several tags of a file, each value is the least known one."""
+    one = tags.groupBy("location").agg(F.min("locked").alias("locked"), F.min("colour").alias("colour"))
+    one = one.select("location", F.struct("locked", "colour").alias("_t"))
     return (
         tracks.join(one, "location", "left")
         .withColumn("bpm_locked", F.coalesce("_t.locked", "bpm_locked"))

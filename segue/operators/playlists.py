@@ -363,11 +363,13 @@ def _claim(acc: Column, c: Column) -> Column:
 def place_lists(nodes: DataFrame, existing: DataFrame, replace: bool) -> DataFrame:
     """Which target list each written list becomes.
 
-    ``nodes(library_id, ordinal, name)``, ``existing(library_id, target_id, name)``.  With
+    ``nodes(library_id, ordinal, name)``, ``existing(library_id, target_id, name[, hidden])``.  With
     ``replace`` a same-named target list (lowest id) is reused, its entries replaced;
-    anything else is created under a unique name.
+    anything else is created under a unique name.  A hidden list is never reused, but its
+    name is taken.
     """
-    first = existing.groupBy("library_id", "name").agg(F.min("target_id").alias("target_id"))
+    seen = existing.where("NOT hidden") if "hidden" in existing.columns else existing
+    first = seen.groupBy("library_id", "name").agg(F.min("target_id").alias("target_id"))
     joined = nodes.join(first, ["library_id", "name"], "left")
     reuse = F.col("target_id").isNotNull() if replace else F.lit(False)
     same = joined.where(reuse).withColumn("unique_name", F.col("name"))
@@ -380,6 +382,55 @@ def place_lists(nodes: DataFrame, existing: DataFrame, replace: bool) -> DataFra
     )
 
 
+def write_lists(
+    nodes: DataFrame, entries: DataFrame, ids: DataFrame, existing: DataFrame, existing_entries: DataFrame,
+    replace: bool = True, once: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(lists, entries) of a target that numbers its lists, after ``nodes`` were written to it.
+
+    ``nodes(library_id, node_id, ordinal, name)``: lists in their order, by the name the target shows;
+    ``entries(library_id, node_id, position, track_id)``; ``ids(library_id, track_id, target_track_id)``:
+    the tracks the target has, others are dropped; ``existing(library_id, id, name, position, hidden)``
+    and ``existing_entries(library_id, list_id, track_id, position)``: what it holds.
+
+    With ``replace`` lists of one name become one, a list of the target if it shows that name: what it
+    held goes, and the last one's entries stay.  Without, each is created.  New lists are numbered after
+    the target's last, and placed after its last position.  Entries are renumbered from 1, or with
+    ``once`` a track is in a list once and has no position.
+    """
+    lib = "library_id"
+    if replace:
+        last = nodes.groupBy(lib, "name").agg(
+            F.max_by("node_id", F.struct("ordinal", "node_id")).alias("node_id"), F.min("ordinal").alias("ordinal")
+        )
+    else:
+        last = nodes.select(lib, "name", "node_id", "ordinal")
+    placed = place_lists(last.select(lib, "node_id", "ordinal", "name"), existing.withColumnRenamed("id", "target_id"), replace)
+    placed = materialise(placed, "placed-lists")
+    top = existing.groupBy(lib).agg(F.max("id").alias("_id"), F.max("position").alias("_position"))
+    fresh = ranked(placed.where("action = 'create'"), [lib], "ordinal", "_n", ["node_id"]).join(top, lib, "left")
+    number = lambda c: (F.coalesce(c, F.lit(0)) + F.col("_n")).cast("bigint")
+    created = fresh.select(
+        lib, "node_id", number("_id").alias("id"), F.col("unique_name").alias("name"), number("_position").alias("position"), F.lit(False).alias("hidden"),
+    )
+    reused = placed.where("action = 'replace'").select(lib, "node_id", F.col("target_id").cast("bigint").alias("id"))
+    kept = existing.select(lib, F.col("id").cast("bigint").alias("id"), "name", F.col("position").cast("bigint").alias("position"), "hidden")
+    state = kept.join(reused.select(lib, "id", F.lit("replaced").alias("_s")), [lib, "id"], "left")
+    lists = state.select(*kept.columns, F.coalesce("_s", F.lit("kept")).alias("action")).unionByName(
+        created.drop("node_id").withColumn("action", F.lit("created"))
+    )
+    targets = reused.unionByName(created.select(lib, "node_id", "id"))
+    rows = entries.join(targets, [lib, "node_id"]).join(ids.select(lib, "track_id", "target_track_id"), [lib, "track_id"])
+    old = existing_entries.join(reused.select(lib, F.col("id").alias("list_id")), [lib, "list_id"], "left_anti")
+    if once:
+        written = rows.select(lib, F.col("id").alias("list_id"), F.col("target_track_id").alias("track_id"))
+        return lists, old.select(lib, "list_id", "track_id").unionByName(written).distinct()
+    written = ranked(rows, [lib, "id"], "position", "_place", ["track_id"]).select(
+        lib, F.col("id").alias("list_id"), F.col("target_track_id").alias("track_id"), F.col("_place").alias("position")
+    )
+    return lists, old.select(lib, "list_id", "track_id", F.col("position").cast("bigint").alias("position")).unionByName(written)
+
+
 # --- merge -------------------------------------------------------------------------------------------
 def merge_playlists(
     base_nodes: DataFrame, base_entries: DataFrame, inc_nodes: DataFrame, inc_entries: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -141,6 +142,29 @@ def issue_rows(df: DataFrame, rule: str, entity: str, detail: Column) -> DataFra
     )
 
 
+def placement_issues(plan: DataFrame, name: Column) -> DataFrame:
+    """Issue rows of a placement plan (G7): tracks left out because the players can't play them or because
+    their file is not there, and tracks with placeholder analyses. ``name`` tells the track."""
+    left_out = {"unplayable": "unplayable format", "skip": "not on the device"}
+    rows = [issue_rows(plan.where(F.col("action") == a), rule, "track_id", name) for a, rule in left_out.items()]
+    if "analysis" in plan.columns:
+        rows.append(issue_rows(plan.where("analysis = 'placeholder'"), "placeholder waveform", "track_id", name))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def rate_issues(measured: DataFrame) -> DataFrame:
+    """Tracks whose sample rate neither the file nor the catalogue tells."""
+    return issue_rows(measured.where("rate_unknown"), "unknown sample rate", "track_id", F.col("location"))
+
+
+def dropped_cue_issues(leftovers: DataFrame) -> DataFrame:
+    """Tracks with cues or loops that found no slot (G7). ``leftovers(library_id, track_id,
+    leftover_cues, leftover_loops)``."""
+    some = leftovers.where("leftover_cues > 0 OR leftover_loops > 0")
+    detail = F.concat(F.col("leftover_cues").cast("string"), F.lit(" cues, "), F.col("leftover_loops").cast("string"), F.lit(" loops"))
+    return issue_rows(some, "cues without a slot", "track_id", detail)
+
+
 def issue_counts(issues: DataFrame, examples: int = 3) -> DataFrame:
     """Issues per library and rule with the first few details.
 

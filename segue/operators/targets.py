@@ -15,8 +15,9 @@ from segue.functions.grid import first_downbeat_ms
 from segue.functions.numbers import clamp_stars, half_even
 from segue.functions.text import extension, file_name, name_without_extension, with_fat_safe
 from segue.operators.grids import expand, simplify
-from segue.operators.playlists import crate_file_name
+from segue.operators.playlists import crate_file_name, write_lists
 from segue.plans.ordered import ranked
+from segue.sources.binary import TEXT_TAGS
 
 LIB_TRACK = ["library_id", "track_id"]
 
@@ -47,6 +48,44 @@ def mixxx_tracks(tracks: DataFrame, notation: str = "musical") -> DataFrame:
     )
 
 
+def mixxx_grid_columns(tracks: DataFrame, tempo: DataFrame) -> DataFrame:
+    """``channels, bpm, beats_version`` of the ``library`` rows (K3): two channels where none are known,
+    the first marker's bpm where the track has none, and which kind of beats `mixxx_beats` gives it."""
+    grid = simplify(tempo, LIB_TRACK).groupBy(*LIB_TRACK).agg(
+        F.count("*").alias("_n"), F.min_by("bpm", F.struct("position_ms", "bpm")).alias("_bpm")
+    )
+    channels = F.nullif("channels", F.lit(0)) if "channels" in tracks.columns else F.lit(None).cast("int")
+    version = F.when(F.col("_n") == 1, "BeatGrid-2.0").when(F.col("_n") > 1, "BeatMap-1.0")
+    return tracks.join(grid, LIB_TRACK, "left").select(
+        *LIB_TRACK, F.coalesce(channels, F.lit(2)).cast("int").alias("channels"),
+        F.coalesce(F.nullif("bpm", F.lit(0.0)), "_bpm", F.lit(0.0)).alias("bpm"), version.alias("beats_version"),
+    )
+
+
+def mixxx_lists(
+    nodes: DataFrame, entries: DataFrame, ids: DataFrame, target: dict[str, DataFrame], replace: bool = True, as_crates: bool = False
+) -> dict[str, DataFrame]:
+    """Rows of ``Playlists``, ``PlaylistTracks``, ``crates`` and ``crate_tracks`` after a library's lists were
+    written (K3, M10).  ``nodes`` carry ``path`` and ``ordinal``; the target has no folders, so the path is in
+    the name.  ``target`` holds its four tables: ``playlists(library_id, id, name, position, hidden)``,
+    ``playlist_tracks`` and ``crate_tracks(library_id, list_id, track_id[, position])``, ``crates(library_id,
+    id, name)``."""
+    parents = F.when(F.size("path") > 1, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.array().cast("array<string>"))
+    crate = F.col("is_crate") | F.lit(as_crates)
+    lists = nodes.where(~F.col("is_folder")).select(
+        "library_id", "node_id", "ordinal", L.flat_playlist_name(parents, F.element_at("path", -1), F.col("is_crate")).alias("name"), crate.alias("_crate")
+    )
+    crates = target["crates"].withColumns({"position": F.lit(0).cast("bigint"), "hidden": F.lit(False)})
+    out = {}
+    out["playlists"], out["playlist_tracks"] = write_lists(
+        lists.where("NOT _crate").drop("_crate"), entries, ids, target["playlists"], target["playlist_tracks"], replace
+    )
+    crates, out["crate_tracks"] = write_lists(
+        lists.where("_crate").drop("_crate"), entries, ids, crates, target["crate_tracks"], replace, once=True
+    )
+    return out | {"crates": crates.drop("position", "hidden")}
+
+
 def mixxx_cues(slots: DataFrame, tracks: DataFrame) -> DataFrame:
     """Slot rows to stored samples: whole stereo frames, never before the start (K3).
     ``tracks(library_id, track_id, sample_rate, mixxx_ms)``."""
@@ -86,20 +125,13 @@ def mixxx_beats(tempo: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFra
 
 
 # --- Serato ------------------------------------------------------------------------------------
-SERATO_TEXT = (
-    ("tsng", "title"), ("tart", "artist"), ("talb", "album"), ("tgen", "genre"),
-    ("tcom", "comment"), ("tgrp", "grouping"), ("tlbl", "label"), ("tcmp", "composer"),
-    ("trmx", "remixer"), ("ttyr", "year"),
-)
-
-
 def serato_fields(tracks: DataFrame, root: str = "/", notation: str = "musical") -> DataFrame:
     """One row per field: ``tag, value``; empty texts are left out (K4)."""
     c = F.col
     epoch = (F.unix_date("date_added").cast("bigint") * 86400).cast("string")
     flag = F.when(c("bpm_locked"), "1").otherwise("0")
     pairs = [("ttyp", extension(c("location"))), ("pfil", L.to_root_relative(c("location"), F.lit(root)))]
-    pairs += [(tag, F.nullif(_empty(c(col)), F.lit(""))) for tag, col in SERATO_TEXT if col in tracks.columns]
+    pairs += [(tag, F.nullif(_empty(c(col)), F.lit(""))) for tag, col in TEXT_TAGS.items() if col in tracks.columns]
     pairs += [
         ("tbpm", F.when(c("bpm") != 0, F.format_string("%.2f", c("bpm")))),
         ("tkey", F.nullif(KEY.format_key(c("key"), notation), F.lit(""))),
@@ -127,14 +159,20 @@ def serato_crates(nodes: DataFrame, entries: DataFrame, tracks: DataFrame, root:
 
 
 # --- device ----------------------------------------------------------------------------------------
+TRANSCODE_MS = 26.0  # fixed value: the MP3 encoder's delay
+
+
 def place_on_device(
-    tracks: DataFrame, root: str, copy_missing: bool = True, can_transcode: bool = True
+    tracks: DataFrame, root: str, copy_missing: bool = True, can_transcode: bool = True, inventory: DataFrame | None = None
 ) -> DataFrame:
     """Where each track goes on a device at ``root`` and how (K6): ``action`` is one of
-    'in place', 'copy', 'transcode', 'skip', 'unplayable'; ``device_path`` the result.
+    'in place', 'copy', 'transcode', 'skip', 'unplayable'; ``device_path`` the result,
+    ``shift_ms`` what its cues and grid are due for the encoder's delay.
 
-    ``local`` is the track's file on this machine, NULL when not found.  Transcoded tracks
-    are due a shift of their cues by the encoder delay.
+    ``local`` is the track's file on this machine, NULL when not found, ``local_size`` its bytes (the
+    catalogue's ``file_size`` where there is no such column).  ``inventory(device_path, length)``: what the
+    device holds.  A copy of the same size, or a transcode of any size, that is there already is in
+    place, so a second run plans nothing again.
     """
     c = F.col
     base = root.rstrip("/")
@@ -168,18 +206,33 @@ def place_on_device(
     path = F.when(c("action").isin("transcode", "copy"), target).when(
         c("action") == "in place", F.substring(c("local"), F.lit(len(base) + 1), F.length("local"))
     )
-    return rows.withColumn("device_path", path).drop("_ext", "_bare", "_suffix", "_stem", "_a", "_b")
-
-
-def device_tracks(placed: DataFrame, notation: str = "musical") -> DataFrame:
-    """Fact rows for tracks that got a place, numbered from 1 in track order (K5)."""
+    rows = rows.withColumn("device_path", path).drop("_ext", "_bare", "_suffix", "_stem", "_a", "_b")
+    rows = rows.withColumn("shift_ms", F.when(c("action") == "transcode", TRANSCODE_MS).otherwise(0.0))
+    if inventory is None:
+        return rows
+    there = inventory.groupBy("device_path").agg(F.max("length").alias("_length"))
+    size = c("local_size") if "local_size" in rows.columns else c("file_size")
+    have = ((c("action") == "copy") & (c("_length") == size)) | ((c("action") == "transcode") & c("_length").isNotNull())
+    rows = rows.join(there, "device_path", "left")
+    action = F.when(F.coalesce(have, F.lit(False)), "in place").otherwise(c("action"))
+    return rows.withColumn("action", action).select(*[n for n in rows.columns if n != "_length"])
+
+
+def device_tracks(placed: DataFrame, notation: str = "musical", today: Column | None = None) -> DataFrame:
+    """Fact rows for tracks that got a place, numbered from 1 in track order (K5).  Optional columns
+    ``sample_depth`` and ``codec`` come from measured facts; a track without a date was added ``today``,
+    and all are analysed then.  ``analysis_path`` numbers the files of one analysis folder in track order."""
     c = F.col
+    today = (F.current_date() if today is None else today).cast("string")
+    given = lambda name, other: F.coalesce(name, F.lit(other)) if name in placed.columns else F.lit(other)
     used = ranked(
         placed.where("action IN ('in place', 'copy', 'transcode')"), ["library_id"], "ordinal", "id",
         ["track_id"],
     )
     head = F.substring("year", 1, 4)
     stem = name_without_extension(c("device_path"))
+    used = used.withColumn("folder", L.analysis_folder(c("device_path")))
+    used = ranked(used, ["library_id", "folder"], "id", "_number")
     return used.select(
         *LIB_TRACK, "ordinal", "id",
         F.when(c("title") != "", c("title")).otherwise(stem).alias("title"),
@@ -190,10 +243,25 @@ def device_tracks(placed: DataFrame, notation: str = "musical") -> DataFrame:
         F.coalesce("track_number", F.lit(0)).alias("track_number"), "play_count",
         F.when(head.rlike(r"^\d+$"), head.try_cast("int")).otherwise(0).alias("year"),
         K.rekordbox_track_colour_id(c("colour")).alias("color_id"), clamp_stars(c("rating")).alias("rating"),
-        "comment", L.analysis_folder(c("device_path")).alias("folder"),
+        "comment", "folder",
+        F.concat("folder", F.lit("/ANLZ"), F.lpad(F.hex(c("_number") - 1), 4, "0"), F.lit(".DAT")).alias("analysis_path"),
+        half_even(F.coalesce("duration_s", F.lit(0.0))).cast("int").alias("duration"),
+        F.coalesce(F.nullif("sample_rate", F.lit(0)), F.lit(44100)).alias("sample_rate"), given("sample_depth", 16).alias("sample_depth"),
+        "bitrate", "file_size", L.file_type_code(extension(c("device_path")), given("codec", "")).alias("file_type"),
+        F.coalesce(c("date_added").cast("string"), today).alias("date_added"), today.alias("analyze_date"),
     )
 
 
+def device_playlist_nodes(tree: DataFrame) -> DataFrame:
+    """Playlist rows of a device (K5): ``id`` from 1 in the order of a walk through the tree, ``parent`` (0 at
+    the top), ``seq`` among its siblings from 0.  ``tree`` as `playlists.tree_paths` makes it."""
+    known = ranked(tree, ["library_id"], "sort_key", "id", ["node_id"])
+    above = known.select("library_id", F.col("node_id").alias("parent_id"), F.col("id").alias("_parent"))
+    rows = known.join(above, ["library_id", "parent_id"], "left").withColumn("parent", F.coalesce("_parent", F.lit(0)).cast("bigint"))
+    rows = ranked(rows, ["library_id", "parent"], "id", "_seq")
+    return rows.select("library_id", "node_id", "id", "parent", (F.col("_seq") - 1).alias("seq"), "name", "is_folder")
+
+
 def device_entries(entries: DataFrame, device: DataFrame) -> DataFrame:
     """Playlist entries by device id, renumbered without the tracks left out (K5)."""
     rows = entries.join(device.select(*LIB_TRACK, F.col("id").alias("content_id")), LIB_TRACK)

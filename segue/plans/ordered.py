@@ -17,7 +17,6 @@ in order and ties are one place in the order and can't be cut apart.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,42 +43,43 @@ def _before(keys: Sequence[str]):
 def _met(rows: DataFrame, side: DataFrame, keys: Sequence[str], *also: str, how: str = "left") -> DataFrame:
     """``rows`` with the other columns of the small table ``side``; NULL keys meet NULL keys."""
     side = side.withColumnsRenamed({k: f"__on_{k}" for k in (*keys, *also)})
-    same = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys] + [F.col(k) == F.col(f"__on_{k}") for k in also]
-    return rows.join(F.broadcast(side), reduce(lambda a, b: a & b, same), how).drop(*[f"__on_{k}" for k in (*keys, *also)])
+    same = [f"`{k}` <=> `__on_{k}`" for k in keys] + [f"`{k}` = `__on_{k}`" for k in also]
+    return rows.join(F.broadcast(side), F.expr(" AND ".join(same)), how).drop(*[f"__on_{k}" for k in (*keys, *also)])
+
+
+def _named(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}`" for n in dict.fromkeys(names))
+
+
+def _place(names: Sequence[str]) -> str:
+    return "named_struct(" + ", ".join(f"'p{i}', `{n}`" for i, n in enumerate(dict.fromkeys(names))) + ")"
 
 
 def splitters(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """``keys`` and ``__at``: for each large group the places (structs of order and ties) at which its chunks
     begin, but for the first."""
     rate = max(1, chunk // SAMPLED)
-    place = list(dict.fromkeys([order, *ties]))
-    rows = df.select(*dict.fromkeys([*keys, *place]))
-    some = rows.where(F.pmod(F.xxhash64(F.lit(rate), *keys, *place), F.lit(rate)) == 0) if rate > 1 else rows
-    some = some.repartition(*keys).groupBy(*dict.fromkeys([*keys, *place])).agg(F.count("*").alias("__n"))
-    whole = W.partitionBy(*keys)
-    by_place = whole.orderBy(*place)
-    some = some.withColumns({"__all": F.sum("__n").over(whole), "__before": F.sum("__n").over(by_place.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")})
-    some = some.where(F.col("__all") * rate > 2 * chunk).withColumn("__piece", F.expr(f"__before * ceil(__all * {rate} / {chunk}) div __all"))
-    some = some.withColumn("__last", F.lag("__piece", 1, 0).over(by_place)).where("__piece > __last")
-    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(_place(place))).alias("__at"))
+    names = list(dict.fromkeys([*keys, order, *ties]))
+    by_place = f"(PARTITION BY {_named(keys)} ORDER BY {_named([order, *ties])})"
+    some = df.select(*names).where(f"pmod(xxhash64({rate}, {_named(names)}), {rate}) = 0") if rate > 1 else df.select(*names)
+    some = some.repartition(*keys).groupBy(*names).agg(F.expr("count(*) AS __n"))
+    some = some.selectExpr("*", f"sum(__n) OVER (PARTITION BY {_named(keys)}) AS __all", f"sum(__n) OVER {by_place} - __n AS __before")
+    some = some.where(f"__all * {rate} > {2 * chunk}").selectExpr("*", f"__before * ceil(__all * {rate} / {chunk}) div __all AS __piece")
+    some = some.selectExpr("*", f"lag(__piece, 1, 0L) OVER {by_place} AS __last").where("__piece > __last")
+    return some.groupBy(*keys).agg(F.expr(f"array_sort(collect_list({_place([order, *ties])})) AS __at"))
 
 
-def _place(names: Sequence[str]) -> Column:
-    return F.struct(*[F.col(n).alias(f"p{i}") for i, n in enumerate(names)])
+_STEPS = f"array({', '.join(str(1 << k) for k in reversed(range(MOST_SPLITTERS)))})"
+_FURTHER = "(found, step) -> IF(found + step <= size(__at) AND get(__at, found + step - 1) <= __here, found + step, found)"
 
 
 def cut(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``__chunk``: a large group's chunk from 0 on, NULL in all other groups. The operators
     below use it where it is there; `uncut` drops it."""
-    here = _place(list(dict.fromkeys([order, *ties])))
-    at = F.col("__at")
-
-    def further(found: Column, step: Column) -> Column:
-        return F.when((found + step <= F.size(at)) & (F.get(at, found + step - 1) <= here), found + step).otherwise(found)
-
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_SPLITTERS))])
     rows = _met(df, splitters(df, keys, order, ties, chunk), keys)
-    return rows.withColumn(_C, F.when(at.isNotNull(), F.aggregate(steps, F.lit(0), further))).drop("__at")
+    rows = rows.selectExpr("*", f"IF(__at IS NULL, NULL, {_place([order, *ties])}) AS __here")
+    rows = rows.selectExpr("*", f"IF(__at IS NULL, NULL, aggregate({_STEPS}, 0, {_FURTHER})) AS {_C}")
+    return rows.drop("__at", "__here")
 
 
 def uncut(df: DataFrame) -> DataFrame:
