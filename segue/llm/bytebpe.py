@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 from segue.llm.shared import text_slices
 
-CACHE_CHUNKS, CACHE_MARKS = 200_000, 10_000
+CACHE_CHUNKS, CACHE_MARKS, CACHE_LENGTH = 200_000, 10_000, 64  # entries of at most so many characters
 # The white-space characters, ASCII marks but the apostrophe, and the printable bytes that stand for themselves.
 SPACES = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -81,7 +81,7 @@ class ByteBpe:
         ids = self.marks.get(mark)
         if ids is None:
             ids = self._library(mark)
-            if len(self.marks) < CACHE_MARKS:
+            if len(self.marks) < CACHE_MARKS and len(mark) <= CACHE_LENGTH:
                 self.marks[mark] = ids
         return ids
 
@@ -102,7 +102,7 @@ class ByteBpe:
                 ids = self.cache.get(head)
                 ids = self._chunk(head) if ids is None else ids
                 return ids + self.line + rest + (self._mark(tail[len(after):]) if after != tail else b"")
-            if word != chunk:
+            if word != chunk and len(word) <= CACHE_LENGTH:
                 self.cache[word] = ids
         return ids + self._mark(chunk[len(word):]) if word != chunk else ids
 
@@ -114,7 +114,9 @@ class ByteBpe:
                 cache.clear()
             for i, ids in enumerate(found):
                 if ids is None:
-                    found[i] = cache[chunks[i]] = self._chunk(chunks[i])
+                    found[i] = self._chunk(chunks[i])
+                    if len(chunks[i]) <= CACHE_LENGTH:
+                        cache[chunks[i]] = found[i]
         return found
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,8 +8,8 @@ of its ones before each 512 bits; an id's place on the next level is its rank th
 Segments are rows of Parquet files, written and read by Spark, so they can lie in any store.
 
 Defined results: NULL text is the empty text; an empty text is its end id alone; a NULL doc_id comes
-first; rows with one doc_id follow each other by text; repeated rows are kept; an empty table gives
-no rows; other columns are ignored.
+first; rows with one doc_id follow each other by a hash of their text; repeated rows are kept; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from segue.llm.shared import lean, strings
 
 SEGMENT_TOKENS = 1 << 18
 BLOCK_BITS = 512
+MOST_PARTS = 1 << 20  # rows of the broadcast table of parts: 16 MB
 SEGMENT = "part int, segment int, local_start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -94,11 +95,12 @@ def write_tokens(
 ) -> None:
     """Encode whole texts and write them to ``path`` in ascending doc_id order.
 
-    Rows are dealt out by ranges of (doc_id, hash of the text), so neither a long run of ids nor one
-    repeated id meets in one task, and each task writes its stretch of the order.
+    Rows are dealt out by ranges of (doc_id, hash of the text, row), so neither a long run of ids nor
+    one repeated id or row meets in one task, and each task writes its stretch of the order.
     """
-    tie = F.xxhash64("text").alias("_tie")
-    ordered = docs.select("doc_id", "text", tie).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")
+    order = ["doc_id", "_tie", "_row"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, start = TaskContext.get().partitionId(), 0, 0
@@ -131,11 +133,13 @@ def write_tokens(
 
 def stored_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``start``: the ids of all documents before them. Only one row for each
-    writing task is summed up across tasks."""
+    writing task is summed up across tasks, and sent to the segments, so their codes are not moved."""
     segments = spark.read.schema(SEGMENT).parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if segments.select("part").distinct().count() <= MOST_PARTS:
+        parts = F.broadcast(parts)
     return segments.join(parts, "part").withColumn("start", F.col("_before") + F.col("local_start")).drop("_before")
 
 
@@ -164,22 +168,25 @@ def stored_documents(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, cell: int = SEGMENT_TOKENS) -> DataFrame:
-    """(position, token) for a table of ``position`` values over the whole store; places outside it,
-    and NULL, give no row. Positions meet their segment through cells of the number line."""
+    """(position, token) for a table of ``position`` values over the whole store, repeated ones included;
+    places outside it, and NULL, give no row. Positions meet their segment through cells of the number line."""
     segments = stored_segments(spark, path).where("n_tokens > 0")
     cells = F.sequence(F.expr(f"start div {cell}"), F.expr(f"(start + n_tokens - 1) div {cell}"))
-    wanted = positions.select("position", F.expr(f"position div {cell}").alias("_cell"))
-    met = wanted.join(segments.withColumn("_cell", F.explode(cells)), "_cell").where("position >= start AND position < start + n_tokens")
+    wanted = positions.select(F.col("position").cast("long").alias("position")).where("position IS NOT NULL")
+    wanted = wanted.groupBy("position").agg(F.count("*").alias("times")).withColumn("_cell", F.expr(f"position div {cell}"))
+    # a cell has as many different positions as ids at most, and its segment's codes are read once for all
+    wanted = wanted.groupBy("_cell").agg(F.collect_list("position").alias("positions"), F.collect_list("times").alias("times"))
+    met = wanted.join(segments.withColumn("_cell", F.explode(cells)), "_cell")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, codes = None, PackedIds(pack_ids(np.empty(0, np.uint32)))
         for batch in batches:
-            position, start = batch.column("position").to_pylist(), batch.column("start").to_pylist()
-            out = []
-            for row, (p, s) in enumerate(zip(position, start)):
-                if s != last:
-                    last, codes = s, PackedIds(batch.column("codes")[row].as_py())
-                out.append(codes[p - s])
-            yield pa.RecordBatch.from_pydict({"position": pa.array(position, pa.int64()), "token": pa.array(out, pa.int64())})
-
-    return met.select(F.col("position").cast("long"), "start", "codes").mapInArrow(lean(pick), "position long, token long")
+            for row in range(batch.num_rows):
+                at, times = (np.asarray(batch.column(c)[row].values, dtype=np.int64) for c in ("positions", "times"))
+                start = batch.column("start")[row].as_py()
+                inside = (at >= start) & (at < start + batch.column("n_tokens")[row].as_py())
+                at, times = at[inside], times[inside]
+                codes = PackedIds(batch.column("codes")[row].as_py()) if len(at) else []
+                token = np.array([codes[p] for p in (at - start).tolist()], dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"position": pa.array(np.repeat(at, times)), "token": pa.array(np.repeat(token, times))})
+
+    return met.select("positions", "times", "start", "n_tokens", "codes").mapInArrow(lean(pick), "position long, token long")
