@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from segue import standins as S
 from segue.catalog.matching import OPTIONS, matched
 from segue.catalog.registry import query
 from segue.catalog.scalars import milli, sql_milli
-from segue.catalog.sql import rules_sql, with_views
+from segue.catalog.sql import VIEWS, rules_sql, with_views
 from segue.operators import merge as M
 from segue.operators.playlists import merge_playlists, with_parents
 from segue.operators.sync import merge_libraries, needs_writing, sync_both_ways
@@ -393,16 +395,57 @@ def _incoming(spark, sf):
     return lib.with_(tracks=lib.tracks.select("pair_id", "library_id", "track_id", "ordinal", "location", "title", "artist", "genre", "duration_s", "file_size", "bpm", "p_size", "n"))
 
 
+# --- the same library merged once more: the views of a merge, over the merged tables ------
+_ONCE = "bkeys m1 m2 blocks walk m3 m4 matches inc_cues inc_tempo idmap f1 s1 cwalk merged bm am"
+
+
+def _again(sql: str) -> str:
+    """The same SQL with the merged library as base."""
+    sql = re.sub(rf"\b({'|'.join([*_ONCE.split(), 'links'])})\b", r"\1_2", sql)
+    sql = sql.replace("arg_max(id, ordinal)", "arg_max(id, {'o': ordinal, 'id': id})")
+    return re.sub(r"\b(tracks|cues)_a\b", r"\1_m", sql)
+
+
+_WALK = _cue_walk("inc_cues", "cues_a")
+_SECOND = f"""{_WALK}, {_LISTS},
+    tracks_m AS (SELECT track_id, ordinal, location, title, artist, genre, duration_s, file_size FROM tracks_a
+      UNION ALL SELECT 'sync:' || track_id, ordinal, {rules_sql('location')}, title, artist, genre, duration_s, file_size
+      FROM tracks_b WHERE track_id NOT IN (SELECT incoming_id FROM matches)),
+    cues_m AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY position_ms, ordinal) AS ordinal, role, position_ms, slot, name
+      FROM (SELECT * FROM merged UNION ALL SELECT 'sync:' || track_id, ordinal, role, position_ms, slot, name
+        FROM cues_b WHERE track_id NOT IN (SELECT incoming_id FROM matches))),
+    {', '.join(f'{v}_2 AS ({_again(VIEWS[v][1])})' for v in 'bkeys m1 m2 blocks walk m3 m4 matches'.split())},
+    links_2 AS (SELECT incoming_id, base_id, CASE WHEN (i.location LIKE '%.mp3') = (b.location LIKE '%.mp3') THEN 0.0
+        WHEN b.location LIKE '%.mp3' THEN 26.0 ELSE -26.0 END AS shift
+      FROM matches_2 JOIN tracks_b i ON i.track_id = incoming_id JOIN tracks_m b ON b.track_id = base_id),
+    {', '.join(f'{v}_2 AS ({_again(VIEWS[v][1])})' for v in 'inc_cues inc_tempo idmap'.split())},
+    {_again(_WALK)}, bm AS ({_marks_sql('cues_m')}), am AS ({_marks_sql('merged_2')}),
+    changed AS (
+      SELECT track_id FROM (SELECT * FROM bm EXCEPT SELECT * FROM am) UNION SELECT track_id FROM (SELECT * FROM am EXCEPT SELECT * FROM bm)
+      UNION SELECT m.track_id FROM tracks_m m JOIN links_2 ON base_id = m.track_id JOIN tracks_b b ON b.track_id = incoming_id
+        WHERE m.genre = '' AND b.genre <> ''
+      UNION SELECT track_id FROM inc_tempo_2 WHERE track_id NOT LIKE 'sync:%' AND track_id NOT IN (SELECT track_id FROM tempo_a)
+        AND track_id NOT IN (SELECT track_id FROM inc_tempo)),
+    olds_2 AS (SELECT k, track_id FROM olds JOIN orders ON o_orderkey = k WHERE o_orderstatus <> 'P' UNION SELECT k, track_id FROM incs),
+    incs_2 AS (SELECT l_orderkey AS k, merged_id AS track_id FROM lineitem JOIN idmap_2 ON incoming_id = 'b:' || l_partkey WHERE l_suppkey % 2 = 0),
+    counts AS (SELECT (SELECT count(*) FROM tracks_b) - (SELECT count(*) FROM matches_2) AS added, (SELECT count(*) FROM changed) AS updated,
+      (SELECT count(DISTINCT k) FROM incs_2 ANTI JOIN olds_2 USING (k, track_id)) AS playlists_updated)"""
+
+
 @query(
     "second_sync_report",
     with_views(
-        "matches tracks_b",
-        "SELECT 'ab' AS pair_id, 0 AS added, 0 AS updated, 0 AS playlists_added, 0 AS playlists_updated, 0 AS to_write",
+        "inc_cues cues_a cues_b inc_tempo tempo_a tempo_b idmap tracks_a tracks_b",
+        """SELECT 'ab' AS pair_id, added, updated, 0 AS playlists_added, playlists_updated,
+          CASE WHEN added + updated + playlists_updated > 0 THEN 1 ELSE 0 END AS to_write FROM counts""",
+        _SECOND,
     ),
 )
 def second_sync_report(spark, sf):
-    """M7, M8: merging the same library once more changes nothing, so nothing is to be written."""
+    """M7, M8: the same library merged once more. Where its matches are clear nothing changes; tracks alike
+    in name that were added before are candidates now, and may be paired anew."""
     merged, _ = merge_libraries(S.library(spark, sf, "a"), _incoming(spark, sf), OPTIONS)
+    merged = merged.with_(cues=M.numbered_cues(merged.cues))
     tables = {f: materialise(getattr(merged, f), f"merged-{f}") for f in ("tracks", "cues", "tempo", "nodes", "entries")}
     report = materialise(merge_libraries(merged.with_(**tables), _incoming(spark, sf), OPTIONS)[1], "second-report")
     writes = report.join(needs_writing(report).withColumn("w", F.lit(1)), "pair_id", "left")

@@ -17,6 +17,7 @@ from segue.functions.cues import spot
 from segue.functions.text import extension
 from segue.operators.rewrite import apply_rules
 from segue.options import MergeOptions
+from segue.plans.ordered import ranked
 from segue.schema import TEXT_FIELDS, VALUE_FIELDS
 from segue.session import materialise
 
@@ -220,6 +221,15 @@ def _cue_columns(merged: DataFrame, like: DataFrame) -> DataFrame:
     return merged.select(*names, "side")
 
 
+def numbered_cues(merged: DataFrame) -> DataFrame:
+    """Merged cues with the ordinals 1, 2, ... of the order they read in, without ``side``.
+
+    Both sides' ordinals may be equal, so cues that are to be merged again need this first.
+    """
+    rows = ranked(merged, TRACK, "position_ms", "_place", ties=["side", "ordinal"])
+    return rows.withColumn("ordinal", F.col("_place")).drop("_place", "side")
+
+
 def marks(cues: DataFrame) -> DataFrame:
     """What a DJ would notice, one row per mark: spots, hot cues A-H, their names (M5)."""
     text = lambda *p: F.concat_ws("|", *[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in p])

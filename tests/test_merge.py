@@ -104,6 +104,30 @@ def test_second_sync_changes_nothing(spark, pair):
         assert needs_writing(report).count() == 0
 
 
+def test_twins_are_paired_anew_by_a_second_sync(spark):
+    """Of two incoming tracks at one path one is added; then the last track of that path takes the first."""
+    base = library(spark, [track("b1", "/a.mp3", "A")])
+    inc = library(spark, [track("i1", "/a.mp3", "A", "House"), track("i2", "/a.mp3", "A", ordinal=1)])
+    for counts in ((1, 1, 1), (2, 0, 1), (2, 0, 0)):
+        merged, report = merge_libraries(base, inc)
+        [r] = report.collect()
+        assert (r.matched, r.added, r.updated) == counts
+        base = Library(*[materialise(t, "twins") for t in (merged.tracks, M.numbered_cues(merged.cues), merged.tempo, merged.nodes, merged.entries)])
+    assert {r.track_id: r.genre for r in base.tracks.collect()} == {"b1": "House", "sync:i2": "House"}
+
+
+def test_merged_cues_are_numbered_as_they_read(spark):
+    """Both sides count from 0; numbered, they merge again like any other list."""
+    base = [cue("t", 900, 0, 5), cue("t", 100, 1), cue("t", 500, 2, 2)]
+    inc = spark.createDataFrame([cue("t", 700, 0, 0), cue("t", 300, 1, 1)], CUES)
+    merged, _ = M.merge_cues(spark.createDataFrame(base, CUES), inc, MergeOptions())
+    numbered = materialise(M.numbered_cues(merged), "numbered")
+    assert sorted((r.ordinal, r.position_ms) for r in numbered.collect()) == [(k, 200.0 * k - 100) for k in range(1, 6)]
+    again, changed = M.merge_cues(numbered, inc, MergeOptions())
+    assert {r.position_ms for r in again.collect()} == {100.0, 300.0, 500.0, 700.0, 900.0} and changed.isEmpty()
+    assert M.numbered_cues(merged.limit(0)).count() == 0
+
+
 def test_transcoded_pair_moves_cues(spark):
     base = library(spark, [track("b", "/usb/x.mp3", "X", artist="A")])
     inc = library(spark, [track("i", "/lib/x.ogg", "X", artist="A")], [cue("i", 1000, 0, 0)])
