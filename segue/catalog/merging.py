@@ -452,7 +452,49 @@ def second_sync_report(spark, sf):
     return writes.select("pair_id", "added", "updated", "playlists_added", "playlists_updated", F.coalesce("w", F.lit(0)).alias("to_write"))
 
 
-@query("two_way_sync_report")
+# --- and the other way round: the views of a merge with the sides exchanged ------------------
+def _back(sql: str) -> str:
+    """The same SQL with library b as base and a as the incoming one."""
+    sql = re.sub(rf"\b({'|'.join([*_ONCE.split(), 'links', 'ikeys'])})\b", r"\1_r", sql)
+    return re.sub(r"\b(tracks|cues|tempo)_([ab])\b", lambda m: f"{m[1]}_{'ba'['ab'.index(m[2])]}", sql)
+
+
+_BACK_RULES = "CASE WHEN starts_with(lower(location), '/usb/music/') THEN '/home/dj/Music' || substr(location, 11) ELSE location END"
+_BOTH_WAYS = f"""{_WALK}, {_LISTS},
+    ikeys_r AS ({_back(VIEWS['ikeys'][1].replace(rules_sql('location'), _BACK_RULES))}),
+    {', '.join(f'{v}_r AS ({_back(VIEWS[v][1])})' for v in 'bkeys m1 m2 blocks walk m3 m4 matches'.split())},
+    links_r AS (SELECT incoming_id, base_id, CASE WHEN b.location LIKE '%.mp3' THEN 0.0 ELSE -26.0 END AS shift
+      FROM matches_r JOIN tracks_b b ON b.track_id = base_id),
+    {', '.join(f'{v}_r AS ({_back(VIEWS[v][1])})' for v in 'inc_cues inc_tempo idmap'.split())},
+    {_back(_cue_walk('cues_a', 'inc_cues'))},
+    bm AS ({_marks_sql('cues_a')}), am AS ({_marks_sql('merged')}), bm_r AS ({_marks_sql('cues_b')}), am_r AS ({_marks_sql('merged_r')}),
+    changed AS (
+      SELECT track_id FROM (SELECT * FROM bm EXCEPT SELECT * FROM am) UNION SELECT track_id FROM (SELECT * FROM am EXCEPT SELECT * FROM bm)
+      UNION SELECT a.track_id FROM tracks_a a JOIN links ON base_id = a.track_id JOIN tracks_b b ON b.track_id = incoming_id WHERE a.genre = '' AND b.genre <> ''
+      UNION SELECT track_id FROM inc_tempo WHERE track_id NOT IN (SELECT track_id FROM tempo_a)),
+    changed_r AS (
+      SELECT track_id FROM (SELECT * FROM bm_r EXCEPT SELECT * FROM am_r) UNION SELECT track_id FROM (SELECT * FROM am_r EXCEPT SELECT * FROM bm_r)
+      UNION SELECT b.track_id FROM tracks_b b JOIN links_r ON base_id = b.track_id JOIN tracks_a a ON a.track_id = incoming_id WHERE b.genre = '' AND a.genre <> ''
+      UNION SELECT track_id FROM inc_tempo_r WHERE track_id NOT IN (SELECT track_id FROM tempo_b)),
+    olds_r AS (SELECT l_orderkey AS k, 'b:' || l_partkey AS track_id FROM lineitem WHERE l_suppkey % 2 = 0),
+    incs_r AS (SELECT l_orderkey AS k, merged_id AS track_id FROM lineitem JOIN idmap_r ON incoming_id = 'a:' || l_partkey
+      JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 2 = 1 AND o_orderstatus <> 'P'),
+    fresh AS (SELECT count(*) AS lists FROM orders WHERE o_orderstatus = 'P')"""
+
+
+@query(
+    "two_way_sync_report",
+    with_views(
+        "inc_cues cues_a cues_b inc_tempo tempo_a tempo_b idmap tracks_a tracks_b",
+        """SELECT 'ab' AS pair_id, (SELECT count(*) FROM matches) AS matched,
+          (SELECT count(*) FROM tracks_b) - (SELECT count(*) FROM matches) AS added, (SELECT count(*) FROM changed) AS updated,
+          lists AS playlists_added, (SELECT count(DISTINCT k) FROM (SELECT * FROM incs WHERE NOT new) ANTI JOIN olds USING (k, track_id)) AS playlists_updated,
+          'b to a' AS direction FROM fresh
+        UNION ALL SELECT 'ab', (SELECT count(*) FROM matches_r), (SELECT count(*) FROM tracks_a) - (SELECT count(*) FROM matches_r),
+          (SELECT count(*) FROM changed_r), lists, (SELECT count(DISTINCT k) FROM incs_r ANTI JOIN olds_r USING (k, track_id)), 'a to b' FROM fresh""",
+        _BOTH_WAYS,
+    ),
+)
 def two_way_sync_report(spark, sf):
     """M6: both directions from the originals, one preference."""
     there, back = sync_both_ways(_incoming(spark, sf), S.library(spark, sf, "a"), OPTIONS)
