@@ -277,22 +277,47 @@ def unique_names(nodes: DataFrame, taken: DataFrame) -> DataFrame:
     used = taken.select(lib, F.lower("name").alias("_low")).distinct()
     numbered = r"^(.*) \((\d+)\)$"
     number = F.regexp_extract("_low", numbered, 2)
-    groups = (
+    groups = materialise(
         rows.groupBy(lib, "_low").agg(F.min("ordinal").alias("_t"))
         .join(used.withColumn("_used", F.lit(True)), [lib, "_low"], "full")
         .withColumn("_used", F.coalesce("_used", F.lit(False)))
         .withColumn("_n", number.try_cast("bigint"))
         # only numbers as they would be written count: no leading zero, from 2 on
         .withColumn("_n", F.when((F.col("_n") >= 2) & (F.col("_n").cast("string") == number), F.col("_n")))
-        .withColumn("_up", F.when(F.col("_n").isNotNull(), F.regexp_extract("_low", numbered, 1)))
+        .withColumn("_up", F.when(F.col("_n").isNotNull(), F.regexp_extract("_low", numbered, 1))),
+        "names",
     )
-    # how many nodes of the parent name precede the first node of the numbered name
     child = groups.where("_up IS NOT NULL")
+    empty = F.array().cast("array<bigint>")
+    first_lost = F.when(F.col("_used"), F.array(F.lit(1).cast("bigint"))).otherwise(empty)
+    if child.isEmpty():
+        settled = groups.select(lib, "_low", first_lost.alias("_x"))
+    else:
+        settled = _numbered_names(rows, groups, child, first_lost)
+
+    ranks = ranked(rows, [lib, "_low"], "ordinal", "_k", ties=["name"])
+    n = F.aggregate(
+        F.col("_x"), F.col("_k"), lambda acc, x: F.when(x <= acc, acc + 1).otherwise(acc)
+    )
+    return ranks.join(settled, [lib, "_low"]).select(
+        *nodes.columns,
+        F.when(n == 1, F.col("name"))
+        .otherwise(F.concat("name", F.lit(" ("), n.cast("string"), F.lit(")")))
+        .alias("unique_name"),
+    )
+
+
+def _numbered_names(rows: DataFrame, groups: DataFrame, child: DataFrame, first_lost: Column) -> DataFrame:
+    """The excluded numbers ``_x`` of every name, where some names (``child``) are another's with a number.
+    Only these and the names they number are counted and settled level by level."""
+    lib = "library_id"
+    # how many nodes of the parent name precede the first node of the numbered name
+    numbered = child.select(lib, F.col("_up").alias("_low")).distinct()
     asks = child.where("_t IS NOT NULL").select(
         lib, F.col("_up").alias("_low"), F.col("_t").alias("ordinal"), F.lit(0).alias("_w"),
         F.col("_low").alias("_child"),
     )
-    events = rows.select(
+    events = rows.join(numbered, [lib, "_low"], "left_semi").select(
         lib, "_low", F.col("ordinal").cast("bigint").alias("ordinal"), F.lit(1).alias("_w"),
         F.lit(None).cast("string").alias("_child"),
     ).unionByName(asks.withColumn("ordinal", F.col("ordinal").cast("bigint")))
@@ -316,11 +341,12 @@ def unique_names(nodes: DataFrame, taken: DataFrame) -> DataFrame:
         groups.select(lib, "_low", "_up", "_used").join(claims, [lib, "_low"], "left"), "names"
     )
 
+    settled = names.where("_up IS NULL AND _claims IS NULL").select(lib, "_low", first_lost.alias("_x"))
+    names = names.where("_up IS NOT NULL OR _claims IS NOT NULL")
     # From the top: a name's own first use is lost when it is taken or its claim failed.
     level = names.join(
         names.select(lib, F.col("_low").alias("_up")), [lib, "_up"], "left_anti"
     ).withColumn("_lost", F.col("_used"))
-    settled = None
     empty = F.array().cast("array<bigint>")
     while True:
         start = F.struct(
@@ -331,24 +357,12 @@ def unique_names(nodes: DataFrame, taken: DataFrame) -> DataFrame:
             "_claims", F.array().cast("array<struct<n:bigint,r:bigint,used:boolean,low:string>>")
         )
         done = level.withColumn("_s", F.aggregate(claims_col, start, _claim))
-        part = done.select(lib, "_low", F.col("_s.x").alias("_x"))
-        settled = part if settled is None else settled.unionByName(part)
+        settled = settled.unionByName(done.select(lib, "_low", F.col("_s.x").alias("_x")))
         below = names.join(done.select(lib, F.col("_low").alias("_up"), "_s"), [lib, "_up"])
         if below.isEmpty():
-            break
+            return settled
         level = below.withColumn("_lost", F.array_contains(F.col("_s.lost"), F.col("_low"))).drop("_s")
 
-    ranks = ranked(rows, [lib, "_low"], "ordinal", "_k", ties=["name"])
-    n = F.aggregate(
-        F.col("_x"), F.col("_k"), lambda acc, x: F.when(x <= acc, acc + 1).otherwise(acc)
-    )
-    return ranks.join(settled, [lib, "_low"]).select(
-        *nodes.columns,
-        F.when(n == 1, F.col("name"))
-        .otherwise(F.concat("name", F.lit(" ("), n.cast("string"), F.lit(")")))
-        .alias("unique_name"),
-    )
-
 
 def _claim(acc: Column, c: Column) -> Column:
     """One numbered name against its parent's numbering, in order of the number."""
@@ -370,10 +384,12 @@ def place_lists(nodes: DataFrame, existing: DataFrame, replace: bool) -> DataFra
     """
     seen = existing.where("NOT hidden") if "hidden" in existing.columns else existing
     first = seen.groupBy("library_id", "name").agg(F.min("target_id").alias("target_id"))
-    joined = nodes.join(first, ["library_id", "name"], "left")
-    reuse = F.col("target_id").isNotNull() if replace else F.lit(False)
-    same = joined.where(reuse).withColumn("unique_name", F.col("name"))
-    fresh = joined.where(~reuse).drop("target_id")
+    if replace:  # read by several steps below
+        joined = materialise(nodes.join(first, ["library_id", "name"], "left"), "reused-lists")
+    else:
+        joined = nodes.withColumn("target_id", F.lit(None).cast(first.schema["target_id"].dataType))
+    same = joined.where("target_id IS NOT NULL").withColumn("unique_name", F.col("name"))
+    fresh = joined.where("target_id IS NULL").drop("target_id")
     named = unique_names(fresh, existing.select("library_id", "name"))
     return same.withColumn("action", F.lit("replace")).unionByName(
         named.withColumn("target_id", F.lit(None).cast(same.schema["target_id"].dataType))

@@ -3,6 +3,7 @@
 import random
 
 from segue.operators.playlists import unique_names
+from segue.operators.targets import mixxx_lists
 
 
 def sequential(names, taken):
@@ -32,3 +33,27 @@ def test_unique_names_equal_sequential_naming(spark):
         spark.createDataFrame(taken, "library_id string, name string"),
     ).collect()
     assert {(r.library_id, r.ordinal): r.unique_name for r in got} == want
+
+
+def test_names_beside_numbered_ones(spark):
+    """Only numbered names and the names they number are settled by levels; all others keep their numbers."""
+    rows = [("A", 1, "x"), ("A", 2, "x (2)"), ("A", 3, "x"), ("A", 4, "plain"), ("A", 5, "Plain"), ("A", 6, "taken"), ("B", 1, "x"), ("B", 2, "x")]
+    nodes = spark.createDataFrame(rows, "library_id string, ordinal bigint, name string")
+    taken = spark.createDataFrame([("A", "Taken"), ("B", "other")], "library_id string, name string")
+    got = {(r.library_id, r.ordinal): r.unique_name for r in unique_names(nodes, taken).collect()}
+    assert got == {
+        ("A", 1): "x", ("A", 2): "x (2)", ("A", 3): "x (3)", ("A", 4): "plain", ("A", 5): "Plain (2)", ("A", 6): "taken (2)",
+        ("B", 1): "x", ("B", 2): "x (2)",
+    }
+
+
+def test_only_the_lists_that_are_read_are_placed(spark):
+    d = lambda ddl, *rows: spark.createDataFrame(rows, "library_id string, " + ddl)
+    nodes = d("node_id string, ordinal bigint, path array<string>, is_folder boolean, is_crate boolean", ("A", "n", 1, ["f", "n"], False, True), ("A", "m", 2, ["f", "m"], False, False))
+    entries = d("node_id string, position bigint, track_id string", ("A", "n", 1, "t"), ("A", "m", 1, "t"))
+    target = {
+        "playlists": d("id bigint, name string, position bigint, hidden boolean"), "crates": d("id bigint, name string"),
+        "playlist_tracks": d("list_id bigint, track_id bigint, position bigint"), "crate_tracks": d("list_id bigint, track_id bigint"),
+    }
+    made = mixxx_lists(nodes, entries, d("track_id string, target_track_id bigint", ("A", "t", 7)), target, only=["crate_tracks"])
+    assert {k: [tuple(r) for r in v.collect()] for k, v in made.items()} == {"crate_tracks": [("A", 1, 7)]}
