@@ -64,58 +64,55 @@ def _walked(keys: list[str], width: int, out: int, walk: Walk, sections: bool):
     group = [*keys, _C]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(key: list, types: list[pa.DataType], headers: list[dict], rows: list[np.ndarray]) -> pa.RecordBatch | None:
-            columns = list(np.concatenate(rows).T) if rows else [np.empty(0)] * width
-            made, steps = [], []
+        made: list[tuple] = []  # rows that wait for their batch: key, kind, entry, open, numbers
+        none = [0.0] * out
+
+        def close(key: list, headers: list[dict], rows: list[np.ndarray]) -> None:
+            data = rows[0] if len(rows) == 1 else np.concatenate(rows) if rows else None
+            columns = [np.empty(0)] * width if data is None else list(data.T)
             for h in headers or [{"entry": [], "base": 0, "before": None, "last": True}]:
                 found, left = walk(list(h["entry"]), columns, h["base"], h["before"], h["last"])
-                made += found if sections else []
+                if sections:
+                    made.extend((key, 0, None, None, numbers) for numbers in found)
                 if headers:
-                    steps.append((h["entry"], left))
-            n, m = len(made), len(steps)
-            if not n + m:
-                return None
-            arrays = [pa.array([v] * (n + m), t) for v, t in zip(key, types)]
-            arrays.append(pa.array([0] * n + [1] * m, pa.int32()))
-            arrays += [pa.array([None] * n + [s[i] for s in steps], pa.list_(pa.float64())) for i in (0, 1)]
-            numbers = np.array(made, dtype=np.float64).reshape(-1, out)
-            arrays += [pa.array(np.concatenate((numbers[:, i], np.zeros(m)))) for i in range(out)]
-            return pa.RecordBatch.from_arrays(arrays, [*group, "kind", "entry", "open", *[f"v{i}" for i in range(out)]])
+                    made.append((key, 1, h["entry"], left, none))
 
-        def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if parts:
-                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            named, kinds, entries, opens, numbers = zip(*rows)
+            arrays = [pa.array(v, t) for v, t in zip(zip(*named), types)]
+            arrays += [pa.array(kinds, pa.int32()), pa.array(entries, pa.list_(pa.float64())), pa.array(opens, pa.list_(pa.float64()))]
+            arrays += [pa.array(v) for v in np.array(numbers, dtype=np.float64).reshape(-1, out).T]
+            return pa.RecordBatch.from_arrays(arrays, [*group, "kind", "entry", "open", *[f"v{i}" for i in range(out)]])
 
-        key, headers, rows, ready, waiting = None, [], [], [], 0
+        key, headers, rows, types = None, [], [], []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             types = [batch.schema.field(k).type for k in group]
-            changed = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+            changed = np.zeros(batch.num_rows - 1, dtype=bool)
             for k in group:
                 changed |= _changes(batch.column(k))
-            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
             kinds = np.asarray(batch.column("kind"))
             values = np.stack([np.asarray(batch.column(f"x{i}").fill_null(0), dtype=np.float64) for i in range(width)], axis=1)
-            names = [batch.column(k).to_pylist() if batch.num_rows < 2 * len(cuts) else batch.column(k) for k in group]
-            for a, z in zip(cuts, cuts[1:]):
-                if a == z:
-                    continue
-                own = [c[a] if isinstance(c, list) else c[a].as_py() for c in names]
+            names = zip(*[batch.column(k).take(pa.array(starts)).to_pylist() for k in group])
+            for a, z, own in zip(starts, [*starts[1:], batch.num_rows], names):
                 if own != key:
-                    if key is not None and (done := result(key, types, headers, rows)):
-                        ready.append(done)
-                        waiting += done.num_rows
+                    if key is not None:
+                        close(key, headers, rows)
                     key, headers, rows = own, [], []
-                    if waiting >= 4096:
-                        yield from joined(ready)
-                        ready, waiting = [], 0
+                    if len(made) >= 4096:
+                        yield batch_of(made)
+                        made.clear()
                 first = a + int(np.searchsorted(kinds[a:z], 1))
                 if first > a:
                     headers += batch.slice(a, first - a).select(["entry", "base", "before", "last"]).to_pylist()
                 if first < z:
                     rows.append(values[first:z])
-        if key is not None and (done := result(key, types, headers, rows)):
-            ready.append(done)
-        yield from joined(ready)
+        if key is not None:
+            close(key, headers, rows)
+        if made:
+            yield batch_of(made)
 
     return run
 
@@ -169,7 +166,7 @@ def sections_of(
         kinds = {f.name: f.dataType for f in some.schema.fields}
         blank = [F.lit(None).cast(kinds[c]).alias(c) for c in [*o, *names]]
         stream = data.unionByName(headers.select(*keys, _C, F.lit(0).alias("kind"), *blank, "entry", "base", "before", "last"))
-        stream = stream.repartition(*keys, _C).sortWithinPartitions(*keys, _C, "kind", *o)
+        stream = stream.repartition(*keys, _C).sortWithinPartitions(*keys, _C, "kind", *o).drop(*o)
         return stream.mapInArrow(_walked(keys, len(names), out, walk, sections), schema)
 
     values = [*keys, *[f"v{i}" for i in range(out)]]

@@ -64,3 +64,17 @@ def test_playlist_trees_of_any_depth(spark, tmp_path):
     assert [r.key for r in entries.collect()] == ["7"]
     assert nodes.count() == 21
     assert [r.name for r in nodes.where("NOT is_folder").select("name").collect()] == ["L"]
+
+
+def test_small_groups_are_plain_windows(spark):
+    """Where no group is large, the data is read once: no second branch looks for chunks' edges."""
+    df = spark.range(0, 1000, 1, 4).select((F.col("id") % 50).alias("g"), F.col("id").alias("o"), F.col("id").alias("v"))
+    made = [
+        ranked(df, ["g"], "o", "n"), around(df, ["g"], "o", ["o"]), running(df, ["g"], "o", F.col("v"), "sum", "s"),
+        running(df, ["g"], "o", F.col("v"), "last", "s", inclusive=False), running_max(df, ["g"], "o", {"m": F.col("v")}),
+    ]
+    for out in made:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Range (") == 1 and "Join" not in plan
+    assert [r.n for r in made[0].where("g = 7").orderBy("o").collect()] == list(range(1, 21))
+    assert [r.s for r in made[3].where("g = 7").orderBy("o").collect()] == [None, *range(7, 950, 50)]
