@@ -227,3 +227,45 @@ def test_closeness_is_exact(spark):
     df = spark.createDataFrame([("t", p) for p in (5.0, 5.1, 14.9, 15.0, 24.8, 24.9, 30.0)], "track_id string, position_ms double")
     got = {r.position_ms: r.near for r in X.close_to(df, marks, ["track_id"]).collect()}
     assert got == {5.0: False, 5.1: True, 14.9: True, 15.0: True, 24.8: True, 24.9: False, 30.0: False}
+
+
+def test_xml_document_in_parts_and_in_splits(spark, tmp_path):
+    """One document read whole, in small splits, and as part files in name order gives the same rows."""
+    lists = "".join(f'<NODE Name="l{i} &gt;" Type="1" KeyType="0" Entries="2">\n<TRACK Key="{i}"/><X><NODE/></X><TRACK Key="{i + 1}"></TRACK></NODE>\n' for i in range(40))
+    tree = f'<NODE Type="0" Name="ROOT">{lists}<NODE Name="f" Type="0"><NODE Name="g" Type="0">{lists}</NODE>{lists}</NODE></NODE><NODE Type="0"><NODE Name="second root" Type="0"/></NODE>'
+    tracks = "".join(f'<TRACK TrackID="{i}" Name="t{i}"><TEMPO Inizio="0.5" Bpm="120" Battito="1"/></TRACK>\n' for i in range(45))
+    text = f'<?xml version="1.0" encoding="UTF-8"?>\n<!-- <NODE> -->\n<DJ_PLAYLISTS><COLLECTION>{tracks}</COLLECTION><PLAYLISTS>{tree}</PLAYLISTS></DJ_PLAYLISTS>'
+    cuts = [0, *(text.index(x, len(text) // 2) for x in ('<NODE Name="l7', '<TRACK Key="9"', "</NODE>\n<NODE Name=\"l30")), len(text)]
+    cuts = sorted({*cuts, text.index('<TRACK TrackID="20"')})
+    for folder, texts in {"whole": [text], "parts": [text[a:z] for a, z in zip(cuts, cuts[1:])], "broken": [text[: cuts[3]], "<NODE Name=</NODE>", text[cuts[3] :]]}.items():
+        (tmp_path / folder / "library_id=L").mkdir(parents=True)
+        for i, part in enumerate(texts):
+            (tmp_path / folder / "library_id=L" / f"part-{i:05}.xml").write_text(part)
+
+    def read(folder):
+        nodes, entries, issues = R.read_xml_playlists(spark, str(tmp_path / folder))
+        got = [sorted(map(str, d.collect())) for d in (nodes, entries)]
+        return *got, [r.rule for r in issues.collect()]
+
+    whole = read("whole")
+    assert [len(x) for x in whole] == [122, 240, 0]
+    assert read("parts") == whole
+    broken = read("broken")
+    assert broken[2] == ["unreadable playlists"] and 0 < len(broken[0]) < 122 and set(broken[0]) < set(whole[0])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert read("whole") == whole
+        order = [r.track_id for r in R.read_xml_tracks(spark, str(tmp_path / "parts"))[0].orderBy("ordinal").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert order == [f"rb:{i}" for i in range(45)]
+
+
+def test_commented_elements_are_no_tracks(spark, tmp_path):
+    (tmp_path / "library_id=L").mkdir()
+    (tmp_path / "library_id=L" / "a.xml").write_text('<DJ_PLAYLISTS><COLLECTION><!-- <TRACK TrackID="9" Name="no"/> --><TRACK TrackID="1" Name="a > b /"/></COLLECTION></DJ_PLAYLISTS>')
+    (tmp_path / "library_id=M").mkdir()
+    (tmp_path / "library_id=M" / "b.xml").write_text('<DJ_PLAYLISTS><COLLECTION><TRACK TrackID="2" Name="x/>y"/><TRACK TrackID="3"></TRACK></COLLECTION></DJ_PLAYLISTS>')
+    tracks = R.read_xml_tracks(spark, str(tmp_path))[0]
+    assert sorted((r.library_id, r.track_id, r.title) for r in tracks.collect()) == [("L", "rb:1", "a > b /"), ("M", "rb:2", "x/>y"), ("M", "rb:3", "")]
