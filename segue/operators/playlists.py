@@ -87,46 +87,84 @@ def resolve_crate_paths(refs: DataFrame, tracks: DataFrame) -> tuple[DataFrame,
 
 
 # --- trees -------------------------------------------------------------------------------
+ANCHORS = 16
+
+
 def tree_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adjacency list -> (nodes with ``path`` (names from the top) and ``sort_key`` (seq, id
     pairs from the top), issues); a node whose parent is unknown hangs at the top (J8).
 
-    Paths double: a round joins every open node with the node its path ends below, and takes
-    that one's whole path, so a tree of depth d takes log2(d) rounds. A folder that meets
-    itself in its path is inside itself; it and all that hangs below it reach no top, have no
-    place in the tree and become issue rows, while all other libraries go on.
+    Only nodes with a node below them climb; paths double: a round joins every open one with the
+    node its path ends below, and takes that one's whole path, so a tree of depth d takes log2(d)
+    rounds. A folder that meets itself in its path is inside itself; it and all that hangs below it
+    reach no top, have no place in the tree and become issue rows, while all other libraries go on.
+
+    Rounds move whole paths, so there are two climbs: all such nodes to the nearest anchor above them, one
+    node of about ``ANCHORS`` by a hash of its id, then anchors alone to the top. A node's whole path is
+    that of its parent, joined at the end, and is not written.
 
     Rows without a node_id, and all but one row of a repeated node_id, are not in the tree.
     """
     own = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("node_id").alias("id"))
+    anchor = lambda node: F.pmod(F.xxhash64("library_id", node), F.lit(ANCHORS)) == 0
     rows = nodes.where("node_id IS NOT NULL").dropDuplicates(["library_id", "node_id"])
-    known = rows.select("library_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_known"))
-    state = rows.join(known, ["library_id", "parent_id"], "left").select(
-        *[F.col(c) for c in nodes.columns], F.when(F.col("_known"), F.col("parent_id")).alias("_up"),
-        F.array("name").alias("path"), F.array(own).alias("sort_key"), F.lit(False).alias("_lost"),
+    known = rows.select("library_id", F.col("node_id").alias("parent_id"), F.col("node_id").alias("_up"))
+    rows = materialise(rows.join(known, ["library_id", "parent_id"], "left").select(*[F.col(c) for c in nodes.columns], "_up"), "tree")
+    parents = rows.where("_up IS NOT NULL").select("library_id", F.col("_up").alias("node_id")).distinct()
+    inner = rows.join(parents, ["library_id", "node_id"], "left_semi").select(
+        "library_id", "node_id", "_up", F.array("name").alias("path"), F.array(own).alias("sort_key"), F.lit(False).alias("_lost")
+    )
+    local = _climbed(_stopped(materialise(inner, "tree"), anchor("_up")))
+    tops = local.where(anchor("node_id")).select("library_id", "node_id", F.col("_to").alias("_up"), "path", "sort_key", "_lost")
+    tops = _climbed(_stopped(tops, F.lit(False)))
+
+    step = lambda state, key: state.select(
+        "library_id", F.col("node_id").alias(key), F.col("path").alias("_path"), F.col("sort_key").alias("_key"), "_lost",
+        *[c for c in ("_to",) if key == "_up"],
+    )
+    top = rows.where("_up IS NULL").select(*nodes.columns, F.array("name").alias("path"), F.array(own).alias("sort_key"), F.lit(False).alias("_lost"))
+    state = rows.where("_up IS NOT NULL").join(step(local, "_up"), ["library_id", "_up"]).select(
+        *nodes.columns, F.concat("_path", F.array("name")).alias("path"), F.concat("_key", F.array(own)).alias("sort_key"), "_to", "_lost"
+    )
+    short = F.col("_to").isNull() | F.col("_lost")
+    long = state.where(~short).drop("_lost").join(step(tops, "_to"), ["library_id", "_to"]).select(
+        *nodes.columns, F.concat("_path", "path").alias("path"), F.concat("_key", "sort_key").alias("sort_key"), "_lost"
     )
-    state = materialise(state, "tree")
+    state = top.unionByName(state.where(short).drop("_to")).unionByName(long)
+    issues = state.where("_lost").select(
+        "library_id", F.lit("folder contains itself").alias("rule"), F.col("node_id").cast("string").alias("entity_id"), F.col("name").alias("detail")
+    )
+    return state.where("NOT _lost").select(*nodes.columns, "path", "sort_key"), issues
+
+
+def _stopped(state: DataFrame, stop: Column) -> DataFrame:
+    """``state`` with ``_to``, the node a row's path ends below for good: its ``_up`` where ``stop`` is true."""
+    to = F.when(stop, F.col("_up"))
+    return state.withColumns({"_to": to, "_up": F.when(to.isNull(), F.col("_up"))})
+
+
+def _climbed(state: DataFrame) -> DataFrame:
+    """``state`` with each path as long as its ``_up`` leads on."""
+    given = state
     while True:
         open_ = F.col("_up").isNotNull() & ~F.col("_lost")
         if state.where(open_).isEmpty():
-            break
+            return state
         above = state.select(
-            "library_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_path"),
+            "library_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), "_to", F.col("path").alias("_path"),
             F.col("sort_key").alias("_key"), F.col("_lost").alias("_above_lost"),
         )
-        met = state.where(open_).join(above, ["library_id", "_up"])
+        met = state.where(open_).drop("_to").join(above, ["library_id", "_up"])
         lost = F.col("_above_lost") | F.exists("_key", lambda k: k["id"] == F.col("node_id"))
         met = met.select(
-            *nodes.columns, F.col("_next").alias("_up"), F.when(lost, F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
+            "library_id", "node_id", F.col("_next").alias("_up"), "_to",
+            F.when(lost, F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
             F.when(lost, F.col("sort_key")).otherwise(F.concat("_key", "sort_key")).alias("sort_key"), lost.alias("_lost"),
         )
         after = materialise(state.where(~open_).unionByName(met), "tree")
-        discard(state)
+        if state is not given:
+            discard(state)
         state = after
-    issues = state.where("_lost").select(
-        "library_id", F.lit("folder contains itself").alias("rule"), F.col("node_id").cast("string").alias("entity_id"), F.col("name").alias("detail")
-    )
-    return state.where("NOT _lost").select(*nodes.columns, "path", "sort_key"), issues
 
 
 def select_playlists(
