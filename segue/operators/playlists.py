@@ -88,6 +88,7 @@ def resolve_crate_paths(refs: DataFrame, tracks: DataFrame) -> tuple[DataFrame,
 
 # --- trees -------------------------------------------------------------------------------
 ANCHORS = 16
+SAMPLE, HOT = 1024, 64  # a key is hot if it has more than 64 of every 1,024th row
 
 
 def tree_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,9 +108,13 @@ def tree_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     own = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("node_id").alias("id"))
     anchor = lambda node: F.pmod(F.xxhash64("library_id", node), F.lit(ANCHORS)) == 0
-    rows = nodes.where("node_id IS NOT NULL").dropDuplicates(["library_id", "node_id"])
+    rows = materialise(nodes.where("node_id IS NOT NULL").dropDuplicates(["library_id", "node_id"]), "nodes")
     known = rows.select("library_id", F.col("node_id").alias("parent_id"), F.col("node_id").alias("_up"))
-    rows = materialise(rows.join(known, ["library_id", "parent_id"], "left").select(*[F.col(c) for c in nodes.columns], "_up"), "tree")
+    named = F.col("library_id").isNotNull() & F.col("parent_id").isNotNull()
+    hung = _looked_up(rows.where(named), known, "parent_id", "left").select(*[F.col(c) for c in nodes.columns], "_up")
+    loose = rows.where(~named).select(*nodes.columns, F.when(F.lit(False), F.col("node_id")).alias("_up"))
+    given, rows = rows, materialise(hung.unionByName(loose), "tree")
+    discard(given)
     parents = rows.where("_up IS NOT NULL").select("library_id", F.col("_up").alias("node_id")).distinct()
     inner = rows.join(parents, ["library_id", "node_id"], "left_semi").select(
         "library_id", "node_id", "_up", F.array("name").alias("path"), F.array(own).alias("sort_key"), F.lit(False).alias("_lost")
@@ -123,11 +128,11 @@ def tree_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[c for c in ("_to",) if key == "_up"],
     )
     top = rows.where("_up IS NULL").select(*nodes.columns, F.array("name").alias("path"), F.array(own).alias("sort_key"), F.lit(False).alias("_lost"))
-    state = rows.where("_up IS NOT NULL").join(step(local, "_up"), ["library_id", "_up"]).select(
+    state = _looked_up(rows.where("_up IS NOT NULL"), step(local, "_up"), "_up").select(
         *nodes.columns, F.concat("_path", F.array("name")).alias("path"), F.concat("_key", F.array(own)).alias("sort_key"), "_to", "_lost"
     )
     short = F.col("_to").isNull() | F.col("_lost")
-    long = state.where(~short).drop("_lost").join(step(tops, "_to"), ["library_id", "_to"]).select(
+    long = _looked_up(state.where(~short).drop("_lost"), step(tops, "_to"), "_to").select(
         *nodes.columns, F.concat("_path", "path").alias("path"), F.concat("_key", "sort_key").alias("sort_key"), "_lost"
     )
     state = top.unionByName(state.where(short).drop("_to")).unionByName(long)
@@ -137,6 +142,23 @@ def tree_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state.where("NOT _lost").select(*nodes.columns, "path", "sort_key"), issues
 
 
+def _looked_up(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows(library_id, node_id, ...)`` joined with the one row of ``side`` for their ``key``.
+
+    Half of all rows may have one key. Keys of many rows, found in a sample by a hash of the rows' ids, are few: their
+    rows of ``side`` are broadcast, so that no task sorts all rows of a key.
+    """
+    on = ["library_id", key]
+    some = rows.where(F.pmod(F.xxhash64(F.lit(SAMPLE), "library_id", "node_id"), F.lit(SAMPLE)) == 0)
+    hot = materialise(some.groupBy(*on).count().where(F.col("count") > HOT).select(*on), "hot-nodes")
+    if hot.isEmpty():
+        return rows.join(side, on, how)
+    rows = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    few = side.join(F.broadcast(hot), on, "left_semi")
+    met = rows.where("_hot").drop("_hot").join(F.broadcast(few), on, how)
+    return met.unionByName(rows.where("_hot IS NULL").drop("_hot").join(side, on, how))
+
+
 def _stopped(state: DataFrame, stop: Column) -> DataFrame:
     """``state`` with ``_to``, the node a row's path ends below for good: its ``_up`` where ``stop`` is true."""
     to = F.when(stop, F.col("_up"))
@@ -154,7 +176,7 @@ def _climbed(state: DataFrame) -> DataFrame:
             "library_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), "_to", F.col("path").alias("_path"),
             F.col("sort_key").alias("_key"), F.col("_lost").alias("_above_lost"),
         )
-        met = state.where(open_).drop("_to").join(above, ["library_id", "_up"])
+        met = _looked_up(state.where(open_).drop("_to"), above, "_up")
         lost = F.col("_above_lost") | F.exists("_key", lambda k: k["id"] == F.col("node_id"))
         met = met.select(
             "library_id", "node_id", F.col("_next").alias("_up"), "_to",

@@ -32,10 +32,13 @@ def got(spark, rows):
     return paths, [(r.library_id, r.entity_id) for r in issues.collect()]
 
 
-@pytest.mark.parametrize("anchors", [1, 3, 16, 1 << 40])
-def test_trees_equal_a_walk(spark, monkeypatch, anchors):
+@pytest.mark.parametrize("anchors, hot", [(1, 64), (3, 2), (16, 0), (1 << 40, 64)])
+def test_trees_equal_a_walk(spark, monkeypatch, anchors, hot):
     """Chains, bushes, unknown parents, rings of several lengths and what hangs below them, in two libraries."""
     monkeypatch.setattr(P, "ANCHORS", anchors)
+    if hot < 64:
+        monkeypatch.setattr(P, "SAMPLE", 1)
+        monkeypatch.setattr(P, "HOT", hot)
     rnd, rows = random.Random(5), []
     for lib in ("A", "B"):
         rows += [(lib, f"c{n}", f"c{n - 1}", n % 3, f"C{n % 7}") for n in range(90)]
@@ -90,3 +93,33 @@ def test_lists_do_not_climb(spark, monkeypatch):
     rows = [("A", f"f{n}", f"f{n // 4}" if n else None, n, "F") for n in range(10)] + [("A", f"l{n}", f"f{n % 10}", n, "L") for n in range(300)]
     tree, _ = P.tree_paths(spark.createDataFrame(rows, NODES))
     assert tree.count() == 310 and max(written) <= 10
+
+
+@pytest.mark.parametrize("parent", ["0", "top", None])
+def test_no_task_sorts_all_lists_of_one_folder(spark, tmp_path, monkeypatch, parent):
+    """All lists hang at one parent, known or not: no partition of the written tree holds most of them."""
+    largest = []
+
+    def counted(df, name):
+        back = materialise(df, name)
+        if name == "tree" and "_up" in back.columns and "path" not in back.columns:
+            largest.append(back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+        return back
+
+    materialise = P.materialise
+    monkeypatch.setattr(P, "materialise", counted)
+    lists = spark.range(0, 200_000, 1, 4).select(
+        F.lit("A").alias("library_id"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("node_id"), F.lit(parent).cast("string").alias("parent_id"),
+        F.col("id").alias("seq"), F.lit("L").alias("name"),
+    )
+    top = spark.createDataFrame([("A", "top", None, 1, "T")], NODES)
+    for setting in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(setting, "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tree, issues = P.tree_paths(lists.unionByName(top))
+        assert largest[0] < 100_000 and issues.isEmpty()
+        assert tree.count() == 200_001 and tree.where("size(path) = 2").count() == (200_000 if parent == "top" else 0)
+    finally:
+        for setting in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(setting)
