@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,14 @@ def test_chunked_order_equals_plain_windows(spark):
     got = group_values(got, ["g"], F.floor(F.col("o") / 64), {"top": ("max", F.col("v"))})
     got = got.select("k", "rank", F.col("prev.k").alias("p"), F.col("next.k").alias("n"), "s", "m", "l", "top")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_short_sections_are_walked_without_arrays(monkeypatch):
+    """Irregular beats: every section ends after a beat or two, none is looked for in slices of arrays."""
+    calls = []
+    monkeypatch.setattr(G, "first_break", lambda fits, at, n: calls.append(at) or n)
+    rnd = random.Random(4)
+    beats = np.cumsum([rnd.uniform(10, 900) for _ in range(2000)])
+    found, _ = G._constant_tempo(2.0)([], [beats], 0, None, True)
+    kept, _ = G._kept_markers([], [beats, np.full(2000, 120.0), np.ones(2000)], 0, None, True)
+    assert len(found) > 1500 and len(kept) > 1500 and len(calls) < 5
