@@ -57,9 +57,22 @@ def _kept_markers(entry, columns, base, before, last):
         at += 1
 
 
+def _predicted(columns, rows, firsts):
+    position, bpm, beat = columns
+    length = 60000.0 / bpm[firsts]
+    beats = (position[rows] - position[firsts]) / length
+    near = np.rint(beats)
+    on_grid = np.abs(beats - near) * length <= TOLERANCE_MS
+    return on_grid & (np.abs(bpm[rows] - bpm[firsts]) <= 0.01) & (beat[rows] == np.mod(beat[firsts] - 1 + near, 4) + 1)
+
+
+def _first_rows(columns, starts, firsts, stops):
+    return [c[firsts] for c in columns]
+
+
 def simplify(tempo: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     columns = ["position_ms", "bpm", "beat"]
-    kept = sections_of(tempo.where("bpm > 0"), keys, "position_ms", columns, _kept_markers, 3, columns[1:], chunk)
+    kept = sections_of(tempo.where("bpm > 0"), keys, "position_ms", columns, _kept_markers, (_predicted, _first_rows, 0), 3, columns[1:], chunk)
     types = {f.name: f.dataType for f in tempo.schema.fields}
     return kept.select(*keys, *[F.col(f"v{i}").cast(types[c]).alias(c) for i, c in enumerate(columns)])
 
@@ -139,6 +152,18 @@ def _constant_tempo(tolerance_ms: float):
     return walk
 
 
+def _steady_gaps(tolerance_ms: float):
+    def fits(columns, rows, firsts):
+        beats = columns[0]
+        return np.abs((beats[rows + 1] - beats[rows]) - (beats[firsts + 1] - beats[firsts])) <= tolerance_ms
+
+    def numbers(columns, starts, firsts, stops):
+        beats = columns[0]
+        return [(firsts - starts).astype(float), beats[firsts], (stops - firsts).astype(float), beats[stops] - beats[firsts]]
+
+    return fits, numbers, 1
+
+
 def sections(
     beats: DataFrame, keys: Sequence[str], position: str = "position_ms", first_beat: int = 1,
     tolerance_ms: float = TOLERANCE_MS, chunk: int = CHUNK,
@@ -148,7 +173,7 @@ def sections(
     The unit is the interval between two beats.  A section takes intervals while they
     differ from its *first* by at most the tolerance.
     """
-    found = sections_of(beats, keys, position, [position], _constant_tempo(tolerance_ms), 4, (), chunk)
+    found = sections_of(beats, keys, position, [position], _constant_tempo(tolerance_ms), _steady_gaps(tolerance_ms), 4, (), chunk)
     return found.select(
         *keys, F.col("v1").alias("position_ms"), F.try_divide(F.lit(60000.0) * F.col("v2"), F.col("v3")).alias("bpm"),
         (F.pmod(F.col("v0").cast("bigint") + (first_beat - 1), F.lit(4)) + 1).cast("int").alias("beat"),
@@ -174,10 +199,16 @@ def _steady_rows(entry, columns, base, before, last):
         at += 1
 
 
+def _as_expected(columns, rows, firsts):
+    ms, bpm, _ = columns
+    own = bpm[firsts]
+    return (np.abs(own - bpm[rows]) < 0.001) & (np.abs(ms[rows] - (ms[firsts] + (rows - firsts) * 60000.0 / own)) <= TOLERANCE_MS)
+
+
 def compress(beats: DataFrame, keys: Sequence[str], order: str = "i", chunk: int = CHUNK) -> DataFrame:
     """Device beat rows ``(order, beat, tempo, ms)`` to tempo markers."""
     rows = beats.where("tempo > 0").withColumn("bpm", F.col("tempo") / F.lit(100.0))
-    found = sections_of(rows, keys, order, ["ms", "bpm", "beat"], _steady_rows, 3, ["ms", "bpm", "beat"], chunk)
+    found = sections_of(rows, keys, order, ["ms", "bpm", "beat"], _steady_rows, (_as_expected, _first_rows, 0), 3, ["ms", "bpm", "beat"], chunk)
     beat = F.when(F.col("v2") == 0, 1).otherwise(F.col("v2")).cast("int")
     return found.select(*keys, F.col("v0").alias("position_ms"), F.col("v1").alias("bpm"), beat.alias("beat"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segue.operators import grids as G
+from segue.plans import sections as SECTIONS
 from segue.plans.ordered import around, group_values, ranked, running
 
 TEMPO = "track_id string, position_ms double, bpm double, beat int"
@@ -183,3 +184,35 @@ def test_short_sections_are_walked_without_arrays(monkeypatch):
     found, _ = G._constant_tempo(2.0)([], [beats], 0, None, True)
     kept, _ = G._kept_markers([], [beats, np.full(2000, 120.0), np.ones(2000)], 0, None, True)
     assert len(found) > 1500 and len(kept) > 1500 and len(calls) < 5
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 16])
+def test_no_lists_are_sent_to_the_walk(spark, monkeypatch, chunk):
+    """A list column of NULLs takes Spark's Arrow writer the square of a batch's rows."""
+    kind, sent = type(spark.range(1)), []
+    send = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **k: sent.append(df.schema) or send(df, *a, **k))
+    data = tempo(spark, [(500.0 * i, 120.0, i % 4 + 1) for i in range(90)], drifting(2))
+    G.sections(data, ["track_id"], chunk=chunk)
+    assert sent and not [f.name for schema in sent for f in schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+
+
+def test_groups_walked_side_by_side_have_the_sections_of_a_fold():
+    rng = np.random.default_rng(3)
+    tracks = [np.cumsum(rng.choice([500.0, 500.5, 503.0], n, p=[0.9, 0.05, 0.05])) for n in (1, 2, 200, 7, 90, 1, 400)]
+    bpm = [np.where(rng.random(len(t)) < 0.05, 121.0, 120.0) for t in tracks]
+    beat = [np.arange(len(t)) % 4 + 1.0 for t in tracks]
+    ends = np.cumsum([len(t) for t in tracks])
+    starts = ends - [len(t) for t in tracks]
+    whole = [np.concatenate(x) for x in (tracks, bpm, beat)]
+    for walk, many, width in (
+        (G._constant_tempo(2.0), G._steady_gaps(2.0), 1), (G._kept_markers, (G._predicted, G._first_rows, 0), 3),
+        (G._steady_rows, (G._as_expected, G._first_rows, 0), 3),
+    ):
+        for few in (0, 3, 100):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(SECTIONS, "FEW_GROUPS", few)
+                group, values = SECTIONS._all_sections(walk, many, whole[:width], starts, ends)
+            got = sorted(zip(group.tolist(), *[v.tolist() for v in values]))
+            want = [(i, *x) for i, of in enumerate(zip(tracks, bpm, beat)) for x in walk([], [*of[:width]], 0, None, True)[0]]
+            assert got == sorted(want)
