@@ -1,5 +1,7 @@
 """Scalar functions on literal cases."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from segue.functions import locations as L
 from segue.functions import numbers as N
 from segue.functions import text as T
 from segue.operators.rewrite import apply_rule_table, apply_rules, infer_mounts, parse_rule_lines
+from segue.sinks.rekordbox_xml import attributes
 
 
 def column(spark, values, kind, expr):
@@ -115,3 +118,27 @@ def test_colours(spark):
 def test_fat_safe(spark):
     df = spark.createDataFrame([("a/b?c. ",), ("...",), ("e\u0301 x",)], "x string")
     assert [r.x for r in T.with_fat_safe(df, {"x": 80}).collect()] == ["a_b_c", "Unknown", "é x"]
+
+
+def test_number_text_equals_the_formatter(spark):
+    values = [None, 0.0, -0.0, 0.0005, -0.0004, 1.005, 12.3455, -12.5, 1e15, 1e17, float("nan"), float("inf"), 999999999999.999, *[k / 1000 for k in range(-2500, 2500, 7)]]
+    for places in (2, 3):
+        text = [("null" if v is None else "NaN" if v != v else "Infinity" if v > 1e300 else None) or f"{Decimal(repr(v)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP):f}" for v in values]
+        want = [(t[:places] if t == "null" else t if "." not in t else t.rstrip("0").rstrip(".")) for t in text]
+        assert column(spark, values, "double", lambda v: T.number_text(v, places)) == ["0" if t in ("", "-0") else t for t in want]
+
+
+def test_document_texts_are_escaped_and_numbers_written(spark):
+    texts = [(f"T{i}", F.lit(t)) for i, t in enumerate(["a&b", "", '<">', "\t\r\n"])]
+    for some in (texts, texts[:2]):
+        shown = attributes(*some, ("N", F.lit(7)), ("Z", F.lit(None).cast("int")), plain=("N", "Z"))
+        kept = attributes(*some, keep_empty=True)
+        got = spark.range(1).select(shown.alias("a"), kept.alias("b")).first()
+        ends = ' T2="&lt;&quot;&gt;" T3="&#09;&#13;&#10;"' if some is texts else ""
+        assert got.a == f' T0="a&amp;b"{ends} N="7"' and got.b == f' T0="a&amp;b" T1=""{ends}'
+
+
+def test_rare_formatting_is_no_part_of_generated_code(spark):
+    """Written out, the formatter and its patterns make methods the JVM does not compile."""
+    plan = spark.range(1).select(T.number_text(F.col("id") / 7))._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" in plan and "*(1) Project" not in plan
