@@ -269,3 +269,18 @@ def test_commented_elements_are_no_tracks(spark, tmp_path):
     (tmp_path / "library_id=M" / "b.xml").write_text('<DJ_PLAYLISTS><COLLECTION><TRACK TrackID="2" Name="x/>y"/><TRACK TrackID="3"></TRACK></COLLECTION></DJ_PLAYLISTS>')
     tracks = R.read_xml_tracks(spark, str(tmp_path))[0]
     assert sorted((r.library_id, r.track_id, r.title) for r in tracks.collect()) == [("L", "rb:1", "a > b /"), ("M", "rb:2", "x/>y"), ("M", "rb:3", "")]
+
+
+def test_lines_of_written_documents_are_not_kept(spark, tmp_path):
+    import glob
+
+    from segue.session import shared_folder
+    from segue.sinks import rekordbox_xml
+
+    kept = f"{shared_folder(spark).removeprefix('file:')}/segue/xml-lines-*"
+    before = set(glob.glob(kept))
+    key = "array<struct<seq:bigint,id:string>>"
+    lines = spark.createDataFrame([("A", 0, [(0, "")], "<a>"), ("A", 1, [], "</a>")], f"library_id string, section int, key {key}, line string")
+    rekordbox_xml.write_documents(lines, f"{tmp_path}/out")
+    assert "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/out/library_id=A/*.txt"))) == "<a>\n</a>\n"
+    assert set(glob.glob(kept)) == before
