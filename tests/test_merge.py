@@ -224,3 +224,16 @@ def test_selection(spark):
     nodes, entries, tracks = select_playlists(lib.nodes.unionByName(folder), lib.entries, lib.tracks, wanted)
     assert {"/".join(r.path) for r in nodes.collect()} == {"F", "F/A"}
     assert {r.track_id for r in tracks.collect()} == {"t0", "t1"} and entries.count() == 2
+
+
+def test_the_two_directions_of_a_sync_run_one_after_the_other(spark, monkeypatch):
+    from segue.catalog import merging
+
+    report = spark.createDataFrame([("ab", 1)], "pair_id string, matched int")
+    written = []
+    monkeypatch.setattr(merging, "sync_both_ways", lambda *a: ((None, report), (None, report)))
+    monkeypatch.setattr(merging, "materialise", lambda df, name: written.append(df) or df)
+    monkeypatch.setattr(merging, "_incoming", lambda *a: None)
+    monkeypatch.setattr(merging.S, "library", lambda *a: None)
+    out = merging.two_way_sync_report(spark, "")
+    assert len(written) == 2 and sorted(r.direction for r in out.collect()) == ["a to b", "b to a"]
