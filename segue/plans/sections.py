@@ -33,7 +33,7 @@ from segue.plans.ordered import _C, CHUNK, _met, cut, large
 from segue.session import materialise
 
 #: ``walk(entry, columns, base, before, last) -> (sections, open)``. ``entry`` and ``open``: the open section's
-#: numbers ([]: none); ``columns``: one array a column; ``base``: rows of the group before this chunk, of which
+#: numbers ([]: none), one more than a section has at most; ``columns``: one array a column; ``base``: rows of the group before this chunk, of which
 #: ``before`` is the last; ``last``: nothing follows, so an open section ends here.
 Walk = Callable[[list[float], list[np.ndarray], int, list[float] | None, bool], tuple[list[list[float]], list[float]]]
 #: ``fits(columns, rows, firsts)``: which rows fit the section that begins at a row of ``firsts``.
@@ -183,7 +183,7 @@ def _walked(keys: list[str], width: int, out: int, walk: Walk, sections: bool):
             return pa.RecordBatch.from_arrays(arrays, [*group, "kind", "entry", "open", *[f"v{i}" for i in range(out)]])
 
         def header(row: dict) -> dict:
-            entry = [row[f"e{i}"] for i in range(out) if row[f"e{i}"] is not None]
+            entry = [row[f"e{i}"] for i in range(out + 1) if row[f"e{i}"] is not None]
             before = [row[f"x{i}"] or 0.0 for i in range(width)] if row["base"] else None
             return {"entry": entry, "base": row["base"], "before": before, "last": row["last"]}
 
@@ -267,12 +267,12 @@ def sections_of(
 
     def walked(some: DataFrame, headers: DataFrame, sections: bool) -> DataFrame:
         # numbers of headers in columns of their own: lists of NULL take Spark's Arrow writer the square of a batch's rows
-        own = {"base": "bigint", "last": "boolean", **{f"e{i}": "double" for i in range(out)}}
+        own = {"base": "bigint", "last": "boolean", **{f"e{i}": "double" for i in range(out + 1)}}
         data = some.select(*keys, _C, F.lit(1).alias("kind"), *o, *x, *[F.lit(None).cast(t).alias(n) for n, t in own.items()])
         kinds = {f.name: f.dataType for f in some.schema.fields}
         headers = headers.select(
             *keys, _C, F.lit(0).alias("kind"), *[F.lit(None).cast(kinds[n]).alias(n) for n in o], "before.*", "base", "last",
-            *[F.get("entry", F.lit(i)).alias(f"e{i}") for i in range(out)],
+            *[F.get("entry", F.lit(i)).alias(f"e{i}") for i in range(out + 1)],
         )
         stream = data.unionByName(headers).repartition(*keys, _C).sortWithinPartitions(*keys, _C, "kind", *o).drop(*o)
         return stream.mapInArrow(_walked(keys, len(x), out, walk, sections), schema)
